@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm import langid, packing, secrets, topk
+from provenio.llm import extract, langid, packing, quality, secrets, topk
 from provenio.llm.common import crc_mod, only, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "language.*")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    found = quality.scored(only(docs, "doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
@@ -28,22 +35,28 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     return secrets.digest(secrets.find_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_exact_top_k, op6_best_fit_packing, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_quality_classifier, op4_exact_top_k, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
+)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
             WHERE q.vec_id % 20 = 0
         ), ranked AS (
