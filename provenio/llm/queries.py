@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm import extract, langid, packing, quality, secrets, topk
+from provenio.llm import dartminhash, extract, langid, packing, quality, secrets, topk
 from provenio.llm.common import crc_mod, only, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,8 +44,14 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dartminhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_representative"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op4_exact_top_k, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
+    op9_minhash_near_dedup,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
