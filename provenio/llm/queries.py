@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm import dartminhash, extract, langid, packing, quality, secrets, topk
+from provenio.llm import dartminhash, extract, langid, lm, mixing, packing, quality, secrets, topk
 from provenio.llm.common import crc_mod, only, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    mixed = mixing.mix(docs, max_repeats=2.0)
+    return mixed.select("doc_id", "source", "mix.n_tokens", "mix.epoch", "mix.block", F.round("mix.weight", 6).alias("weight"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -49,9 +55,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_representative"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality_classifier, op4_exact_top_k, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
-    op9_minhash_near_dedup,
+    op1_language_id, op2_quality_classifier, op4_exact_top_k, op5_source_mixing, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
+    op9_minhash_near_dedup, op10_lm_scoring,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
@@ -70,4 +80,51 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op5_source_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce('=' || source, 'null') AS key,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n,
+                   CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7) AS BIGINT) AS place
+            FROM documents
+        ), b AS (SELECT key, place % 512 AS block, CAST(sum(n) AS BIGINT) AS s FROM d GROUP BY ALL),
+        src AS (SELECT key, CAST(sum(s) AS BIGINT) AS tokens FROM b GROUP BY key),
+        lim AS (
+            SELECT min(tokens / (SELECT sum(tokens) FROM src)) AS lo, max(tokens / (SELECT sum(tokens) FROM src)) AS hi
+            FROM src WHERE tokens > 0
+        ), bis AS (
+            SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS z
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN a ELSE m END, CASE WHEN ok THEN m ELSE z END FROM (
+                SELECT i, a, z, (a + z) / 2 AS m, pow(lim.lo, (a + z) / 2 - 1) / pow(lim.hi, (a + z) / 2 - 1) <= 2 AS ok FROM bis, lim
+            ) WHERE i < 60
+        ), e AS (
+            SELECT round(CASE WHEN pow(lim.lo, -1) / pow(lim.hi, -1) <= 2 THEN 0 ELSE (SELECT z FROM bis WHERE i = 60) END, 9) AS x FROM lim
+        ), tot AS (
+            SELECT sum(tokens) AS t, sum(CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT x FROM e)) END) AS z FROM src
+        ), w AS (
+            SELECT key, tokens, CASE WHEN tokens > 0 THEN pow(tokens / t, x) / z ELSE 0 END AS weight,
+                   t * z / pow(lim.hi, x - 1) AS budget
+            FROM src, tot, e, lim
+        ), p AS (
+            SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(weight * budget + 0.000001) AS BIGINT) ELSE 0 END AS part FROM w
+        ), q AS (
+            SELECT *, CASE WHEN tokens > 0 THEN part // tokens ELSE 1 END AS whole,
+                   CASE WHEN tokens > 0 THEN part % tokens ELSE 0 END AS rest FROM p
+        ), r AS (
+            SELECT b.key, b.block, b.s, q.weight, q.whole,
+                   q.rest - coalesce(sum(b.s) OVER (
+                       PARTITION BY b.key
+                       ORDER BY CAST('0x' || substr(md5('0|' || b.key || '|' || q.whole || '|' || b.block), 1, 7) AS BIGINT), b.block
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+            FROM b JOIN q ON b.key = q.key
+        ), t AS (
+            SELECT d.*, r.block, r.weight, r.whole, r.s, r.room,
+                   sum(d.n) OVER (PARTITION BY d.key, r.block ORDER BY d.place, d.n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
+            FROM d JOIN r ON d.key = r.key AND d.place % 512 = r.block
+        ), c AS (
+            SELECT *, whole + CASE WHEN s <= room THEN 1 WHEN room > 0 AND so_far <= room THEN 1 ELSE 0 END AS times FROM t
+        )
+        SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block, round(weight, 6) AS weight
+        FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS epoch FROM c)
+    """,
 }

@@ -27,9 +27,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, hash) of every word in order; words are divided by blanks, tabs and line ends."""
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of every word in order; words are divided by blanks, tabs and line ends.
+
+    lower: A to Z count as a to z.
+    """
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    if lower:
+        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
