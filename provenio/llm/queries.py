@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm import dartminhash, extract, langid, lm, mixing, packing, quality, secrets, topk
+from provenio.llm import dartminhash, extract, langid, lm, media, mixing, packing, quality, secrets, topk
 from provenio.llm.common import crc_mod, only, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.copies(media.page_features(table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("page_id"), "class_id", "n_corners")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
@@ -60,7 +65,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality_classifier, op4_exact_top_k, op5_source_mixing, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
+    op1_language_id, op2_quality_classifier, op3_media_copies, op4_exact_top_k, op5_source_mixing, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
     op9_minhash_near_dedup, op10_lm_scoring,
 )}
 ORACLE_SQL: dict[str, str] = {
