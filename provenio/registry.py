@@ -1,5 +1,11 @@
 """The registered queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from provenio.queries import comparing, evidence, parsing, ranking, reading
+from provenio.queries.base import ORACLE_SQL, QUERIES
+
+MODULES = (reading, parsing, evidence, ranking, comparing)
+FLAGSHIP = "locate_quote"
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
