@@ -48,7 +48,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RULES_SQL}, {LINES}, {_WINDOWS_SQL} SELECT doc_id, field_id, ordinal, value, size, pos, page_no, original, matched FROM hits")
 def window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("doc_id", "field_id", "ordinal", "value", "size", F.col("at").alias("pos"), "page_no", "original", "matched")
+    return _hits(spark, sf_dir).select("doc_id", "field_id", "ordinal", "value", "size", F.col("at").cast("long").alias("pos"), "page_no", "original", "matched")
 
 
 @query(f"""WITH {_RULES_SQL}, {LINES}, {_WINDOWS_SQL} SELECT doc_id, field_id, value, page_no, original FROM (

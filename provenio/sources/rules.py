@@ -73,3 +73,24 @@ def gold(spark: SparkSession, files: list[dict]) -> DataFrame:
             accepted = value["aceita"] if isinstance(value, dict) and "aceita" in value else [f"{value['inicio']}/{value['fim']}"] if isinstance(value, dict) else [value]
             rows.append((g["documento"], g.get("ficticio", False), g.get("holdout", False), field, [_text(a) for a in accepted]))
     return spark.createDataFrame(rows, "document string, is_synthetic boolean, holdout boolean, field_id string, accepted array<string>")
+
+
+def coverages(spark: SparkSession, data: dict) -> tuple[DataFrame, dict[str, str]]:
+    """(rules, marks) of `coberturas` and `exclusoes`: see operators.matching.coverage_facts."""
+    own, out = data["coberturas"], data["exclusoes"]
+    basic, excluded = own.get("texto_basico") or {}, own.get("exclusao_geral") or {}
+    rows = [
+        (f, c["titulo"], f in ("cobertura_a", "cobertura_b"), basic.get(f), "coberturas a e b,? por serem garantias basicas" if f in ("cobertura_a", "cobertura_b") else None, excluded.get(f), c.get("linha_espec"))
+        for f, c in own.items()
+        if isinstance(c, dict) and "titulo" in c
+    ]
+    rules = spark.createDataFrame(rows, "field_id string, title_regex string, always_basic boolean, basic_text string, fallback string, excluded_text string, label string")
+    marks = {
+        "additional": own["marcador_adicional"], "basic_scope": own["escopo_basico"], "exclusion_scope": out["escopo_titulo"],
+        "optional_exclusion": out["titulo_opcional"], "reservation": out["ressalva"],
+    }
+    return rules, marks
+
+
+def exclusions(spark: SparkSession, data: dict) -> DataFrame:
+    return spark.createDataFrame(list(data["exclusoes"]["temas"].items()), "field_id string, regex string")
