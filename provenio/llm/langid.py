@@ -32,7 +32,7 @@ from provenio.llm.common import only
 
 HASHES = 4
 #: Texts are joined to this many characters for each vectorised step.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @dataclass

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of text for each vectorised step; one longer text makes a step of its own.
-STEP = 1 << 20
+#: Bytes of text and number of texts for each vectorised step; one longer text makes a step of its own.
+STEP, TEXTS = 1 << 19, 256
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -46,12 +46,12 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
 
 
 def steps(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts as bytes): texts of about STEP bytes together."""
+    """(number of the first text, texts as bytes): texts of about STEP bytes together, TEXTS at most."""
     part: list[bytes] = []
     first = total = 0
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "replace")
-        if part and total + len(raw) > STEP:
+        if part and (total + len(raw) > STEP or len(part) == TEXTS):
             yield first, part
             part, first, total = [], i, 0
         part.append(raw)
