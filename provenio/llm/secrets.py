@@ -118,8 +118,7 @@ def scan(text: str | None, automaton) -> list[tuple[str, int, int]]:
                 if proof(m):
                     spans.append((kind, at, done))
     done = 0
-    for s in HEX_SAMPLE.finditer(text[::8]):
-        at = 8 * s.start()
+    for at in (8 * i for s in HEX_SAMPLE.finditer(text[::8]) for i in range(s.start(), s.end())):
         if at >= done:
             left = at
             while left and HEX.match(text, left - 1, left):
