@@ -20,7 +20,7 @@ def file_stream(spark: SparkSession, path: str, form: str, schema: StructType) -
 
 def hourly(trace: DataFrame, late: str | None = None, time: str = "ts", kind: str = "event_type", value: str = "value") -> DataFrame:
     """Rows (kind, hour, n, total); late: how long after its hour a row of a stream still counts."""
-    rows = trace.withWatermark(time, late) if late else trace
+    rows = trace.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else trace
     grouped = rows.groupBy(F.window(time, "1 hour").alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return grouped.select(kind, F.col("w.start").alias("hour"), "n", "total")
 
