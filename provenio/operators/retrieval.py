@@ -11,10 +11,13 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 TITLE_WEIGHT = 3
 
 
-def postings(blocks: DataFrame, terms: Column, key: str = "block_id") -> DataFrame:
-    """Rows (key, term, tf, len) of an array of terms."""
+def postings(blocks: DataFrame, terms: Column, key: str = "block_id", wanted: DataFrame | None = None) -> DataFrame:
+    """Rows (key, term, tf, len) of an array of terms; only those in wanted (term) if given, before anything is grouped."""
     own = blocks.select(F.col(key), terms.alias("terms")).withColumn("len", F.size("terms")).where("len > 0")
-    return own.select(key, "len", F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    each = own.select(key, "len", F.explode("terms").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def block_terms(title: Column, body: Column) -> Column:

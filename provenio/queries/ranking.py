@@ -26,8 +26,8 @@ def _bm25_sql(terms: str, asked: str, k: int, extra: str = "") -> str:
 
 def _ranked(spark: SparkSession, sf_dir: str, terms, asked, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    post = R.postings(docs, terms, "doc_id")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(asked).alias("term"))
+    post = R.postings(docs, terms, "doc_id", queries)
     sizes = docs.select(F.size(terms).alias("n")).where("n > 0").agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
     found = R.bm25(post, queries, k, sizes["total"], sizes["mean"] or 1.0, "doc_id")
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
