@@ -1,18 +1,19 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
 The corpus is read once into chunks: some megabytes of documents as numbers of the
-chunk's distinct words, with each word's count in the chunk. Counts of words, of any
-number, are summed over chunks by a shuffle and joined back to the chunks that hold the
-word, so that no task and no broadcast holds the vocabulary. A hot word has one row for
-each chunk.
-
-The automaton: the root knows every word by its add-one probability. The `heads` most
-frequent words have states, and so have the n-grams of them that are kept, at most
-`arcs` for each order, the most frequent ones. An arc leads from a state by a word, at
-its discounted probability, to the longest suffix that is a state; where a state has no
-arc for a word, its failure arc leads to the state of the next shorter suffix at the
-price of its backoff weight. Probabilities after each state add up to 1. The states are
-of bounded size and go with the task; their counts are of the whole corpus.
+chunk's distinct words. Each chunk sends its distinct n-grams of every order, hashed, with
+their counts in its training texts to parts dealt by the hash, whose number grows with the
+number of chunks, and has the counts of the whole corpus back. No task and no broadcast
+holds the vocabulary or the n-grams. A hot n-gram has one entry for each chunk.
+
+The automaton: the root knows every word by its add-one probability. Every word is a
+state, and so is every n-gram that occurs LEAST times at least in the training texts; no
+number of rows bounds them. An arc leads from a state by a word, at its discounted
+probability, to the longest suffix that is a state; where a state has no arc for a word,
+its failure arc leads to the state of the next shorter suffix at the price of its backoff
+weight. Probabilities after each state add up to 1. A state's weight needs sums over its
+arcs: each arc is added by one chunk alone that holds it, and the parts sum them for the
+state and send the weight to the chunks that hold the state.
 
 A text is traversed once from left to right. As the longest suffix that is a state
 depends only on the words before, the traversal is done for all positions at a time,
@@ -26,6 +27,7 @@ null or repeat; an empty table gives an empty result. Texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.llm.common import only, staged
-from provenio.llm.shingles import steps, word_hashes
-
-ORDER, HEADS, ARCS, DISCOUNT = 3, 4096, 200_000, 0.5
+from provenio.llm.shingles import mix, steps, word_hashes
+
+ORDER, DISCOUNT = 3, 0.5
+#: An n-gram of two words or more has an arc if it occurs so often in the training texts.
+LEAST = 2
+#: Not a bound: tests compare with a literal automaton on corpora of no more words.
+HEADS = 4096
+#: Stands for the end of a text among the hashes of words.
+END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
 CHUNK = 8 << 20
-CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words array<bigint>, counts array<int>, low binary, high binary"
+CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words array<bigint>, low binary, high binary"
+#: Chunks for each part that n-grams are dealt to.
+SHARE = 2
 
 
 def _chunk(at: int, ids: list, held: list, lengths: list[int], hashes: list[np.ndarray]) -> pd.DataFrame:
@@ -48,10 +58,8 @@ def _chunk(at: int, ids: list, held: list, lengths: list[int], hashes: list[np.n
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     words, tokens = words[order], place[tokens]
-    learnt = np.repeat(~np.array(held, bool), lengths)
-    counts = np.bincount(tokens[learnt], minlength=len(words)).astype(np.int32)
     return pd.DataFrame({
-        "chunk": [at], "ids": [ids], "held": [held], "lengths": [lengths], "words": [words.view(np.int64)], "counts": [counts],
+        "chunk": [at], "ids": [ids], "held": [held], "lengths": [lengths], "words": [words.view(np.int64)],
         "low": [(tokens & 0xFFFF).astype("<u2").tobytes()], "high": [(tokens >> 16).astype("<u2").tobytes()],
     })
 
@@ -91,157 +99,187 @@ def _previous(x: np.ndarray, begins: np.ndarray, at_begin: int) -> np.ndarray:
     return out
 
 
-def _find(codes: np.ndarray, wanted: np.ndarray, possible: np.ndarray) -> np.ndarray:
-    """Where each wanted code stands among the sorted codes; -1 where it doesn't."""
-    at = np.searchsorted(codes, wanted)
-    at[at == len(codes)] = 0
-    hit = possible & (codes[at] == wanted) if len(codes) else np.zeros(len(wanted), bool)
-    return np.where(hit, at, -1)
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a chunk; END stands before and after each text."""
 
+    codes: np.ndarray  # hash of each n-gram
+    at: np.ndarray  # for each token of the stream, the number of the n-gram that ends there, or -1
+    before: np.ndarray  # for each token, the number of the n-gram of one order less that ends before it, or -1
+    context: np.ndarray  # for each n-gram, the number of the n-gram without its last word
+    suffix: np.ndarray  # for each n-gram, the number of the n-gram without its first word
 
-def walk(levels: list[tuple[np.ndarray, ...]], heads: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2: (state before each token, or -1; code of its arc by the token; number of that arc, or -1).
 
-    heads: for each token of the stream the number of its head, or -1. The state before a text is that of the end token.
-    The states of an order are the arcs of the order below.
-    """
-    end = levels[0][0].shape[0] - 1 if levels else 0
-    state = heads
-    for codes, *_ in levels[1:]:
-        before = _previous(state, begins, end if state is heads else -1)
-        arc = before * (end + 1) + heads
-        found = _find(codes, arc, (before >= 0) & (heads >= 0))
-        yield before, arc, found
-        state = found
+def _grams(row, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
+    """(n-grams of each order, where each text begins, which tokens are learnt)."""
+    words = np.append(np.asarray(row.words, np.int64).view(np.uint64), END)
+    tokens = np.frombuffer(row.low, "<u2").astype(np.int64) | (np.frombuffer(row.high, "<u2").astype(np.int64) << 16)
+    lengths = np.asarray(row.lengths, np.int64)
+    at, begins = _streams(tokens, lengths, len(words) - 1)
+    none = np.zeros(0, np.int64)
+    levels = [Grams(words, at, none, none, none)]
+    for n in range(2, order + 1):
+        last = levels[-1]
+        before = _previous(last.at, begins, len(words) - 1 if n == 2 else -1)
+        held = np.flatnonzero(before >= 0)
+        code = mix(last.codes[before[held]] * np.uint64(0xD6E8FEB86659FD93) + words[at[held]] + np.uint64(n))
+        codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        now = np.full(len(at), -1)
+        now[held] = inverse
+        levels.append(Grams(codes, now, before, before[held[first]], last.at[held[first]]))
+    return levels, begins, np.repeat(~np.asarray(row.held, bool), lengths + 1)
+
+
+def _dealt(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the codes in order of their parts, part of each of these)."""
+    part = ((codes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def _sent(chunk: int, codes: np.ndarray, values: list[np.ndarray], parts: int) -> pd.DataFrame:
+    """Rows (part, chunk, codes, values) of a chunk."""
+    order, part = _dealt(codes, parts)
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else [0]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    mine = [order[a:b] for a, b in spans]
+    return pd.DataFrame({
+        "part": np.array([part[a] for a, _ in spans], np.int64), "of": np.full(len(spans), chunk, np.int64), "codes": [codes[i].tobytes() for i in mine],
+        "values": [b"".join(v[i].tobytes() for v in values) for i in mine],
+    })
 
 
-def _heads_of(words: np.ndarray, tokens: np.ndarray, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The head's number of every token, -1 for the others. top: hashes in ascending order, rank: their heads."""
-    at = _find(top, words, np.ones(len(words), bool))
-    own = np.where(at >= 0, rank[at] if len(rank) else -1, -1)
-    return own[tokens] if len(own) else np.zeros(0, np.int64)
+def _returned(answers: pd.DataFrame, codes: np.ndarray, parts: int, kind: type) -> np.ndarray:
+    """The parts' answers (part, answer) in the order of the codes sent."""
+    out = np.zeros(len(codes), kind)
+    if len(codes):
+        out[_dealt(codes, parts)[0]] = np.frombuffer(b"".join(answers.sort_values("part")["answer"]), kind)
+    return out
 
 
-def _unpacked(row, top: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = np.asarray(row.words, np.int64)
-    tokens = np.frombuffer(row.low, "<u2").astype(np.int64) | (np.frombuffer(row.high, "<u2").astype(np.int64) << 16)
-    lengths = np.asarray(row.lengths, np.int64)
-    heads, begins = _streams(_heads_of(words, tokens, top, rank), lengths, len(top))
-    return tokens, lengths, heads, begins
+def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the distinct code of each entry, cuts between the rows' entries) of a part."""
+    codes = [np.frombuffer(x, np.uint64) for x in rows["codes"]]
+    return np.unique(np.concatenate(codes), return_inverse=True)[1], np.cumsum([len(x) for x in codes])[:-1]
 
 
-def _count_arcs(chunks: DataFrame, top: np.ndarray, rank: np.ndarray, levels: list, arcs: int) -> pd.DataFrame:
-    """The most frequent arcs of the next order in the training texts, down to the count at which they still fit: (arc, n)."""
-    shared = chunks.sparkSession.sparkContext.broadcast((top, rank, levels))
+def _answers(rows: pd.DataFrame, answer: np.ndarray, cuts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"of": rows["of"], "part": rows["part"], "answer": [x.tobytes() for x in np.split(answer, cuts)]})
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top, rank, levels = shared.value
-        probe = [*levels, (np.zeros(0, np.int64),)]
-        for batch in batches:
-            for row in batch.itertuples():
-                _, lengths, heads, begins = _unpacked(row, top, rank)
-                *_, (before, arc, _) = walk(probe, heads, begins)
-                learnt = np.repeat(~np.asarray(row.held, bool), lengths + 1)
-                code, n = np.unique(arc[learnt & (before >= 0) & (heads >= 0)], return_counts=True)
-                yield pd.DataFrame({"arc": code, "n": n})
-
-    counted = staged(chunks.select("words", "low", "high", "lengths", "held").mapInPandas(each, "arc long, n long").groupBy("arc").agg(F.sum("n").alias("n")).where("n > 1"))
-    sizes = counted.groupBy("n").count().toPandas().sort_values("n", ascending=False)  # a row for each count that occurs
-    fits = sizes[sizes["count"].cumsum() <= arcs]
-    return counted.where(F.col("n") >= (int(fits["n"].min()) if len(fits) else 1 << 62)).toPandas().sort_values("arc")
-
-
-def build(chunks: DataFrame, counts: DataFrame, n: int, v: int, ends: int, order: int, heads: int, arcs: int, discount: float):
-    """The automaton (top, rank, levels). Level 1: (log10 probability, backoff weight) of each head, then of the end token.
-
-    Higher levels: (codes, log10 probability, backoff weight) of the arcs; an arc of one order is a state of the next.
-    """
-    first = counts.orderBy(F.desc("c"), "word").limit(heads).toPandas()
-    by_hash = np.argsort(first["word"].to_numpy(np.int64))
-    top, rank = first["word"].to_numpy(np.int64)[by_hash], by_hash.astype(np.int64)
-    size = len(top) + 1
-    times = np.append(first["c"].to_numpy(np.int64), ends)
-    p = (times + 1) / (n + v + 1)
-    lower = [p]  # probability of each arc of an order, by its own number
-    levels: list[tuple[np.ndarray, ...]] = [(np.log10(p), np.zeros(size))]
-    for _ in range(2, order + 1):
-        kept = _count_arcs(chunks, top, rank, levels, arcs)
-        code, seen = kept["arc"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
-        state, word = code // size, code % size
-        p = (seen - discount) / times[state]
-        left = 1 - np.bincount(state, p, len(times))
-        depth = len(levels)
-        shorter = _probability(levels, lower, depth - 1, _suffix(levels, depth, state, size), word, size)
-        below = 1 - np.bincount(state, shorter, len(times))
-        weight = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-        weight[np.bincount(state, minlength=len(times)) == 0] = 0
-        levels[-1] = (*levels[-1][:-1], weight)
-        levels.append((code, np.log10(p), np.zeros(len(code))))
-        lower.append(p)
-        times = seen
-    return top, rank, levels
-
-
-def _probability(levels: list, lower: list[np.ndarray], depth: int, state: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """Probability of the word after a state of the depth; -1 stands for no such state, 0 is the root's depth."""
-    if not depth:
-        return lower[0][word]
-    below = _probability(levels, lower, depth - 1, _suffix(levels, depth, state, size), word, size)
-    arc = _find(levels[depth][0], state * size + word, state >= 0)
-    through = np.where(state >= 0, 10.0 ** levels[depth - 1][-1][state], 1.0)
-    return np.where(arc >= 0, lower[depth][arc] if len(lower[depth]) else 0.0, below * through)
-
-
-def _suffix(levels: list, depth: int, state: np.ndarray, size: int) -> np.ndarray:
-    """For states of a depth (arcs of that order) the state of one word less; -1 if there is none."""
-    if depth == 1:
-        return np.full(len(state), -1)
-    word = levels[depth - 1][0][state] % size
-    if depth == 2:
-        return word
-    shorter = _suffix(levels, depth - 1, levels[depth - 1][0][state] // size, size)
-    return _find(levels[depth - 2][0], shorter * size + word, shorter >= 0)
-
-
-def _score_chunk(row, seen: pd.DataFrame, n: int, v: int, ends: int, top: np.ndarray, rank: np.ndarray, levels: list) -> pd.DataFrame:
-    count = np.zeros(len(row.words), np.int64)
-    count[seen["pos"].to_numpy(np.int64)] = seen["c"].to_numpy(np.int64)
-    tokens, lengths, heads, begins = _unpacked(row, top, rank)
-    plain, _ = _streams(tokens, lengths, len(count))
-    count = np.append(count, ends)
-    known = (count > 0)[plain]
-    base = np.log10((count + 1) / (n + v + 1))[plain]
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each n-gram that a chunk sent twice its count in the corpus, plus 1 in the first chunk whose training texts hold it."""
+    rows = rows.sort_values("of")
+    which, cuts = _entries(rows)
+    n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["values"]])
+    total = np.zeros(which.max() + 1, np.int64)
+    np.add.at(total, which, n)
+    learnt = np.flatnonzero(n > 0)
+    answer = 2 * total[which]
+    answer[learnt[np.unique(which[learnt], return_index=True)[1]]] += 1
+    return _answers(rows, answer, cuts)
+
+
+def _weighed(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each state that a chunk sent its log10 backoff weight, from the sums over arcs that the chunks know."""
+    rows = rows.sort_values("of")
+    which, cuts = _entries(rows)
+    sums = [np.frombuffer(x, float).reshape(2, -1) for x in rows["values"]]
+    own, below = (np.bincount(which, x) for x in np.concatenate(sums, axis=1))
+    weight = np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1 - below, 1e-12))
+    weight[own == 0] = 0
+    return _answers(rows, weight[which], cuts)
+
+
+def _totals(row, levels: list[Grams]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(counts in the corpus of each order's n-grams, those that this chunk adds to sums)."""
+    both = np.split(np.frombuffer(row.totals, np.int64), np.cumsum([len(g.codes) for g in levels])[:-1])
+    return [x >> 1 for x in both], [(x & 1).astype(bool) for x in both]
+
+
+def _probabilities(levels: list[Grams], counts: list[np.ndarray], n: int, v: int, discount: float) -> list[np.ndarray]:
+    """Of the n-grams of each order: of words by add-one, of the others the discounted one of their arcs, 0 without an arc."""
+    out = [(counts[0] + 1) / (n + v + 1)]
+    for g, c, shorter in zip(levels[1:], counts[1:], counts, strict=False):
+        out.append(np.where(c >= LEAST, (c - discount) / np.maximum(shorter[g.context], 1), 0.0))
+    return out
+
+
+def _states(levels: list[Grams], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(codes of the states that may have arcs, their numbers in each order)."""
+    numbers = [np.flatnonzero(c >= LEAST) for c in counts[:-1]]
+    return np.concatenate([np.zeros(0, np.uint64), *(g.codes[i] for g, i in zip(levels, numbers, strict=False))]), numbers
+
+
+def _score_chunk(row, answers: pd.DataFrame, n: int, v: int, order: int, discount: float, parts: int) -> pd.DataFrame:
+    levels, begins, _ = _grams(row, order)
+    counts, _ = _totals(row, levels)
+    codes, numbers = _states(levels, counts)
+    weights = np.split(_returned(answers, codes, parts, float), np.cumsum([len(i) for i in numbers])[:-1])
+    chance = _probabilities(levels, counts, n, v, discount)
+    known = (counts[0] > 0)[levels[0].at]
+    base = np.log10(chance[0])[levels[0].at]
     score = base.copy()
-    for (before, _, found), level, under in zip(walk(levels, heads, begins), levels[1:], levels, strict=False):
-        through = np.where(before >= 0, under[-1][before] if len(under[-1]) else 0.0, 0.0)
-        score = np.where(found >= 0, level[1][found] if len(level[1]) else 0.0, score + through)
+    for g, p, i, some, shorter in zip(levels[1:], chance[1:], numbers, weights, counts, strict=False):
+        weight = np.zeros(len(shorter) + 1)  # the last one for no state, -1
+        weight[i] = some
+        arc = np.append(p, 0.0)[g.at]
+        score = np.where(arc > 0, np.log10(np.where(arc > 0, arc, 1.0)), score + weight[g.before])
     sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has its end token
     return pd.DataFrame({
-        "id": pd.array(list(row.ids), "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": lengths + 1,
+        "id": pd.array(list(row.ids), "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": np.asarray(row.lengths, np.int64) + 1,
         "n_known": sums(known.astype(np.int64)), "train_tokens": n, "base_score": sums(base), "score": sums(score),
     })
 
 
 def scores(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, heads: int = HEADS, arcs: int = ARCS,
-    discount: float = DISCOUNT,
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, discount: float = DISCOUNT,
 ) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows that held_out doesn't hold for."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), held_out.alias("held"))
     chunks = staged(rows.mapInPandas(_chunks, CHUNKS))
-    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = staged(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
-    learnt = chunks.select(F.size(F.filter("held", lambda x: ~x)).alias("docs")).agg(F.sum("docs")).first()[0] or 0
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    n, v = (total[0] or 0) + learnt, total[1] + (learnt > 0)
-    shared = docs.sparkSession.sparkContext.broadcast((n, v, learnt, *build(chunks, counts, n, v, learnt, order, heads, arcs, discount)))
-
-    def each(chunk: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_score_chunk(row, seen, *shared.value) for row in chunk.itertuples()])
-
-    seen = entries.select(F.col("chunk").alias("of"), "pos", "word").join(counts, "word").select("of", "pos", "c")
-    left = chunks.select("chunk", "ids", "held", "lengths", "words", "low", "high").groupBy("chunk")
-    out = left.cogroup(seen.groupBy("of")).applyInPandas(
-        each, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    parts = -(-max(1, chunks.count()) // SHARE)
+    sent, answered = "part long, of long, codes binary, values binary", "of long, part long, answer binary"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                levels, _, learnt = _grams(row, order)
+                n = [np.bincount(g.at[learnt & (g.at >= 0)], minlength=len(g.codes)).astype(np.int32) for g in levels]
+                yield _sent(row.chunk, np.concatenate([g.codes for g in levels]), [np.concatenate(n)], parts)
+
+    def total(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = next(chunk.itertuples())
+        levels, _, learnt = _grams(row, order)
+        got = _returned(answers, np.concatenate([g.codes for g in levels]), parts, np.int64)
+        return chunk.assign(totals=[got.tobytes()], learnt=int(learnt.sum()), new=int((got[: len(levels[0].codes)] & 1).sum()))
+
+    counted = chunks.mapInPandas(count, sent).groupBy("part").applyInPandas(_counted, answered)
+    known = chunks.groupBy("chunk").cogroup(counted.groupBy("of")).applyInPandas(total, f"{CHUNKS}, totals binary, learnt long, new long")
+    known = staged(known)
+    n, v = (x or 0 for x in known.agg(F.sum("learnt"), F.sum("new")).first())
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                levels, _, _ = _grams(row, order)
+                counts, mine = _totals(row, levels)
+                chance = _probabilities(levels, counts, n, v, discount)
+                codes, numbers = _states(levels, counts)
+                own, below = [np.zeros(0)], [np.zeros(0)]
+                for g, p, add, lower, i in zip(levels[1:], chance[1:], mine[1:], chance, numbers, strict=False):
+                    arcs = np.flatnonzero(add & (p > 0))
+                    size = int(max(i.max(initial=-1), g.context[arcs].max(initial=-1))) + 1
+                    own.append(np.bincount(g.context[arcs], p[arcs], size)[i])
+                    below.append(np.bincount(g.context[arcs], lower[g.suffix[arcs]], size)[i])
+                yield _sent(row.chunk, codes, [np.concatenate(own), np.concatenate(below)], parts)
+
+    def score(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _score_chunk(next(chunk.itertuples()), answers, n, v, order, discount, parts)
+
+    weighed = known.mapInPandas(weigh, sent).groupBy("part").applyInPandas(_weighed, answered)
+    left = known.drop("learnt", "new").groupBy("chunk")
+    out = left.cogroup(weighed.groupBy("of")).applyInPandas(
+        score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.withColumnRenamed("id", id_col)

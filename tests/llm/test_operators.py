@@ -474,6 +474,23 @@ def test_scores_against_a_literal_automaton(spark, order):
         assert abs(r.base_score - base) < 1e-9 and abs(r.score - score) < 1e-9, (i, r.score, score)
 
 
+def test_scores_know_every_word(spark):
+    """5,000 words, each pair twice: the pairs of the rarest words are learnt as those of the first."""
+    pairs = [f"left{i} right{i}" for i in range(5000)]
+    texts = {i: " ".join(pairs[i % 50 :: 50]) for i in range(100)} | {100: "left4999 right4999", 101: "left0 right0"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.scores(docs, F.col("doc_id") >= 100, order=2).collect()}
+    n = 100 * 201
+    p = lambda k: (k + 1) / (n + 10_001 + 1)
+    # after the end: 50 first words, twice each; left0 is one of them, left4999 isn't
+    weight = (1 - 50 * 1.5 / 100) / (1 - 50 * p(2))
+    arc = math.log10(1.5 / 2)
+    first = {100: math.log10(weight * p(2)), 101: math.log10(1.5 / 100)}
+    last = {100: arc, 101: math.log10(0.25 / (1 - p(2)) * p(100))}  # right4999 ends two texts, right0 none
+    for i in (100, 101):
+        assert abs(got[i].score - (first[i] + arc + last[i])) < 1e-9
+
+
 def test_scores_odd(spark):
     assert lm.scores(odd(spark), crc_mod("doc_id", 7) == 2).count() == 8
     assert lm.scores(odd(spark).limit(0), crc_mod("doc_id", 7) == 2).count() == 0
