@@ -233,6 +233,20 @@ def test_packing(spark, documents):
     assert len(by_sequence) <= 1.02 * -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_packing_ids_are_those_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(VOCABULARY)
+    texts = {1: "end <|endoftext|> of", 2: "a" + " " * 1_000_000 + "b", 3: "<|endoftext|>", 4: "x\n" + " \t" * 60_000, 5: "plain text", 6: "<|endoftext |>"}
+    got = packing.pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), VOCABULARY).collect()
+    for i, text in texts.items():
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        rows = [r for r in got if r.doc_id == i]
+        assert sum(r.length for r in rows) == len(ids) and (i != 1 or len(ids) == 5)
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     for n, hot in ((0, 0), (5, 0), (3000, 0), (20_000, 9000)):
