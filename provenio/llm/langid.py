@@ -3,7 +3,8 @@
 Each language has a Bloom filter of the trigrams that are usual in it. All filters have
 one size and the same hash functions and lie across each other: word i of the table
 holds bit i of every language's filter, so that one look-up for each hash function,
-ANDed, returns the set of all languages that contain a trigram. The hits are counted
+ANDed, returns the set of all languages that contain a trigram. A word is of 64 bits;
+each 64 languages have a column of the table. The hits are counted
 for each language over the whole text, corrected for the share of hits that the filter
 gives by chance, and the language with most corrected hits is predicted.
 
@@ -38,7 +39,7 @@ STEP = 1 << 18
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # uint64, a power of two long
+    table: np.ndarray  # uint64, a power of two long, a column for each 64 languages
     by_chance: np.ndarray  # for each language, the share of absent trigrams that hit
 
 
@@ -80,26 +81,30 @@ def _places(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def contains(filters: Filters, grams: np.ndarray) -> np.ndarray:
-    """For each trigram, the set of languages that contain it, as bits."""
-    found = np.full(len(grams), np.uint64(0xFFFFFFFFFFFFFFFF))
+    """For each trigram, the set of languages that contain it, as bits of a column for each 64 languages."""
+    found = np.full((len(grams), filters.table.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in _places(grams, len(filters.table)):
         found &= filters.table[at]
     return found
 
 
+def _bit(sets: np.ndarray, i: int) -> np.ndarray:
+    """For each set of languages, whether it holds language number i."""
+    return (sets[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+
+
 def build(shares: pd.DataFrame, min_share: float, ratio: float) -> Filters:
     """Filters from rows (lang, gram, share of the language's documents)."""
     most = shares.groupby("gram")["share"].transform("max")
     kept = shares[(shares["share"] >= min_share) & (shares["share"] >= ratio * most)]
     languages = sorted(kept["lang"].unique())
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit a bit set")
     size = 1 << max(10, int(np.ceil(np.log2(max(1, kept.groupby("lang").size().max() if len(kept) else 1) * HASHES * 4))))
-    table = np.zeros(size, np.uint64)
-    for bit, lang in enumerate(languages):
-        for at in _places(kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.int64), size):
-            np.bitwise_or.at(table, at, np.uint64(1 << bit))
-    fill = np.array([((table >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
+    table = np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64)
+    own = {lang: grams.to_numpy(np.int64) for lang, grams in kept.groupby("lang")["gram"]}
+    for i, lang in enumerate(languages):
+        for at in _places(own[lang], size):
+            np.bitwise_or.at(table[:, i // 64], at, np.uint64(1 << i % 64))
+    fill = np.array([_bit(table, i).mean() for i in range(len(languages))])
     return Filters(languages, table, fill**HASHES)
 
 
@@ -125,8 +130,8 @@ def predict(filters: Filters, texts: list[str | None]) -> pd.DataFrame:
         owner, grams = trigrams([(t or "").replace("\0", " ") for t in texts[begin:end]])
         sets = contains(filters, grams)
         n[begin:end] = np.bincount(owner, minlength=end - begin)
-        for bit in range(k):
-            hits[begin:end, bit] = np.bincount(owner, ((sets >> np.uint64(bit)) & np.uint64(1)).astype(float), end - begin)
+        for i in range(k):
+            hits[begin:end, i] = np.bincount(owner, _bit(sets, i).astype(float), end - begin)
         begin = end
     found = corrected(hits[:, :k], n, filters.by_chance) if k else np.zeros((len(texts), 1))
     best, top = found.argmax(axis=1), found.max(axis=1)
@@ -151,7 +156,7 @@ def train(
     rows = only(labelled, id_col, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(lang).count()
     part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    picked = rows.join(F.broadcast(counts.limit(64)), lang).where(part * F.col("count") < F.lit(1_000_000 * per_language).cast("long"))
+    picked = rows.join(F.broadcast(counts), lang).where(part * F.col("count") < F.lit(1_000_000 * per_language).cast("long"))
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -58,6 +58,16 @@ def test_language_filters():
         assert abs(hits - filters.by_chance[bit]) < 0.01
 
 
+def test_more_than_64_languages(spark):
+    """Each language has a word of its own; all 70 are learnt and told apart."""
+    word = {f"l{i:02}": "".join(chr(0x4E00 + 7 * i + j) for j in range(6)) for i in range(70)}
+    docs = spark.createDataFrame([(n, w, lang) for n, (lang, w) in enumerate(word.items())], "doc_id long, text string, lang string").repartition(3)
+    filters = langid.train(docs)
+    assert filters.languages == sorted(word)
+    assert list(langid.predict(filters, list(word.values()))["lang_pred"]) == list(word)
+    assert {r.lang: r.language.lang_pred for r in langid.identify(docs, filters).collect()} == {lang: lang for lang in word}
+
+
 def test_language_held_out(spark, documents):
     filters = langid.train(documents.where(crc_mod("doc_id", 5) != 0))
     found = langid.identify(documents.where(crc_mod("doc_id", 5) == 0), filters)
