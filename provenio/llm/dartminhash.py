@@ -8,18 +8,24 @@ the earliest of each coordinate; if one stays empty, it throws on to twice the r
 documents agree in a coordinate with the probability of their weighted Jaccard
 similarity. The cost is a number of darts, not of elements times coordinates.
 
-Joining: equal texts are one node. Nodes that share a band of the signature share a
-bucket. A bucket never gives all its pairs: it gives a forest of its most similar members
-and some nearest ones of each, by the estimate that a byte of each coordinate allows.
-Buckets of more than BUCKET members are dealt into blocks, by a hash that differs for
-each band; those members that meet most others over all bands are in every block. The
-pairs of all bands are then compared exactly, on the sets of hashed shingles. Classes are
-the connected components of the links found.
+Joining: equal texts are one node, and nodes that share a band of the signature share a
+bucket. In each bucket, dealt into blocks of BLOCK members at most, a forest of the most
+similar members is compared first; so a group of copies becomes one component by about one
+comparison for each member and band. Then, in every bucket that still holds several
+components, each member outside its largest component meets all members of other
+components, block by block. Pairs are compared exactly, as multisets of hashed shingles,
+unless a byte of each coordinate already rules them out: LEAST_ALIKE lies 3.8 deviations
+under what a similarity of 0.8 expects. So all links that the bands can show are found or
+implied, whatever the size of a bucket. Classes are the connected components of the links.
+
+Similarity is the weighted Jaccard similarity: shingles count as often as they occur, both
+in the signatures and in the comparison; with `weighted=False` both take sets.
 
 Defined cases: null texts and texts without a word are alone in their class, except that
 equal texts always share one (null apart); a text of fewer than five words has one
-shingle of all its words; an id that is null has the class of its text; repeated rows are
-each in the class; an empty table gives an empty result. Texts are read whole.
+shingle of all its words; an id that is null comes last: its class has the smallest id of
+those that are not null, and null if there is none; repeated rows are each in the class;
+an empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -27,19 +33,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.llm.common import only, staged
-from provenio.llm.shingles import mix, shingle_sets, steps
+from provenio.llm.shingles import mix, shingle_sets, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
-#: Pairs are compared if so many bytes of their sketches agree; 0.8 expects 0.8 of them, with a deviation of 0.04.
-LEAST_ALIKE = 0.62
-BUCKET, HUBS, NEAREST = 512, 32, 3
+#: Pairs are compared if so many bytes of their sketches agree; 0.8 expects 0.8 of 120, with a deviation of 0.037.
+LEAST_ALIKE = 0.66
+#: Members that are searched for a forest at a time, and members outside a bucket's largest component that meet so many others at a time.
+BLOCK, OUTSIDE, OTHERS = 512, 256, 4096
+SIGNED = "id long, node binary, bands array<bigint>, sketch binary"
 
 
 def _darts(seeds: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,109 +120,163 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int, weighted: bool):
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            keys, sketches = [], []
-            for _, part in steps(list(texts)):
-                owner, code, times = shingle_sets(part, SHINGLE)
-                sig = signatures(owner, code, times if weighted else np.ones(len(code)), len(part), bands * rows)
-                some = np.isin(np.arange(len(part)), owner)
-                keys += [k if x else None for x, k in zip(some, band_keys(sig, bands), strict=True)]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for raw, starts in slices(batch["text"]):
+                n = len(starts)
+                owner, code, times = shingle_sets(raw, starts, SHINGLE)
+                sig = signatures(owner, code, times if weighted else np.ones(len(code)), n, bands * rows)
+                some = np.bincount(owner, minlength=n) > 0
+                ends = np.cumsum(np.append(0, some * bands)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~some, False)), pa.array(band_keys(sig, bands)[some].ravel()))
                 short = (sig >> np.uint64(56)).astype(np.uint8)
-                sketches += [k.tobytes() if x else None for x, k in zip(some, short, strict=True)]
-            yield pd.DataFrame({"bands": pd.Series(keys, dtype=object), "sketch": pd.Series(sketches, dtype=object)})
+                sketch = pa.array([x.tobytes() if y else None for x, y in zip(short, some.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["id"][at : at + n], batch["node"][at : at + n], keys, sketch], ["id", "node", "bands", "sketch"])
+                at += n
 
-    return F.pandas_udf(each, "bands array<bigint>, sketch binary")
+    return each
 
 
-def _set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        sets: list = []
-        for _, part in steps(list(texts)):
-            owner, code, _ = shingle_sets(part, SHINGLE)
-            sets += np.split(code.view(np.int64), np.cumsum(np.bincount(owner, minlength=len(part)))[:-1])
-        yield pd.Series(sets, dtype=object)
+def _sets(weighted: bool):
+    """Rows (node, items): hashes of the shingles; one that occurs again has further hashes."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for raw, starts in slices(batch["text"]):
+                owner, code, times = shingle_sets(raw, starts, SHINGLE)
+                if weighted and len(times):
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    owner, code = np.repeat(owner, times), np.repeat(code, times)
+                    code = np.where(nth == 0, code, mix(code + nth.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
+                ends = np.cumsum(np.append(0, np.bincount(owner, minlength=len(starts)))).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["node"][at : at + len(starts)], items], ["node", "items"])
+                at += len(starts)
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (node, hub) with their exact Jaccard similarity."""
+    return each
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, hub) whose exact Jaccard similarity suffices."""
     left = sets.select(F.col("node"), F.col("items").alias("a"))
     right = sets.select(F.col("node").alias("hub"), F.col("items").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    both = pairs.join(left, "node").join(right, "hub")
-    return both.select("node", "hub", (common / (F.size("a") + F.size("b") - common)).alias("similarity"))
+    both = pairs.join(left, "node").join(right, "hub").withColumn("common", F.size(F.array_intersect("a", "b")))
+    return both.where(F.col("common") / (F.size("a") + F.size("b") - F.col("common")) >= similarity).select("node", "hub")
 
 
-def _nearest(sketches: np.ndarray) -> np.ndarray:
-    """Pairs (row, row) of a bucket to compare: a forest of the most similar ones, and each row's NEAREST others.
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of the sketches agree, for each row of a and of b."""
+    out = np.empty((len(a), len(b)), np.int16)
+    for at in range(0, len(a), 16):
+        out[at : at + 16] = (a[at : at + 16, None, :] == b[None, :, :]).sum(axis=2)
+    return out
 
-    Similarities are estimated from a byte of each coordinate. There are no more pairs than 1 + NEAREST for each row.
-    """
+
+def _forest(sketches: np.ndarray) -> np.ndarray:
+    """Prim's forest of the most similar members of a block, as pairs of rows; similarities are estimated from the sketches."""
     m, k = sketches.shape
-    if m == 2:
-        return np.array([[0, 1]])
-    alike = np.empty((m, m), np.int16)
-    for at in range(0, m, 64):
-        alike[at : at + 64] = (sketches[at : at + 64, None, :] == sketches[None, :, :]).sum(axis=2)
-    np.fill_diagonal(alike, -1)
-    pairs = []
-    best = np.argpartition(-alike, min(NEAREST, m - 1) - 1, axis=1)[:, :NEAREST]
-    for col in best.T:
-        pairs.append(np.column_stack([np.arange(m), col]))
-    todo, link = alike[0].copy(), np.zeros(m, np.int64)  # Prim's tree
-    done = np.zeros(m, bool)
-    done[0] = True
+    alike = _alike(sketches, sketches)
+    best, link = alike[0].copy(), np.zeros(m, np.int64)
+    best[0] = -1
     tree = np.zeros((m - 1, 2), np.int64)
     for i in range(m - 1):
-        new = int(np.where(done, -2, todo).argmax())
-        tree[i], done[new] = (new, link[new]), True
-        closer = alike[new] > todo
-        todo[closer], link[closer] = alike[new][closer], new
-    pairs = np.concatenate([*pairs, tree])
-    return pairs[alike[pairs[:, 0], pairs[:, 1]] >= LEAST_ALIKE * k]
-
-
-def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs to compare from rows (key, block, node, sketch) in order of key and block; a bucket may go over batches."""
-    rest: pd.DataFrame | None = None
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        node, sketch = rows["node"].to_numpy(), rows["sketch"].to_numpy()
-        key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        found = []
-        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            if b - a > 1:
-                found += [(node[a + x], node[a + y]) for x, y in _nearest(np.frombuffer(b"".join(sketch[a:b]), np.uint8).reshape(b - a, -1))]
-        return pd.DataFrame([(min(x, y), max(x, y)) for x, y in found if x != y], columns=["node", "hub"])
+        new = int(best.argmax())
+        tree[i] = new, link[new]
+        closer = (alike[new] > best) & (best >= 0)
+        best[closer], link[closer] = alike[new][closer], new
+        best[new] = -1
+    return tree[alike[tree[:, 0], tree[:, 1]] >= LEAST_ALIKE * k]
 
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of one group at a time, from rows in order of the keys; a group may go over batches."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(rows):
+        if not len(batch):
             continue
-        last = (rows["key"] == rows["key"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
-        rest = rows[last].reset_index(drop=True)
-        yield search(rows[~last])
-    if rest is not None:
-        yield search(rest)
-
-
-def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (node, hub) among the members (key, node, n, meets, sketch) of buckets of n."""
-    parts = F.ceil(F.col("n") / BUCKET).cast("int")
-    small = members.where(F.col("n") <= BUCKET).select("key", F.lit(0).alias("block"), "node", "sketch")
-    large = members.where(F.col("n") > BUCKET).withColumn("parts", parts)
-    order = Window.partitionBy("key").orderBy(F.desc("meets"), "node")
-    hubs = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS)
-    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "node", "sketch")
-    dealt = large.select("key", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int").alias("block"), "node", "sketch")
-    groups = small.unionByName(hubs.unionByName(dealt).distinct()).repartition("key", "block").sortWithinPartitions("key", "block")
-    pairs = staged(groups.mapInPandas(_pairs_of, "node binary, hub binary").distinct())
-    return staged(_compared(pairs, sets).where(F.col("similarity") >= similarity).select("node", "hub"))
+        parts = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(len(batch), bool)
+        for part in parts:
+            new[1:] |= part[1:] != part[:-1]
+        new[0] = not held or any(held[-1][k][-1].as_py() != batch[k][0].as_py() for k in keys)
+        cuts = [*np.flatnonzero(new).tolist(), len(batch)]
+        if cuts[0]:
+            held.append(batch.slice(0, cuts[0]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(a, b - a)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sketches(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(group), -1)
+
+
+def _pairs(left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+    both = [(x, y) if x < y else (y, x) for x, y in zip(left, right, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["node", "hub"])
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of each block from rows (key, block, node, sketch)."""
+    for group in _grouped(batches, ("key", "block")):
+        if len(group) > 1:
+            node = group["node"].to_pylist()
+            found = _forest(_sketches(group)).tolist()
+            yield _pairs([node[x] for x, _ in found], [node[y] for _, y in found])
+
+
+def _further_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different labels from rows (key, part, other, outside, node, label, sketch): members outside the largest component meet all."""
+    for group in _grouped(batches, ("key", "part", "other")):
+        outside = group["outside"].to_numpy(zero_copy_only=False)
+        node, label, sketches = group["node"].to_pylist(), np.array(group["label"].to_pylist(), object), _sketches(group)
+        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if len(a) and len(b):
+            x, y = np.nonzero((_alike(sketches[a], sketches[b]) >= LEAST_ALIKE * sketches.shape[1]) & (label[a][:, None] != label[b][None, :]))
+            yield _pairs([node[i] for i in a[x]], [node[i] for i in b[y]])
+
+
+def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs compared, links) of the forests among the members (key, node, n, sketch) of buckets of n."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.select("key", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), "node", "sketch")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    pairs = staged(dealt.mapInArrow(_first_pairs, "node binary, hub binary").distinct())
+    return pairs, staged(_similar(pairs, sets, similarity))
+
+
+def _further_links(members: DataFrame, label: DataFrame, compared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components (label, label) of members that share a bucket."""
+    placed = staged(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    counts = staged(placed.groupBy("key", "label").agg(F.count("*").alias("n")))
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+    several = several.where("labels > 1").select("key", F.col("most.label").alias("largest"), F.col("most.n").alias("inside"), "n")
+    several = staged(several.select("key", "largest", F.ceil((F.col("n") - F.col("inside")) / OUTSIDE).cast("int").alias("parts"), F.ceil(F.col("n") / OTHERS).cast("int").alias("others")))
+    opened = placed.drop("n").join(several, "key")
+    deal = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("key", "part", "other", "outside", "node", "label", "sketch")
+    left = opened.where("label <> largest").withColumn("part", deal("parts")).withColumn("other", every("others")).withColumn("outside", F.lit(True))
+    right = opened.withColumn("other", deal("others")).withColumn("part", every("parts")).withColumn("outside", F.lit(False))
+    groups = left.select(*columns).unionByName(right.select(*columns)).repartition("key", "part", "other").sortWithinPartitions("key", "part", "other")
+    pairs = staged(groups.mapInArrow(_further_pairs, "node binary, hub binary").distinct())
+    links = _similar(pairs.join(compared, ["node", "hub"], "left_anti"), sets, similarity)
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    links = links.join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    return links.select(F.coalesce("node_label", "node").alias("node"), F.coalesce("hub_label", "hub").alias("hub"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Rows (node, label) of the nodes in links (node, hub): label is the smallest node of the connected component."""
+    """Rows (node, label) of the nodes in links (node, hub): label is the smallest node of the connected component.
+
+    Labels go to neighbours and to the label's own label until none changes; each round is written, so that a lost
+    executor costs no earlier one, and its joins, which many nodes of one label meet, have no aggregate on their keys.
+    """
     both = links.unionByName(links.select(F.col("hub").alias("node"), F.col("node").alias("hub"))).distinct()
     edges = staged(both)
     labels = staged(edges.groupBy("node").agg(F.least("node", F.min("hub")).alias("label")))
@@ -228,29 +290,55 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("node", "label")
 
 
+_SIGN = -(1 << 63)
+
+
+def ordered_node(least: Column, text: Column) -> Column:
+    """A binary name of a text whose order is that of the smallest id that has it; null ids come last."""
+    number = F.lpad(F.hex(least.cast("long").bitwiseXOR(F.lit(_SIGN))), 16, "0")
+    return F.unhex(F.concat(F.when(least.isNull(), F.lit("010000000000000000")).otherwise(F.concat(F.lit("00"), number)), F.hex(text)))
+
+
+def least_id(node: Column) -> Column:
+    """The id that ordered_node holds."""
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), number)
+
+
+def keyed(id_: Column, node: Column) -> Column:
+    """One name for an id, which may be null, and a text."""
+    return F.concat(F.coalesce(F.hex(id_), F.lit("-")), F.lit(":"), F.coalesce(F.hex(node), F.lit("-")))
+
+
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-    weighted: bool = False,
+    weighted: bool = True,
 ) -> DataFrame:
-    """Rows (id, node, class_id): node stands for the text; class_id is the smallest id of the class.
-
-    weighted: shingles count as often as they occur when signatures are made; else each has weight 1, which is the
-    similarity that links are compared by.
+    """Rows (id, node, class_id, first): node stands for the text, class_id is the smallest id of the class; first: the row is
+    the one, or repeats the one, that the class is named by.
     """
-    base = only(docs, id_col, text).select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    signed = staged(base.select("id", "node", _signed(bands, rows, weighted)("text").alias("s")).select("id", "node", "s.*"))
-    nodes = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min("bands").alias("bands"))
-    sketches = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    base = only(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    signed = staged(base.mapInArrow(_signed(bands, rows, weighted), SIGNED))
+    same = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.any_value(F.struct("bands", "sketch")).alias("s"))
+    nodes = staged(same.select(F.col("node").alias("md5"), "least", ordered_node(F.col("least"), F.col("node")).alias("node"), "s.*"))
+    entries = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
+    shared = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = staged(entries.join(shared, "key"))
-    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
-    members = met.join(sketches.join(meets, "node"), "node").select("key", "node", "n", "meets", "sketch")
-    wanted = met.select("node").distinct()
-    texts = base.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = staged(texts.select("node", F.pandas_udf(_set_of, "array<bigint>")("text").alias("items")))
-    label = components(_links(members, sets, similarity))
-    placed = signed.select("id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
-    out = placed.join(least, "label", "left").select(F.col("id").alias(id_col), "node", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out
+    wanted = staged(met.select("node").distinct().join(nodes.select("node", "md5", "least", "sketch"), "node"))
+    members = met.join(wanted.select("node", "sketch"), "node")
+    one_each = wanted.select(keyed(F.col("least"), F.col("md5")).alias("name"), F.col("node").alias("of"))  # one row of all that have the text
+    texts = base.where("text is not null").withColumn("name", keyed(F.col("id"), F.col("node"))).select("name", "text").join(one_each.hint("shuffle_hash"), "name")
+    sets = texts.select(F.col("of").alias("node"), "text").mapInArrow(_sets(weighted), "node binary, items array<bigint>")
+    sets = staged(sets.groupBy("node").agg(F.any_value("items").alias("items")))  # rows of one id and text
+    compared, links = _first_links(members, sets, similarity)
+    first = components(links)
+    second = components(_further_links(members, first, compared, sets, similarity))
+    second = second.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    alone = second.join(first.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "root")
+    label = first.join(second, "label", "left").select("node", F.coalesce("root", "label").alias("root")).unionByName(alone)
+    root = F.coalesce("root", "node")
+    classed = nodes.select("md5", "least", "node").join(label, "node", "left")
+    classed = staged(classed.select(F.col("md5").alias("node"), "least", least_id(root).alias("class_id"), (root == F.col("node")).alias("root")))
+    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    first = F.col("node").isNull() | (F.col("root") & F.col("id").eqNullSafe(F.col("least")))
+    return signed.select("id", "node").join(classed, "node", "left").select(F.col("id").alias(id_col), "node", own.alias("class_id"), first.alias("first"))

@@ -1,19 +1,29 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
-The corpus is read once into chunks: some megabytes of documents as numbers of the
-chunk's distinct words. Each chunk sends its distinct n-grams of every order, hashed, with
-their counts in its training texts to parts dealt by the hash, whose number grows with the
-number of chunks, and has the counts of the whole corpus back. No task and no broadcast
-holds the vocabulary or the n-grams. A hot n-gram has one entry for each chunk.
-
 The automaton: the root knows every word by its add-one probability. Every word is a
 state, and so is every n-gram that occurs LEAST times at least in the training texts; no
-number of rows bounds them. An arc leads from a state by a word, at its discounted
-probability, to the longest suffix that is a state; where a state has no arc for a word,
-its failure arc leads to the state of the next shorter suffix at the price of its backoff
-weight. Probabilities after each state add up to 1. A state's weight needs sums over its
-arcs: each arc is added by one chunk alone that holds it, and the parts sum them for the
-state and send the weight to the chunks that hold the state.
+number of rows bounds them. Smoothing is interpolated absolute discounting: an arc leads
+from a state by a word, at the discounted share of the state's occurrences plus what the
+failure arc would give, to the longest suffix that is a state; the failure arc leads to
+the next shorter suffix at the price of the mass that the discounts and the n-grams
+without an arc have left. Probabilities after each state add up to 1.
+
+The corpus is read once into chunks: some megabytes of documents as numbers of the
+chunk's distinct words, kept in a table bucketed by chunk, so that what comes back for a
+chunk meets it without a shuffle of the texts. n-grams are dealt by hash to parts, whose
+number grows with the number of chunks, in three exchanges:
+
+1. Each chunk sends a fingerprint of each n-gram of two words or more and hears which may
+   occur LEAST times. A fingerprint that two n-grams share costs an n-gram more in the
+   second exchange and changes no result.
+2. It sends these n-grams and all its words with their counts in its training texts, and
+   hears their counts in the corpus. No task and no broadcast holds the vocabulary or the
+   n-grams; a hot one has an entry for each chunk.
+3. The mass of a state is summed over its arcs, each counted by one chunk alone that holds
+   it, and goes to the chunks that hold the state.
+
+n-grams are told apart by 48 bits of a hash within their part, which holds some million of
+them: the chance that any two in a part are taken for one is some 0.002.
 
 A text is traversed once from left to right. As the longest suffix that is a state
 depends only on the words before, the traversal is done for all positions at a time,
@@ -30,68 +40,79 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenio.llm.common import only, staged
-from provenio.llm.shingles import mix, steps, word_hashes
+from provenio.llm.common import bucketed, staged
+from provenio.llm.shingles import mix, slices, word_hashes
 
 ORDER, DISCOUNT = 3, 0.5
 #: An n-gram of two words or more has an arc if it occurs so often in the training texts.
 LEAST = 2
-#: Not a bound: tests compare with a literal automaton on corpora of no more words.
-HEADS = 4096
 #: Stands for the end of a text among the hashes of words.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
 CHUNK = 8 << 20
-CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words array<bigint>, low binary, high binary"
-#: Chunks for each part that n-grams are dealt to.
-SHARE = 2
+CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words binary, tokens binary, learnt long"
+#: Bits of a fingerprint and of an n-gram's code within its part.
+FINGERPRINT, CODE = 28, 48
+MESSAGE = "part long, of long, codes binary, values binary"
+ANSWER = "of long, part long, step int, answer binary, new long"
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed: the high bytes of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def opened(data: bytes, kind: type) -> np.ndarray:
+    n, wide = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[4:], n * wide, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, n).T).view(kind).ravel()
+
 
+def _ascending(x: np.ndarray) -> bytes:
+    return squeezed(np.diff(x, prepend=np.uint64(0)))
 
-def _chunk(at: int, ids: list, held: list, lengths: list[int], hashes: list[np.ndarray]) -> pd.DataFrame:
+
+# -- Chunks.
+
+
+def _chunk(at: int, ids: list, held: list, lengths: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
     words, tokens, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")  # frequent words get small numbers, so that the upper halves are nearly all 0
+    order = np.argsort(-times, kind="stable")  # frequent words get small numbers, so that the upper bytes are nearly all 0
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    words, tokens = words[order], place[tokens]
-    return pd.DataFrame({
-        "chunk": [at], "ids": [ids], "held": [held], "lengths": [lengths], "words": [words.view(np.int64)],
-        "low": [(tokens & 0xFFFF).astype("<u2").tobytes()], "high": [(tokens >> 16).astype("<u2").tobytes()],
-    })
+    learnt = sum(n + 1 for n, h in zip(lengths, held, strict=True) if not h)
+    columns = [[at], [ids], [held], [lengths], [words[order].tobytes()], [squeezed(place[tokens].astype(np.uint32))], [learnt]]
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 32
     ids, held, lengths, hashes, size = [], [], [], [], 0
     for batch in batches:
-        texts = list(batch["text"])
-        own_ids = [None if pd.isna(x) else int(x) for x in batch["id"]]
-        own_held = list(map(bool, batch["held"]))
-        for at, part in steps(texts):
-            n = sum(map(len, part))
-            if ids and size + n > CHUNK:
+        own_ids, own_held, at = batch["id"].to_pylist(), batch["held"].to_pylist(), 0
+        for raw, starts in slices(batch["text"]):
+            if ids and size + len(raw) > CHUNK:
                 yield _chunk(first, ids, held, lengths, hashes)
                 ids, held, lengths, hashes, size, first = [], [], [], [], 0, first + 1
-            owner, words = word_hashes(part, lower=True)
-            ids += own_ids[at : at + len(part)]
-            held += own_held[at : at + len(part)]
-            lengths += np.bincount(owner, minlength=len(part)).tolist()
+            owner, words = word_hashes(raw, starts, lower=True)
+            ids += own_ids[at : at + len(starts)]
+            held += map(bool, own_held[at : at + len(starts)])
+            lengths += np.bincount(owner, minlength=len(starts)).tolist()
             hashes.append(words)
-            size += n
+            size += len(raw)
+            at += len(starts)
     if ids:
         yield _chunk(first, ids, held, lengths, hashes)
 
 
-def _streams(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with the end token after each text, and where each text begins."""
-    ends = np.cumsum(lengths)
-    return np.insert(tokens, ends, end), ends - lengths + np.arange(len(lengths))
-
-
 def _previous(x: np.ndarray, begins: np.ndarray, at_begin: int) -> np.ndarray:
     out = np.empty_like(x)
     out[1:] = x[:-1]
@@ -107,129 +128,172 @@ class Grams:
     at: np.ndarray  # for each token of the stream, the number of the n-gram that ends there, or -1
     before: np.ndarray  # for each token, the number of the n-gram of one order less that ends before it, or -1
     context: np.ndarray  # for each n-gram, the number of the n-gram without its last word
-    suffix: np.ndarray  # for each n-gram, the number of the n-gram without its first word
+    own: np.ndarray  # for each n-gram, how often it occurs in the chunk's training texts
 
 
-def _grams(row, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
-    """(n-grams of each order, where each text begins, which tokens are learnt)."""
-    words = np.append(np.asarray(row.words, np.int64).view(np.uint64), END)
-    tokens = np.frombuffer(row.low, "<u2").astype(np.int64) | (np.frombuffer(row.high, "<u2").astype(np.int64) << 16)
-    lengths = np.asarray(row.lengths, np.int64)
-    at, begins = _streams(tokens, lengths, len(words) - 1)
-    none = np.zeros(0, np.int64)
-    levels = [Grams(words, at, none, none, none)]
+def _grams(row: dict, order: int) -> tuple[list[Grams], np.ndarray]:
+    """(n-grams of each order, where each text begins)."""
+    words = np.append(np.frombuffer(row["words"], np.uint64), END)
+    lengths = np.array(row["lengths"], np.int64)
+    ends = np.cumsum(lengths)
+    at = np.insert(opened(row["tokens"], np.uint32).astype(np.int32), ends, len(words) - 1)
+    begins = ends - lengths + np.arange(len(lengths))
+    learnt = np.repeat(~np.array(row["held"], bool), lengths + 1)
+    none = np.zeros(0, np.int32)
+    count = lambda x, n: np.bincount(x[learnt & (x >= 0)], minlength=n)
+    levels = [Grams(words, at, none, none, count(at, len(words)))]
     for n in range(2, order + 1):
         last = levels[-1]
         before = _previous(last.at, begins, len(words) - 1 if n == 2 else -1)
         held = np.flatnonzero(before >= 0)
         code = mix(last.codes[before[held]] * np.uint64(0xD6E8FEB86659FD93) + words[at[held]] + np.uint64(n))
         codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        now = np.full(len(at), -1)
+        now = np.full(len(at), -1, np.int32)
         now[held] = inverse
-        levels.append(Grams(codes, now, before, before[held[first]], last.at[held[first]]))
-    return levels, begins, np.repeat(~np.asarray(row.held, bool), lengths + 1)
+        levels.append(Grams(codes, now, before, before[held[first]], count(now, len(codes))))
+    return levels, begins
+
 
+# -- Exchanges between chunks and parts.
 
-def _dealt(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the codes in order of their parts, part of each of these)."""
+
+def _dealt(codes: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the codes by part and code, their parts, their codes within the part)."""
     part = ((codes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, part[order]
+    inside = codes & np.uint64((1 << bits) - 1)
+    order = np.lexsort((inside, part))
+    return order, part[order], inside[order]
 
 
-def _sent(chunk: int, codes: np.ndarray, values: list[np.ndarray], parts: int) -> pd.DataFrame:
-    """Rows (part, chunk, codes, values) of a chunk."""
-    order, part = _dealt(codes, parts)
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else [0]
+def _messages(chunk: int, codes: np.ndarray, values: np.ndarray, parts: int, bits: int) -> pa.Table:
+    """Rows (part, of, codes, values) of a chunk; values: a row of numbers for each code."""
+    order, part, inside = _dealt(codes, parts, bits)
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
     spans = list(zip(cuts, cuts[1:], strict=False))
-    mine = [order[a:b] for a, b in spans]
-    return pd.DataFrame({
-        "part": np.array([part[a] for a, _ in spans], np.int64), "of": np.full(len(spans), chunk, np.int64), "codes": [codes[i].tobytes() for i in mine],
-        "values": [b"".join(v[i].tobytes() for v in values) for i in mine],
+    return pa.table({
+        "part": pa.array([part[a] for a, _ in spans], pa.int64()), "of": pa.array([chunk] * len(spans), pa.int64()),
+        "codes": pa.array([_ascending(inside[a:b]) for a, b in spans], pa.binary()),
+        "values": pa.array([squeezed(values[order[a:b]]) for a, b in spans], pa.binary()),
     })
 
 
-def _returned(answers: pd.DataFrame, codes: np.ndarray, parts: int, kind: type) -> np.ndarray:
-    """The parts' answers (part, answer) in the order of the codes sent."""
-    out = np.zeros(len(codes), kind)
-    if len(codes):
-        out[_dealt(codes, parts)[0]] = np.frombuffer(b"".join(answers.sort_values("part")["answer"]), kind)
-    return out
-
-
-def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the distinct code of each entry, cuts between the rows' entries) of a part."""
-    codes = [np.frombuffer(x, np.uint64) for x in rows["codes"]]
-    return np.unique(np.concatenate(codes), return_inverse=True)[1], np.cumsum([len(x) for x in codes])[:-1]
-
-
-def _answers(rows: pd.DataFrame, answer: np.ndarray, cuts: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"of": rows["of"], "part": rows["part"], "answer": [x.tobytes() for x in np.split(answer, cuts)]})
-
+def _received(rows: pa.Table, kind: np.dtype) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """(messages of a part by chunk, number of the distinct code of each entry, values of the entries, cuts between the messages' entries)."""
+    rows = rows.sort_by("of")
+    codes = [np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in rows["codes"].to_pylist()]
+    values = np.concatenate([opened(x, kind) for x in rows["values"].to_pylist()])
+    return rows, np.unique(np.concatenate(codes), return_inverse=True)[1], values, np.cumsum([len(x) for x in codes])[:-1]
 
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each n-gram that a chunk sent twice its count in the corpus, plus 1 in the first chunk whose training texts hold it."""
-    rows = rows.sort_values("of")
-    which, cuts = _entries(rows)
-    n = np.concatenate([np.frombuffer(x, np.int32) for x in rows["values"]])
-    total = np.zeros(which.max() + 1, np.int64)
-    np.add.at(total, which, n)
-    learnt = np.flatnonzero(n > 0)
-    answer = 2 * total[which]
-    answer[learnt[np.unique(which[learnt], return_index=True)[1]]] += 1
-    return _answers(rows, answer, cuts)
 
-
-def _weighed(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each state that a chunk sent its log10 backoff weight, from the sums over arcs that the chunks know."""
-    rows = rows.sort_values("of")
-    which, cuts = _entries(rows)
-    sums = [np.frombuffer(x, float).reshape(2, -1) for x in rows["values"]]
-    own, below = (np.bincount(which, x) for x in np.concatenate(sums, axis=1))
-    weight = np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1 - below, 1e-12))
-    weight[own == 0] = 0
-    return _answers(rows, weight[which], cuts)
-
-
-def _totals(row, levels: list[Grams]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(counts in the corpus of each order's n-grams, those that this chunk adds to sums)."""
-    both = np.split(np.frombuffer(row.totals, np.int64), np.cumsum([len(g.codes) for g in levels])[:-1])
-    return [x >> 1 for x in both], [(x & 1).astype(bool) for x in both]
+def _answers(rows: pa.Table, step: int, answers: list[bytes], new: int = 0) -> pa.Table:
+    n = len(rows)
+    return pa.table({
+        "of": rows["of"].combine_chunks(), "part": rows["part"].combine_chunks(), "step": pa.array([step] * n, pa.int32()), "answer": pa.array(answers, pa.binary()),
+        "new": pa.array([new] + [0] * (n - 1), pa.int64()),
+    })
 
 
-def _probabilities(levels: list[Grams], counts: list[np.ndarray], n: int, v: int, discount: float) -> list[np.ndarray]:
-    """Of the n-grams of each order: of words by add-one, of the others the discounted one of their arcs, 0 without an arc."""
-    out = [(counts[0] + 1) / (n + v + 1)]
-    for g, c, shorter in zip(levels[1:], counts[1:], counts, strict=False):
-        out.append(np.where(c >= LEAST, (c - discount) / np.maximum(shorter[g.context], 1), 0.0))
+def _heard(answers: pa.Table, step: int, codes: np.ndarray, parts: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """The answers of a step in the order of the codes sent."""
+    out = np.zeros(len(codes), kind)
+    if len(codes):
+        own = sorted((p, a) for p, s, a in zip(answers["part"].to_pylist(), answers["step"].to_pylist(), answers["answer"].to_pylist(), strict=True) if s == step)
+        out[_dealt(codes, parts, bits)[0]] = np.concatenate([opened(a, kind) for _, a in own])
     return out
 
 
-def _states(levels: list[Grams], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(codes of the states that may have arcs, their numbers in each order)."""
-    numbers = [np.flatnonzero(c >= LEAST) for c in counts[:-1]]
-    return np.concatenate([np.zeros(0, np.uint64), *(g.codes[i] for g, i in zip(levels, numbers, strict=False))]), numbers
-
-
-def _score_chunk(row, answers: pd.DataFrame, n: int, v: int, order: int, discount: float, parts: int) -> pd.DataFrame:
-    levels, begins, _ = _grams(row, order)
-    counts, _ = _totals(row, levels)
-    codes, numbers = _states(levels, counts)
-    weights = np.split(_returned(answers, codes, parts, float), np.cumsum([len(i) for i in numbers])[:-1])
-    chance = _probabilities(levels, counts, n, v, discount)
-    known = (counts[0] > 0)[levels[0].at]
-    base = np.log10(chance[0])[levels[0].at]
-    score = base.copy()
-    for g, p, i, some, shorter in zip(levels[1:], chance[1:], numbers, weights, counts, strict=False):
-        weight = np.zeros(len(shorter) + 1)  # the last one for no state, -1
-        weight[i] = some
-        arc = np.append(p, 0.0)[g.at]
-        score = np.where(arc > 0, np.log10(np.where(arc > 0, arc, 1.0)), score + weight[g.before])
-    sums = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has its end token
-    return pd.DataFrame({
-        "id": pd.array(list(row.ids), "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": np.asarray(row.lengths, np.int64) + 1,
-        "n_known": sums(known.astype(np.int64)), "train_tokens": n, "base_score": sums(base), "score": sums(score),
-    })
+PAIR = np.dtype([("n", "<u8"), ("arcs", "<u4")])
+COUNT = np.dtype([("n", "<u4"), ("word", "u1")])
+
+
+def _often(rows: pa.Table) -> pa.Table:
+    """Step 1: which fingerprints may occur LEAST times in the training texts."""
+    rows, which, n, cuts = _received(rows, np.uint8)
+    enough = (np.bincount(which, n) >= LEAST)[which].astype(np.uint8)
+    return _answers(rows, 1, [squeezed(x) for x in np.split(enough, cuts)])
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Step 2: twice each n-gram's count in the corpus, plus 1 in the first chunk whose training texts hold it; new: how many words are learnt."""
+    rows, which, own, cuts = _received(rows, COUNT)
+    total = np.zeros(which.max() + 1, np.uint64)
+    np.add.at(total, which, own["n"])
+    learnt = np.flatnonzero(own["n"] > 0)
+    answer = total[which] * np.uint64(2)
+    first = learnt[np.unique(which[learnt], return_index=True)[1]]
+    answer[first] += np.uint64(1)
+    return _answers(rows, 2, [squeezed(x) for x in np.split(answer, cuts)], int(own["word"][first].sum()))
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Step 3: for each state the sum of its arcs' counts, and their number."""
+    rows, which, own, cuts = _received(rows, PAIR)
+    total = np.zeros(which.max() + 1, PAIR)
+    np.add.at(total["n"], which, own["n"])
+    np.add.at(total["arcs"], which, own["arcs"])
+    return _answers(rows, 3, [squeezed(x) for x in np.split(total[which], cuts)])
+
+
+class Chunk:
+    """A chunk's n-grams and what it has heard about them."""
+
+    def __init__(self, row: dict, order: int, parts: int) -> None:
+        self.number, self.parts, self.row = row["chunk"], parts, row
+        self.levels, self.begins = _grams(row, order)
+        self.longer = np.concatenate([np.zeros(0, np.uint64), *(g.codes for g in self.levels[1:])])
+
+    def fingerprints(self) -> pa.Table:
+        own = np.concatenate([np.zeros(0, np.int64), *(g.own for g in self.levels[1:])])
+        return _messages(self.number, self.longer, np.minimum(own, LEAST).astype(np.uint8), self.parts, FINGERPRINT)
+
+    def hear_often(self, answers: pa.Table) -> None:
+        often = _heard(answers, 1, self.longer, self.parts, FINGERPRINT, np.uint8).astype(bool)
+        self.often = [np.arange(len(self.levels[0].codes)), *(np.flatnonzero(x) for x in np.split(often, np.cumsum([len(g.codes) for g in self.levels[1:]])[:-1]))][: len(self.levels)]
+        self.sent = np.concatenate([g.codes[i] for g, i in zip(self.levels, self.often, strict=True)])
+
+    def counts_sent(self) -> pa.Table:
+        values = np.zeros(len(self.sent), COUNT)
+        values["n"] = np.concatenate([g.own[i] for g, i in zip(self.levels, self.often, strict=True)])
+        values["word"][: len(self.levels[0].codes)] = 1
+        return _messages(self.number, self.sent, values, self.parts, CODE)
+
+    def hear_counts(self, answers: pa.Table) -> None:
+        got = _heard(answers, 2, self.sent, self.parts, CODE, np.uint64).astype(np.int64)
+        self.counts, self.mine = [], []
+        for g, i, x in zip(self.levels, self.often, np.split(got, np.cumsum([len(i) for i in self.often])[:-1]), strict=True):
+            total, adds = np.zeros(len(g.codes), np.int64), np.zeros(len(g.codes), bool)
+            total[i], adds[i] = x >> 1, (x & 1).astype(bool)
+            self.counts.append(total)
+            self.mine.append(adds)
+        self.states = [np.flatnonzero(c >= LEAST) for c in self.counts[:-1]]
+        self.asked = np.concatenate([np.zeros(0, np.uint64), *(g.codes[i] for g, i in zip(self.levels, self.states, strict=False))])
+
+    def masses_sent(self) -> pa.Table:
+        values = [np.zeros(0, PAIR)]
+        for g, c, mine, i, shorter in zip(self.levels[1:], self.counts[1:], self.mine[1:], self.states, self.levels, strict=False):
+            arcs, part = np.flatnonzero(mine & (c >= LEAST)), np.zeros(len(shorter.codes), PAIR)
+            np.add.at(part["n"], g.context[arcs], c[arcs].astype(np.uint64))
+            np.add.at(part["arcs"], g.context[arcs], np.uint32(1))
+            values.append(part[i])
+        return _messages(self.number, self.asked, np.concatenate(values), self.parts, CODE)
+
+    def scores(self, answers: pa.Table, n: int, v: int, discount: float) -> pa.Table:
+        mass = np.split(_heard(answers, 3, self.asked, self.parts, CODE, PAIR), np.cumsum([len(i) for i in self.states])[:-1])
+        at = self.levels[0].at
+        chance = ((self.counts[0] + 1) / (n + v + 1))[at]
+        base = np.log10(chance)
+        for g, c, i, own, shorter in zip(self.levels[1:], self.counts[1:], self.states, mass, self.counts, strict=False):
+            left = np.ones(len(shorter) + 1)  # the last one for no state, -1
+            left[i] -= (own["n"] - discount * own["arcs"]) / shorter[i]
+            arc = np.append(np.where(c >= LEAST, (c - discount) / np.maximum(shorter[g.context], 1), 0.0), 0.0)
+            chance = arc[g.at] + left[g.before] * chance
+        sums = lambda x: np.add.reduceat(x, self.begins)  # noqa: E731  every text has its end token
+        lengths = np.array(self.row["lengths"], np.int64)
+        return pa.table({
+            "id": pa.array(self.row["ids"], pa.int64()), "held_out": pa.array(self.row["held"], pa.bool_()), "n_tokens": lengths + 1,
+            "n_known": sums((self.counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
+            "base_score": sums(base), "score": sums(np.log10(chance)),
+        })
 
 
 def scores(
@@ -237,49 +301,37 @@ def scores(
 ) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows that held_out doesn't hold for."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), held_out.alias("held"))
-    chunks = staged(rows.mapInPandas(_chunks, CHUNKS))
-    parts = -(-max(1, chunks.count()) // SHARE)
-    sent, answered = "part long, of long, codes binary, values binary", "of long, part long, answer binary"
+    chunks = bucketed(rows.mapInArrow(_chunks, CHUNKS), "chunk")
+    parts, n = chunks.agg(F.greatest(F.count("*"), F.lit(1)), F.coalesce(F.sum("learnt"), F.lit(0))).first()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                levels, _, learnt = _grams(row, order)
-                n = [np.bincount(g.at[learnt & (g.at >= 0)], minlength=len(g.codes)).astype(np.int32) for g in levels]
-                yield _sent(row.chunk, np.concatenate([g.codes for g in levels]), [np.concatenate(n)], parts)
-
-    def total(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = next(chunk.itertuples())
-        levels, _, learnt = _grams(row, order)
-        got = _returned(answers, np.concatenate([g.codes for g in levels]), parts, np.int64)
-        return chunk.assign(totals=[got.tobytes()], learnt=int(learnt.sum()), new=int((got[: len(levels[0].codes)] & 1).sum()))
-
-    counted = chunks.mapInPandas(count, sent).groupBy("part").applyInPandas(_counted, answered)
-    known = chunks.groupBy("chunk").cogroup(counted.groupBy("of")).applyInPandas(total, f"{CHUNKS}, totals binary, learnt long, new long")
-    known = staged(known)
-    n, v = (x or 0 for x in known.agg(F.sum("learnt"), F.sum("new")).first())
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                levels, _, _ = _grams(row, order)
-                counts, mine = _totals(row, levels)
-                chance = _probabilities(levels, counts, n, v, discount)
-                codes, numbers = _states(levels, counts)
-                own, below = [np.zeros(0)], [np.zeros(0)]
-                for g, p, add, lower, i in zip(levels[1:], chance[1:], mine[1:], chance, numbers, strict=False):
-                    arcs = np.flatnonzero(add & (p > 0))
-                    size = int(max(i.max(initial=-1), g.context[arcs].max(initial=-1))) + 1
-                    own.append(np.bincount(g.context[arcs], p[arcs], size)[i])
-                    below.append(np.bincount(g.context[arcs], lower[g.suffix[arcs]], size)[i])
-                yield _sent(row.chunk, codes, [np.concatenate(own), np.concatenate(below)], parts)
-
-    def score(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return _score_chunk(next(chunk.itertuples()), answers, n, v, order, discount, parts)
-
-    weighed = known.mapInPandas(weigh, sent).groupBy("part").applyInPandas(_weighed, answered)
-    left = known.drop("learnt", "new").groupBy("chunk")
-    out = left.cogroup(weighed.groupBy("of")).applyInPandas(
-        score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+            for i in range(len(batch)):
+                yield from Chunk(batch.slice(i, 1).to_pylist()[0], order, parts).fingerprints().to_batches()
+
+    def counts_sent(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Chunk(chunk.to_pylist()[0], order, parts)
+        own.hear_often(answers)
+        return own.counts_sent()
+
+    def masses_sent(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Chunk(chunk.to_pylist()[0], order, parts)
+        own.hear_often(answers)
+        own.hear_counts(answers)
+        return own.masses_sent()
+
+    by_chunk = lambda answers: chunks.groupBy("chunk").cogroup(answers.groupBy("of"))
+    often = staged(chunks.mapInArrow(fingerprints, MESSAGE).groupBy("part").applyInArrow(_often, ANSWER))
+    counted = staged(by_chunk(often).applyInArrow(counts_sent, MESSAGE).groupBy("part").applyInArrow(_counted, ANSWER))
+    v = counted.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    heard = often.unionByName(counted)
+    summed = by_chunk(heard).applyInArrow(masses_sent, MESSAGE).groupBy("part").applyInArrow(_summed, ANSWER)
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Chunk(chunk.to_pylist()[0], order, parts)
+        own.hear_often(answers)
+        own.hear_counts(answers)
+        return own.scores(answers, n, v, discount)
+
+    out = by_chunk(heard.unionByName(staged(summed))).applyInArrow(score, SCORES)
     return out.withColumnRenamed("id", id_col)

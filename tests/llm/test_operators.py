@@ -356,11 +356,20 @@ def test_secrets_digest_and_redaction(spark, documents):
 # -- 9
 
 
+def bag_of(text):
+    """A text's shingles with the number of the occurrence, so that sets of them are multisets of shingles."""
+    words = (text or "").split()
+    found = [tuple(words[j : j + 5]) for j in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
+    seen = Counter()
+    out = set()
+    for x in found:
+        seen[x] += 1
+        out.add((x, seen[x]))
+    return out
+
+
 def brute_classes(texts, least=0.8):
-    sets = {}
-    for i, t in texts.items():
-        words = (t or "").split()
-        sets[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    sets = {i: bag_of(t) for i, t in texts.items()}
     label = {i: i for i in texts}
 
     def find(i):
@@ -399,8 +408,8 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(dartminhash, "BUCKET", 16)
-    monkeypatch.setattr(dartminhash, "HUBS", 4)
+    for name in ("BLOCK", "OUTSIDE", "OTHERS"):
+        monkeypatch.setattr(dartminhash, name, 16)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     texts = {}
@@ -424,9 +433,9 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def test_shingles():
-    texts = [b"a b c d e f", b"", b"x y", b" a b c d e\tf\n", b"a b c d e f a b c d e f"]
-    owner, code, times = shingles.shingle_sets(texts)
-    assert np.bincount(owner, minlength=5).tolist() == [2, 0, 1, 2, 6] and times[owner == 4].tolist().count(2) == 2
+    texts = [b"a b c d e f", b"", b"x y", b" a b c d e\tf\n", b"a b c d e f a b c d e f", b""]
+    owner, code, times = shingles.shingle_sets(*shingles.joined(texts))
+    assert np.bincount(owner, minlength=6).tolist() == [2, 0, 1, 2, 6, 0] and times[owner == 4].tolist().count(2) == 2
     assert set(code[owner == 0]) == set(code[owner == 3])
 
 
@@ -442,35 +451,29 @@ def words_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), None]
 
 
-def literal_scores(texts, held, order, heads, discount):
+def literal_scores(texts, held, order, discount):
     """The automaton as states with failure arcs, walked word by word."""
     train = [words_of(t) for i, t in texts.items() if i not in held]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
     p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    top = {w for w in c if w is not None}
-    assert len(top) <= heads
-    top.add(None)
     counts = Counter()
     for t in train:
         line = [None, *t]
         for size in range(2, order + 1):
             for i in range(len(line) - size + 1):
                 counts[tuple(line[i : i + size])] += 1
-    arcs = {g: k for g, k in counts.items() if k > 1 and len(g) == 2}
-    for size in range(3, order + 1):  # an n-gram's context must be a state
-        arcs |= {g: k for g, k in counts.items() if k > 1 and len(g) == size and g[:-1] in arcs}
+    arcs = {g: k for g, k in counts.items() if k >= lm.LEAST}
     times = lambda g: c[g[0]] if len(g) == 1 and g[0] is not None else len(train) if len(g) == 1 else arcs[g]
 
+    def left(context):
+        return 1 - sum((k - discount) / times(context) for g, k in arcs.items() if g[:-1] == context)
+
     def p(context, w):
         if not context:
             return p1(w)
-        if (*context, w) in arcs:
-            return (arcs[*context, w] - discount) / times(context)
-        mine = [g for g in arcs if g[:-1] == context]
-        left = 1 - sum((arcs[g] - discount) / times(context) for g in mine)
-        below = 1 - sum(p(context[1:], g[-1]) for g in mine)
-        return (left / below if mine else 1) * p(context[1:], w)
+        arc = (arcs[*context, w] - discount) / times(context) if (*context, w) in arcs else 0
+        return arc + left(context) * p(context[1:], w)
 
     out = {}
     for i, t in texts.items():
@@ -478,9 +481,12 @@ def literal_scores(texts, held, order, heads, discount):
         for w in words_of(t):
             total += math.log10(p(context, w))
             context = (*context, w)[-(order - 1) :]
-            while context and not ((len(context) == 1 and context[0] in top) or context in arcs):
+            while context and not (len(context) == 1 or context in arcs):
                 context = context[1:]
         out[i] = (sum(math.log10(p1(w)) for w in words_of(t)), total, len(words_of(t)), sum(c[w] > 0 for w in words_of(t)), n)
+    for context in [(), (None,), *list(arcs)[:5]]:
+        if len(context) < order and (not context or context[-1] is not None or len(context) == 1):
+            assert abs(sum(p(context, w) for w in [*c, "never seen"]) - 1) < 1e-9
     return out
 
 
@@ -492,7 +498,7 @@ def test_scores_against_a_literal_automaton(spark, order):
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, id int").repartition(3)
     got = {r.doc_id: r for r in lm.scores(docs, crc_mod("doc_id", 7) == 2, order=order).collect()}
-    for i, (base, score, n, known, train) in literal_scores(texts, held, order, lm.HEADS, lm.DISCOUNT).items():
+    for i, (base, score, n, known, train) in literal_scores(texts, held, order, lm.DISCOUNT).items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, i in held)
         assert abs(r.base_score - base) < 1e-9 and abs(r.score - score) < 1e-9, (i, r.score, score)
@@ -507,12 +513,12 @@ def test_scores_know_every_word(spark):
     n = 100 * 201
     p = lambda k: (k + 1) / (n + 10_001 + 1)
     # after the end: 50 first words, twice each; left0 is one of them, left4999 isn't
-    weight = (1 - 50 * 1.5 / 100) / (1 - 50 * p(2))
-    arc = math.log10(1.5 / 2)
-    first = {100: math.log10(weight * p(2)), 101: math.log10(1.5 / 100)}
-    last = {100: arc, 101: math.log10(0.25 / (1 - p(2)) * p(100))}  # right4999 ends two texts, right0 none
+    left = 1 - 50 * 1.5 / 100
+    pair = lambda k: math.log10(1.5 / 2 + 0.25 * p(k))
+    first = {100: math.log10(left * p(2)), 101: math.log10(1.5 / 100 + left * p(2))}
+    last = {100: math.log10(1.5 / 2 + 0.25 * p(100)), 101: math.log10(0.25 * p(100))}  # right4999 ends two texts, right0 none
     for i in (100, 101):
-        assert abs(got[i].score - (first[i] + arc + last[i])) < 1e-9
+        assert abs(got[i].score - (first[i] + pair(2) + last[i])) < 1e-9
 
 
 def test_scores_odd(spark):
