@@ -29,16 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays; rows that repeat it go too."""
-    classes = staged(dartminhash.classes(docs))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = Window.partitionBy("class_id").orderBy("node")  # rows of one id alone
-    kept = kept.withColumn("nth", F.row_number().over(first)).where("nth = 1 or class_id is null")
-    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "node").distinct()
-    marked = only(docs, *COLUMNS).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    same = (marked["id"] == kept["id"]) & marked["node"].eqNullSafe(kept["node"])
-    stay = marked.join(kept, same, "left_semi")
-    once = Window.partitionBy("id", "node").orderBy("n_chars")
-    return stay.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(*COLUMNS)
+    kept = staged(dartminhash.classes(docs)).where("first").select(dartminhash.keyed(F.col("doc_id"), F.col("node")).alias("name")).distinct()
+    node = F.unhex(F.md5(F.col("text").cast("binary")))
+    named = only(docs, *COLUMNS).withColumn("name", dartminhash.keyed(F.col("doc_id").cast("long"), node))
+    once = Window.partitionBy("name").orderBy("n_chars")  # rows of one id and text
+    stay = named.join(kept, "name", "left_semi").withColumn("nth", F.row_number().over(once))
+    return stay.where("nth = 1").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
