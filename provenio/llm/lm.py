@@ -161,7 +161,10 @@ def _dealt(codes: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.nda
     """(numbers of the codes by part and code, their parts, their codes within the part)."""
     part = ((codes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
     inside = codes & np.uint64((1 << bits) - 1)
-    order = np.lexsort((inside, part))
+    if parts.bit_length() + bits <= 64:
+        order = np.argsort((part.view(np.uint64) << np.uint64(bits)) | inside)
+    else:
+        order = np.lexsort((inside, part))
     return order, part[order], inside[order]
 
 
