@@ -1,26 +1,24 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
-The automaton: the root knows every word by its add-one probability. Every word is a
-state, and so is every n-gram that occurs LEAST times at least in the training texts; no
-number of rows bounds them. Smoothing is interpolated absolute discounting: an arc leads
-from a state by a word, at the discounted share of the state's occurrences plus what the
-failure arc would give, to the longest suffix that is a state; the failure arc leads to
-the next shorter suffix at the price of the mass that the discounts and the n-grams
-without an arc have left. Probabilities after each state add up to 1.
+The automaton: the root knows every word by its add-one probability. Every n-gram of the
+training texts is a state; none is left out, and no number of rows bounds them. Smoothing
+is by a Dirichlet prior of weight PRIOR: an arc leads from a state by a word, at
+(c(state, word) + PRIOR * p(word at the failure state)) / (c(state) + PRIOR), to the longest
+suffix that is a state; the failure arc leads to the next shorter suffix at the price
+PRIOR / (c(state) + PRIOR). Probabilities after each state add up to 1.
 
 The corpus is read once into chunks: some megabytes of documents as numbers of the
 chunk's distinct words, kept in a table bucketed by chunk, so that what comes back for a
 chunk meets it without a shuffle of the texts. n-grams are dealt by hash to parts, whose
-number grows with the number of chunks, in three exchanges:
+number grows with the number of chunks, in two exchanges:
 
-1. Each chunk sends a fingerprint of each n-gram of two words or more and hears which may
-   occur LEAST times. A fingerprint that two n-grams share costs an n-gram more in the
-   second exchange and changes no result.
-2. It sends these n-grams and all its words with their counts in its training texts, and
-   hears their counts in the corpus. No task and no broadcast holds the vocabulary or the
-   n-grams; a hot one has an entry for each chunk.
-3. The mass of a state is summed over its arcs, each counted by one chunk alone that holds
-   it, and goes to the chunks that hold the state.
+1. Each chunk sends a fingerprint of each n-gram of two words or more with its count in its
+   training texts, and hears whether the fingerprint occurs nowhere in these, once and in this
+   chunk alone, or else. If it is not the last, the n-gram's count is known.
+2. It sends all other n-grams and all its words with their counts, and hears their counts in
+   the corpus. A fingerprint that two n-grams share costs an n-gram more here and changes no
+   result. No task and no broadcast holds the vocabulary or the n-grams; a hot one has an
+   entry for each chunk.
 
 n-grams are told apart by 48 bits of a hash within their part, which holds some million of
 them: the chance that any two in a part are taken for one is some 0.002.
@@ -48,9 +46,8 @@ from pyspark.sql import functions as F
 from provenio.llm.common import bucketed, staged
 from provenio.llm.shingles import mix, slices, word_hashes
 
-ORDER, DISCOUNT = 3, 0.5
-#: An n-gram of two words or more has an arc if it occurs so often in the training texts.
-LEAST = 2
+#: The prior's weight: so many words seen after a state weigh as much as all shorter states.
+ORDER, PRIOR = 3, 4.0
 #: Stands for the end of a text among the hashes of words.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
@@ -205,36 +202,24 @@ def _heard(answers: pa.Table, step: int, codes: np.ndarray, parts: int, bits: in
     return out
 
 
-PAIR = np.dtype([("n", "<u8"), ("arcs", "<u4")])
 COUNT = np.dtype([("n", "<u4"), ("word", "u1")])
 
 
-def _often(rows: pa.Table) -> pa.Table:
-    """Step 1: which fingerprints may occur LEAST times in the training texts."""
+def _met(rows: pa.Table) -> pa.Table:
+    """Step 1: how often each fingerprint occurs in the training texts; 2 for more often than once, or if several chunks hold it."""
     rows, which, n, cuts = _received(rows, np.uint8)
-    enough = (np.bincount(which, n) >= LEAST)[which].astype(np.uint8)
-    return _answers(rows, 1, [squeezed(x) for x in np.split(enough, cuts)])
+    total = np.minimum(np.bincount(which, n), 2).astype(np.uint8)
+    total[(total > 0) & (np.bincount(which) > 1)] = 2
+    return _answers(rows, 1, [squeezed(x) for x in np.split(total[which], cuts)])
 
 
 def _counted(rows: pa.Table) -> pa.Table:
-    """Step 2: twice each n-gram's count in the corpus, plus 1 in the first chunk whose training texts hold it; new: how many words are learnt."""
+    """Step 2: each n-gram's count in the corpus' training texts; new: how many words they have."""
     rows, which, own, cuts = _received(rows, COUNT)
-    total = np.zeros(which.max() + 1, np.uint64)
+    total, word = np.zeros(which.max() + 1, np.uint64), np.zeros(which.max() + 1, bool)
     np.add.at(total, which, own["n"])
-    learnt = np.flatnonzero(own["n"] > 0)
-    answer = total[which] * np.uint64(2)
-    first = learnt[np.unique(which[learnt], return_index=True)[1]]
-    answer[first] += np.uint64(1)
-    return _answers(rows, 2, [squeezed(x) for x in np.split(answer, cuts)], int(own["word"][first].sum()))
-
-
-def _summed(rows: pa.Table) -> pa.Table:
-    """Step 3: for each state the sum of its arcs' counts, and their number."""
-    rows, which, own, cuts = _received(rows, PAIR)
-    total = np.zeros(which.max() + 1, PAIR)
-    np.add.at(total["n"], which, own["n"])
-    np.add.at(total["arcs"], which, own["arcs"])
-    return _answers(rows, 3, [squeezed(x) for x in np.split(total[which], cuts)])
+    word[which[own["word"] > 0]] = True
+    return _answers(rows, 2, [squeezed(x) for x in np.split(total[which], cuts)], int((word & (total > 0)).sum()))
 
 
 class Chunk:
@@ -246,61 +231,54 @@ class Chunk:
         self.longer = np.concatenate([np.zeros(0, np.uint64), *(g.codes for g in self.levels[1:])])
 
     def fingerprints(self) -> pa.Table:
-        own = np.concatenate([np.zeros(0, np.int64), *(g.own for g in self.levels[1:])])
-        return _messages(self.number, self.longer, np.minimum(own, LEAST).astype(np.uint8), self.parts, FINGERPRINT)
+        return _messages(self.number, self.longer, np.minimum(self._own()[0], 2).astype(np.uint8), self.parts, FINGERPRINT)
+
+    def _own(self) -> tuple[np.ndarray, list[int]]:
+        """(counts of the longer n-grams in the chunk's training texts, cuts between their orders)."""
+        own = [g.own for g in self.levels[1:]]
+        return np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([len(x) for x in own])[:-1].tolist()
 
-    def hear_often(self, answers: pa.Table) -> None:
-        often = _heard(answers, 1, self.longer, self.parts, FINGERPRINT, np.uint8).astype(bool)
-        self.often = [np.arange(len(self.levels[0].codes)), *(np.flatnonzero(x) for x in np.split(often, np.cumsum([len(g.codes) for g in self.levels[1:]])[:-1]))][: len(self.levels)]
-        self.sent = np.concatenate([g.codes[i] for g, i in zip(self.levels, self.often, strict=True)])
+    def hear_met(self, answers: pa.Table) -> None:
+        met, (own, cuts) = _heard(answers, 1, self.longer, self.parts, FINGERPRINT, np.uint8), self._own()
+        self.open = np.split((met > 1) | (met != own), cuts) if len(self.levels) > 1 else []
+        self.sent = np.concatenate([self.levels[0].codes, *(g.codes[x] for g, x in zip(self.levels[1:], self.open, strict=True))])
 
     def counts_sent(self) -> pa.Table:
         values = np.zeros(len(self.sent), COUNT)
-        values["n"] = np.concatenate([g.own[i] for g, i in zip(self.levels, self.often, strict=True)])
-        values["word"][: len(self.levels[0].codes)] = 1
+        values["n"] = np.concatenate([self.levels[0].own, *(g.own[x] for g, x in zip(self.levels[1:], self.open, strict=True))])
+        values["word"][: len(self.levels[0].codes)] = 1  # the end is counted as a token
         return _messages(self.number, self.sent, values, self.parts, CODE)
 
-    def hear_counts(self, answers: pa.Table) -> None:
+    def counts(self, answers: pa.Table) -> list[np.ndarray]:
+        """The counts of the n-grams of each order in the corpus' training texts."""
         got = _heard(answers, 2, self.sent, self.parts, CODE, np.uint64).astype(np.int64)
-        self.counts, self.mine = [], []
-        for g, i, x in zip(self.levels, self.often, np.split(got, np.cumsum([len(i) for i in self.often])[:-1]), strict=True):
-            total, adds = np.zeros(len(g.codes), np.int64), np.zeros(len(g.codes), bool)
-            total[i], adds[i] = x >> 1, (x & 1).astype(bool)
-            self.counts.append(total)
-            self.mine.append(adds)
-        self.states = [np.flatnonzero(c >= LEAST) for c in self.counts[:-1]]
-        self.asked = np.concatenate([np.zeros(0, np.uint64), *(g.codes[i] for g, i in zip(self.levels, self.states, strict=False))])
-
-    def masses_sent(self) -> pa.Table:
-        values = [np.zeros(0, PAIR)]
-        for g, c, mine, i, shorter in zip(self.levels[1:], self.counts[1:], self.mine[1:], self.states, self.levels, strict=False):
-            arcs, part = np.flatnonzero(mine & (c >= LEAST)), np.zeros(len(shorter.codes), PAIR)
-            np.add.at(part["n"], g.context[arcs], c[arcs].astype(np.uint64))
-            np.add.at(part["arcs"], g.context[arcs], np.uint32(1))
-            values.append(part[i])
-        return _messages(self.number, self.asked, np.concatenate(values), self.parts, CODE)
-
-    def scores(self, answers: pa.Table, n: int, v: int, discount: float) -> pa.Table:
-        mass = np.split(_heard(answers, 3, self.asked, self.parts, CODE, PAIR), np.cumsum([len(i) for i in self.states])[:-1])
-        at = self.levels[0].at
-        chance = ((self.counts[0] + 1) / (n + v + 1))[at]
+        sizes = [len(self.levels[0].codes), *(int(x.sum()) for x in self.open)]
+        words, *longer = np.split(got, np.cumsum(sizes)[:-1])
+        out = [words]
+        for g, x, told in zip(self.levels[1:], self.open, longer, strict=True):
+            total = g.own.astype(np.int64)
+            total[x] = told
+            out.append(total)
+        return out
+
+    def scores(self, answers: pa.Table, n: int, v: int, prior: float) -> pa.Table:
+        counts, at = self.counts(answers), self.levels[0].at
+        chance = ((counts[0] + 1) / (n + v + 1))[at]
         base = np.log10(chance)
-        for g, c, i, own, shorter in zip(self.levels[1:], self.counts[1:], self.states, mass, self.counts, strict=False):
-            left = np.ones(len(shorter) + 1)  # the last one for no state, -1
-            left[i] -= (own["n"] - discount * own["arcs"]) / shorter[i]
-            arc = np.append(np.where(c >= LEAST, (c - discount) / np.maximum(shorter[g.context], 1), 0.0), 0.0)
-            chance = arc[g.at] + left[g.before] * chance
+        for g, c, shorter in zip(self.levels[1:], counts[1:], counts, strict=False):
+            state = np.append(shorter, 0)[g.before]  # no n-gram, -1, is a state that occurs nowhere
+            chance = (np.append(c, 0)[g.at] + prior * chance) / (state + prior)
         sums = lambda x: np.add.reduceat(x, self.begins)  # noqa: E731  every text has its end token
         lengths = np.array(self.row["lengths"], np.int64)
         return pa.table({
             "id": pa.array(self.row["ids"], pa.int64()), "held_out": pa.array(self.row["held"], pa.bool_()), "n_tokens": lengths + 1,
-            "n_known": sums((self.counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
+            "n_known": sums((counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
             "base_score": sums(base), "score": sums(np.log10(chance)),
         })
 
 
 def scores(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, discount: float = DISCOUNT,
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, prior: float = PRIOR,
 ) -> DataFrame:
     """One row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows that held_out doesn't hold for."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), held_out.alias("held"))
@@ -314,27 +292,17 @@ def scores(
 
     def counts_sent(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         own = Chunk(chunk.to_pylist()[0], order, parts)
-        own.hear_often(answers)
+        own.hear_met(answers)
         return own.counts_sent()
 
-    def masses_sent(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(chunk.to_pylist()[0], order, parts)
-        own.hear_often(answers)
-        own.hear_counts(answers)
-        return own.masses_sent()
-
     by_chunk = lambda answers: chunks.groupBy("chunk").cogroup(answers.groupBy("of"))
-    often = staged(chunks.mapInArrow(fingerprints, MESSAGE).groupBy("part").applyInArrow(_often, ANSWER))
-    counted = staged(by_chunk(often).applyInArrow(counts_sent, MESSAGE).groupBy("part").applyInArrow(_counted, ANSWER))
+    met = staged(chunks.mapInArrow(fingerprints, MESSAGE).groupBy("part").applyInArrow(_met, ANSWER))
+    counted = staged(by_chunk(met).applyInArrow(counts_sent, MESSAGE).groupBy("part").applyInArrow(_counted, ANSWER))
     v = counted.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
-    heard = often.unionByName(counted)
-    summed = by_chunk(heard).applyInArrow(masses_sent, MESSAGE).groupBy("part").applyInArrow(_summed, ANSWER)
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         own = Chunk(chunk.to_pylist()[0], order, parts)
-        own.hear_often(answers)
-        own.hear_counts(answers)
-        return own.scores(answers, n, v, discount)
+        own.hear_met(answers)
+        return own.scores(answers, n, v, prior)
 
-    out = by_chunk(heard.unionByName(staged(summed))).applyInArrow(score, SCORES)
-    return out.withColumnRenamed("id", id_col)
+    return by_chunk(met.unionByName(counted)).applyInArrow(score, SCORES).withColumnRenamed("id", id_col)
