@@ -13,10 +13,11 @@ of each language at most are expected, chosen by a hash of the id. A trigram bel
 a language when at least `min_share` of its documents have it, and at least `ratio` of
 the share that it has in any other language.
 
-Defined cases: a null text or one without a letter is `und` with score 0; when no
-language has a corrected hit, the text is `und` with score 0 too; ties go to the language
-whose name sorts first; an empty or unlabelled training set gives `und` everywhere;
-repeated rows are predicted one by one. Texts are read whole.
+Defined cases: a null text or one without a letter is `und` with score 0; a text with
+letters in which no language has a corrected hit is given the language with most training
+documents, at score 0; ties go to the language whose name sorts first; an empty or
+unlabelled training set knows no language and gives `und` everywhere; repeated rows are
+predicted one by one. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenio.llm.common import only
 
 HASHES = 4
 #: Texts are joined to this many characters for each vectorised step.
-STEP = 1 << 18
+STEP = 1 << 17
+#: Texts that are taken out of an Arrow batch at a time.
+TEXTS = 256
 
 
 @dataclass
@@ -41,6 +45,7 @@ class Filters:
     languages: list[str]
     table: np.ndarray  # uint64, a power of two long, a column for each 64 languages
     by_chance: np.ndarray  # for each language, the share of absent trigrams that hit
+    largest: int = 0  # the language with most training documents
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +98,8 @@ def _bit(sets: np.ndarray, i: int) -> np.ndarray:
     return (sets[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
 
 
-def build(shares: pd.DataFrame, min_share: float, ratio: float) -> Filters:
-    """Filters from rows (lang, gram, share of the language's documents)."""
+def build(shares: pd.DataFrame, min_share: float, ratio: float, docs: dict[str, int] | None = None) -> Filters:
+    """Filters from rows (lang, gram, share of the language's documents); docs: how many training documents a language has."""
     most = shares.groupby("gram")["share"].transform("max")
     kept = shares[(shares["share"] >= min_share) & (shares["share"] >= ratio * most)]
     languages = sorted(kept["lang"].unique())
@@ -105,7 +110,8 @@ def build(shares: pd.DataFrame, min_share: float, ratio: float) -> Filters:
         for at in _places(own[lang], size):
             np.bitwise_or.at(table[:, i // 64], at, np.uint64(1 << i % 64))
     fill = np.array([_bit(table, i).mean() for i in range(len(languages))])
-    return Filters(languages, table, fill**HASHES)
+    largest = min(range(len(languages)), key=lambda i: (-(docs or {}).get(languages[i], 0), i), default=0)
+    return Filters(languages, table, fill**HASHES, largest)
 
 
 def corrected(hits: np.ndarray, n: np.ndarray, by_chance: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def corrected(hits: np.ndarray, n: np.ndarray, by_chance: np.ndarray) -> np.ndar
     return np.maximum(0, (hits - n[:, None] * by_chance) / (1 - by_chance))
 
 
-def predict(filters: Filters, texts: list[str | None]) -> pd.DataFrame:
+def predict(filters: Filters, texts: list[str | None]) -> dict[str, np.ndarray]:
     """lang_pred, score and coverage of each text.
 
     score: the best language's share of the corrected hits of all languages; coverage: of the text's trigrams, the
@@ -135,23 +141,24 @@ def predict(filters: Filters, texts: list[str | None]) -> pd.DataFrame:
         begin = end
     found = corrected(hits[:, :k], n, filters.by_chance) if k else np.zeros((len(texts), 1))
     best, top = found.argmax(axis=1), found.max(axis=1)
-    sure = top > 0
-    score = np.divide(top, found.sum(axis=1), out=np.zeros(len(texts)), where=sure)
+    best = np.where(top > 0, best, filters.largest)
+    lettered = np.fromiter((n[i] > 0 or any(map(str.isalpha, t or "")) for i, t in enumerate(texts)), bool, len(texts))
     names = np.array([*filters.languages, "und"], object)
-    return pd.DataFrame({
-        "lang_pred": names[np.where(sure, best, k)], "score": score,
+    return {
+        "lang_pred": names[np.where(lettered, best, k) if k else np.zeros(len(texts), int)],
+        "score": np.divide(top, found.sum(axis=1), out=np.zeros(len(texts)), where=top > 0),
         "coverage": np.minimum(1, np.divide(top, n, out=np.zeros(len(texts)), where=n > 0)),
-    })
+    }
 
 
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-    per_language: int = 3000, min_share: float = 0.002, ratio: float = 0.1, max_grams: int = 20_000,
+    per_language: int = 3000, min_share: float = 0.002, ratio: float = 0.1,
 ) -> Filters:
     """Filters from the rows whose text and language aren't null.
 
-    per_language bounds the sample; max_grams bounds the trigrams of a language that reach the driver, the most
-    usual ones first.
+    per_language bounds the sample. Of a language, the trigrams that min_share of its documents have reach the driver:
+    1 / min_share times as many at most as a document has on average.
     """
     rows = only(labelled, id_col, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(lang).count()
@@ -170,19 +177,20 @@ def train(
     seen = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     totals = seen.where("gram = -1").select("lang", F.col("docs").alias("total"))
     shares = seen.where("gram <> -1").join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
-    usual = shares.where(F.col("share") >= min_share)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
-    return build(usual.withColumn("place", place).where(F.col("place") <= max_grams).drop("place").toPandas(), min_share, ratio)
+    usual = shares.where(F.col("share") >= min_share).toPandas()
+    return build(usual, min_share, ratio, {r[lang]: r["count"] for r in counts.collect()})
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """docs with a struct `language` of lang_pred, score and coverage. The filters are of bounded size and go with the task."""
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table, filters.by_chance))
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table, filters.by_chance, filters.largest))
 
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Filters(*shared.value)
         for texts in batches:
-            yield predict(own, [None if t is None else str(t) for t in texts])
+            parts = [predict(own, texts.slice(a, TEXTS).to_pylist()) for a in range(0, len(texts), TEXTS)] or [predict(own, [])]
+            columns = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            yield pa.StructArray.from_arrays([pa.array(columns["lang_pred"], pa.string()), pa.array(columns["score"]), pa.array(columns["coverage"])], list(columns))
 
-    udf = F.pandas_udf(each, "lang_pred string, score double, coverage double")
+    udf = F.arrow_udf(each, "lang_pred string, score double, coverage double")
     return docs.withColumn("language", udf(F.col(f"`{text}`")))
