@@ -6,12 +6,14 @@ adds it, shrunk, to that feature's table; afterwards the pairs with the largest
 gain get tables of two dimensions in the same way. Scoring is one addition for each table.
 
 The model is learnt from a bounded sample of labelled rows (`sample_rows`, chosen by a
-hash of the id), whose features, not texts, come to the driver. Features look at the
-whole text.
+hash of the id, with one row for each id), whose features, not texts, come to the driver.
+Features look at the whole text.
 
 Defined cases: a null text counts as empty; an empty text has all features 0 and is scored
 as such; labels that are null are left out; without any label, every score is 0.5; with
-one label alone it is that label's smoothed share; repeated rows are scored one by one.
+one label alone it is that label's smoothed share; an id that is labelled several times has
+the label that most of them give, 1 at a tie; of documents that share an id the one whose
+text's MD5 is smallest is learnt from; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenio.llm.common import only
@@ -183,14 +185,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, pai
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 20_000) -> Model:
     """A model from the labelled rows of docs. About sample_rows of them are used at most, their features on the driver."""
     marked = only(labels, id_col, label).where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    marked = marked.groupBy(id_col).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y"))
     n = marked.count()
     part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    picked = marked.where(part < int(1_000_000 * min(1.0, sample_rows / max(1, n)))).select(F.col(id_col), F.col(label).cast("double").alias("y"))
+    picked = marked.where(part < int(1_000_000 * min(1.0, sample_rows / max(1, n))))
 
     def measure(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    got = only(docs, id_col, text).join(F.broadcast(picked), id_col)  # of bounded size
+    got = only(docs, id_col, text).join(F.broadcast(picked), id_col)  # about sample_rows rows, one for each id
+    first = Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    got = got.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     got = got.select("y", F.pandas_udf(measure, "array<double>")(text).alias("x")).toPandas()
     return fit(np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES))), got["y"].to_numpy(float))
 
