@@ -1,19 +1,23 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted per-dimension lists.
 
 Candidates lie in blocks of some thousand vectors. A block keeps, for each dimension, its
-vectors sorted by that component. A batch of queries reads these lists from the end that
-its component's sign favours, deeper and deeper; each vector seen for the first time is
-scored in full, and the sum of the components at the depth reached, each times the
+vectors sorted by that component. A query reads each list from the end that the sign of its
+own component favours, and has a depth of its own in each: at every step it goes on in that
+half of the lists whose next stretch lowers the bound most. Each vector seen for the first
+time is scored in full, and the sum of the components at the depths reached, each times the
 query's, bounds all vectors not yet seen. A query stops in a block as soon as that bound
 is below its kth score there. The k best of each block meet in a ranking for each query.
 
-Components are whole numbers below 2^24 in size, so that scores in double precision are
-exact. Ties go to the smaller id.
+Components are 64-bit whole numbers. Scores are added up in single or double precision where they are
+exact there, in 64-bit integers where they fit, and in unbounded ones else; a score beyond
+64 bits is given as the nearest number that fits, ranked by its exact value in its block.
+Ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take
 no part; vectors of another length than the query's are no candidates of it; rows that
 repeat an id are ranked one by one, and no row of the query's own id is its candidate;
-fewer than k candidates give fewer ranks; an empty table gives no rows.
+the rows of a query's id that repeats are ranked together; fewer than k candidates give
+fewer ranks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,54 +31,71 @@ from provenio.llm.common import only
 
 BLOCK = 4096
 BATCH = 512
-#: Depths at which a query looks whether it may stop, as shares of the block.
-DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1.0)
+#: The first step reads this share of a list, and each step twice as much as the one before.
+STRETCH = 1 / 128
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def quantized(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """Rows (id, v array<int>, dims) of the vectors that take part; v = floor(scale * component)."""
+    """Rows (id, v array<bigint>, dims) of the vectors that take part; v = floor(scale * component)."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     rows = only(vectors, id_col, vector).where(F.col(vector).isNotNull() & (F.size(vector) > 0) & fine & F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("int")).alias("v"), F.size(vector).alias("dims"))
-
-
-def threshold_top(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of the k best of a block for each query; own: the queries' ids. ids ascend."""
-    n, dims = block.shape
-    order = np.argsort(-block, axis=0, kind="stable")  # the sorted lists, highest first
-    lists = np.take_along_axis(block, order, axis=0)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None].repeat(dims, 1), axis=0)
-    first_down, first_up = place, n - 1 - place  # depth at which a vector is met, read from the top or the bottom
-    q = queries.astype(float)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    best = np.full((len(q), min(k, n)), -1, np.int64)  # score * n + (n - 1 - candidate): ties to the smaller id
-    scores = np.full((len(q), n), np.iinfo(np.int64).min // 2, np.int64)
-    going = np.arange(len(q))
-    seen = np.zeros(n, bool)
-    everywhere = q.any(axis=0)
-    low = np.minimum(first_down[:, everywhere].min(1, initial=n), first_up[:, everywhere].min(1, initial=n))
-    tie = n - 1 - np.arange(n)
-    for share in DEPTHS:
-        depth = max(1, int(np.ceil(share * n)))
-        new = ~seen & (low < depth) if share < 1 else ~seen
-        if new.any():  # random access: full scores of the vectors that turned up, for the queries still going
-            cols = np.flatnonzero(new)
-            part = (q[going] @ block[cols].T.astype(float)).astype(np.int64) * n + tie[cols]
-            part[own[going][:, None] == ids[cols][None, :]] = np.iinfo(np.int64).min // 2
-            scores[np.ix_(going, cols)] = part
-            seen |= new
-        cut = np.partition(scores[going], n - best.shape[1], axis=1)[:, n - best.shape[1] :] if n > best.shape[1] else scores[going]
-        best[going] = cut
-        bound = up[going] @ lists[depth - 1].astype(float) + down[going] @ lists[n - depth].astype(float)
-        kth = cut.min(axis=1) // n
-        going = going[bound >= kth] if share < 1 else going[:0]
-        if not len(going):
-            break
-    at, col = np.nonzero(best > np.iinfo(np.int64).min // 4)
-    value = best[at, col]
-    return at, n - 1 - value % n, value // n
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"), F.size(vector).alias("dims"))
+
+
+def _exact(queries: np.ndarray, block: np.ndarray) -> type:
+    """The numbers in which all sums of products are exact."""
+    size = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    most = size(queries) * size(block) * block.shape[1]
+    return np.float32 if most < 1 << 24 else float if most < 1 << 53 else np.int64 if most <= LONG[1] else object
+
+
+def threshold_top(
+    queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the k best of a block for each query, and how many vectors each query scored; own: the queries' ids."""
+    n = len(block)
+    order = np.asfortranarray(np.argsort(block, axis=0, kind="stable"))  # the sorted lists, lowest first
+    kind = _exact(queries, block)
+    lists = np.take_along_axis(block, order, axis=0).astype(kind)
+    block, queries = block.astype(kind), queries.astype(kind)
+    rows, cols, values, read = [], [], [], np.zeros(len(queries), np.int64)
+    for i, q in enumerate(queries):
+        dims = np.flatnonzero(q)
+        down = q[dims] > 0  # read from the highest
+        at = lambda depth: lists[np.where(down, n - 1 - depth, depth), dims] * q[dims]  # noqa: B023, E731
+        depth, stretch = np.zeros(len(dims), np.int64), max(1, int(n * STRETCH))
+        unseen, left = ids != own[i], int((ids != own[i]).sum())
+        best, score = np.zeros(0, np.int64), np.zeros(0, kind)
+        while left:
+            end = np.minimum(depth + stretch, n)
+            drop = np.where(depth < n, at(np.minimum(depth, n - 1)) - at(end - 1), -1)
+            met = np.zeros(n, bool)
+            for d in np.argsort(-drop, kind="stable")[: (len(dims) + 1) // 2]:
+                met[order[n - end[d] : n - depth[d], dims[d]] if down[d] else order[depth[d] : end[d], dims[d]]] = True
+                depth[d] = end[d]
+            new = np.flatnonzero(met & unseen) if len(dims) else np.flatnonzero(unseen)  # a query of zeros meets all
+            unseen[new] = False
+            left, stretch = left - len(new), 2 * stretch
+            read[i] += len(new)
+            full = block[new] @ q if 4 * len(new) < n else (block @ q)[new]
+            if len(best) == k:
+                new, full = new[full >= score[-1]], full[full >= score[-1]]
+            best, score = np.concatenate([best, new]), np.concatenate([score, full])
+            if len(best) > k:
+                cut = np.partition(score, len(score) - k)[len(score) - k]
+                best, score = best[score >= cut], score[score >= cut]
+            kept = np.lexsort((ids[best], -score))[:k]
+            best, score = best[kept], score[kept]
+            if len(best) == k and at(np.maximum(depth - 1, 0)).sum() < score[-1]:  # what is unseen lies no higher than the last read
+                break
+        rows.append(np.full(len(best), i))
+        cols.append(best)
+        values.append(score)
+    joined = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+    score = np.array([min(max(int(x), LONG[0]), LONG[1]) for x in joined(values, kind)], np.int64)
+    return joined(rows, np.int64).astype(np.int64), joined(cols, np.int64).astype(np.int64), score, read
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -97,7 +118,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 64, id_co
             block, ids = np.stack(b["v"].to_numpy()).astype(np.int64), b["id"].to_numpy(np.int64)
             q, own = np.stack(a["v"].to_numpy()).astype(np.int64), a["id"].to_numpy(np.int64)
             for i in range(0, len(q), BATCH):
-                row, col, score = threshold_top(q[i : i + BATCH], own[i : i + BATCH], block, ids, k)
+                row, col, score, _ = threshold_top(q[i : i + BATCH], own[i : i + BATCH], block, ids, k)
                 found.append(pd.DataFrame({"query_id": own[i : i + BATCH][row], "vec_id": ids[col], "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
