@@ -12,7 +12,9 @@ budget is spent in epochs: whole ones first, and then blocks of its documents in
 order of a permutation that depends on source and epoch, up to the block in which the
 part runs out; of that one, documents in the order of their hash while they fit.
 Documents fall into `BLOCKS` blocks for each source by a hash, so that the sums over a
-source, of any size, are over a bounded table.
+source, of any size, are over a bounded table; those of the block that is cut fall into
+`BINS` bins by the next digits, so that only one bin of a block is looked at row by row.
+Sums over all sources are aggregates: no list of the sources is ever held in one place.
 
 Defined cases: a null source is a source of its own; a null text counts as empty and has
 no tokens; a source without tokens has weight 0, and its documents are drawn once; rows
@@ -23,15 +25,18 @@ named by the caller, and others of any name pass through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenio.llm.common import staged
 
 BLOCKS = 512
-STEPS = 60
-#: So many sources at most: their shares are one array of some megabytes.
-SOURCES = 1_000_000
+BINS = 1024
+HASH_BITS = 28
+#: Exponents that one pass over the sources tries at a time, and passes: as good as 60 halvings.
+GRID, ROUNDS = 64, 10
 #: Up to so many sources the table of blocks is broadcast, 60 MB at most; beyond, it is joined by a shuffle.
 FEW = 2000
 
@@ -47,72 +52,59 @@ def source_key(source: Column) -> Column:
 
 
 def _hash(*parts: Column) -> Column:
-    """28 bits of an MD5, which any engine can compute."""
+    """HASH_BITS bits of an MD5, which any engine can compute."""
     text = F.concat_ws("|", *parts)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def exponent(shares: Column, max_repeats: float | None, target_entropy: float | None, covered: bool, budget: Column) -> Column:
-    """The exponent by bisection, from an array of the sources' shares; budget: in parts of all tokens.
+def exponent(tokens: DataFrame, total: float, lowest: float, highest: float, max_repeats: float | None, target_entropy: float | None, budget: float | None) -> float:
+    """The exponent by bisection; total: all tokens, lowest, highest: the smallest and the largest share of a source.
 
-    covered: the budget follows from the weights, the least that draws every source once.
+    budget: in parts of all tokens; without one it follows from the weights, the least that draws every source once.
     """
-
-    def total(a: Column) -> Column:
-        return F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, a))
-
-    def repeats(a: Column) -> Column:  # of the source that is repeated most
-        by_source = F.transform(shares, lambda p: F.pow(p, a - 1))
-        most = F.array_max(by_source)
-        return most / F.array_min(by_source) if covered else most * budget / total(a)
-
-    def entropy(a: Column) -> Column:
-        z = total(a)
-        return F.aggregate(shares, F.lit(0.0), lambda s, p: s - F.pow(p, a) / z * F.ln(F.pow(p, a) / z))
-
-    def smallest(enough) -> Column:
-        """Bisection: enough(a) holds from some a on."""
-        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-
-        def halve(x: Column, _: Column) -> Column:
-            mid = (x["lo"] + x["hi"]) / 2
-            good = enough(mid)
-            return F.struct(F.when(good, x["lo"]).otherwise(mid).alias("lo"), F.when(good, mid).otherwise(x["hi"]).alias("hi"))
-
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)
-        return F.when(enough(F.lit(0.0)), F.lit(0.0)).otherwise(found["hi"])
+    share = F.col("tokens") / F.lit(total)
+    some = tokens.where("tokens > 0")
+
+    def sums(grid: list[float]) -> list[tuple[float, float]]:
+        """For each exponent a the sums over the sources of p^a and of p^a ln p^a."""
+        power = [F.pow(share, F.lit(a)) for a in grid]
+        row = some.agg(*[F.sum(x) for x in power], *[F.sum(x * F.ln(x)) for x in power]).first()
+        return list(zip(row[: len(grid)], row[len(grid) :], strict=True))
+
+    def smallest(enough, each) -> float:
+        """The smallest a in [0, 1] from which on enough holds, of what `each` gives for some exponents at a time."""
+        lo, hi = 0.0, 1.0
+        if enough(0.0, each([0.0])[0]):
+            return 0.0
+        for _ in range(ROUNDS):
+            grid = [lo + (hi - lo) * i / GRID for i in range(1, GRID)]
+            good = next((i for i, (a, x) in enumerate(zip(grid, each(grid), strict=True)) if enough(a, x)), len(grid))
+            lo, hi = [lo, *grid][good], [*grid, hi][good]
+        return hi
 
     needs = []
     if max_repeats is not None:
-        needs.append(smallest(lambda a: repeats(a) <= max_repeats))
+        most = lambda a, z: lowest ** (a - 1) / highest ** (a - 1) if budget is None else lowest ** (a - 1) * budget / z[0]  # noqa: E731  of the source that is repeated most
+        needs.append(smallest(lambda a, z: most(a, z) <= max_repeats, (lambda grid: [None] * len(grid)) if budget is None else sums))
     if target_entropy is not None:
-        goal = F.lit(target_entropy) * F.ln(F.greatest(F.size(shares), F.lit(1)).cast("double"))
-        needs.append(smallest(lambda a: entropy(a) <= goal))
-    return F.round(F.greatest(*needs) if len(needs) > 1 else needs[0] if needs else F.lit(1.0), 9)
+        goal = target_entropy * math.log(some.count())
+        needs.append(smallest(lambda _, z: math.log(z[0]) - z[1] / z[0] <= goal, sums))
+    return round(max(needs, default=1.0), 9)
 
 
 def weights(tokens: DataFrame, max_repeats: float | None, target_entropy: float | None, budget_tokens: int | None) -> DataFrame:
-    """Rows (key, tokens, weight, exponent, part) from rows (key, tokens): part is the source's share of the budget in tokens.
-
-    The table has a row for each source; their shares meet in one array, of at most SOURCES numbers.
-    """
-    listed = tokens.agg(
-        F.sum("tokens").alias("all"), F.collect_list(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("each"), F.count("*").alias("sources")
-    )
-    sure = F.when(F.col("sources") > SOURCES, F.raise_error(F.lit(f"more than {SOURCES} sources"))).otherwise(F.array_sort("each"))
-    shares = F.transform(sure, lambda t: t / F.col("all"))
-    listed = listed.select("all", shares.alias("shares"))
-    part = F.lit(budget_tokens).cast("double") / F.col("all")
-    a = F.when(F.size("shares") > 0, exponent(F.col("shares"), max_repeats, target_entropy, budget_tokens is None, part)).otherwise(F.lit(1.0))
-    listed = listed.withColumn("exponent", a)
-    z = F.aggregate("shares", F.lit(0.0), lambda s, p: s + F.pow(p, F.col("exponent")))
-    least = F.array_min(F.transform("shares", lambda p: F.pow(p, F.col("exponent") - 1)))  # times the budget and over z: epochs
-    budget = F.lit(budget_tokens).cast("double") if budget_tokens is not None else F.col("all") * z / least
-    listed = listed.withColumn("z", z).withColumn("budget", budget)
-    share = F.col("tokens") / F.col("all")
-    weight = F.when(F.col("tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
-    out = tokens.crossJoin(F.broadcast(listed)).withColumn("weight", weight)  # listed is one row
-    part = F.when(F.col("tokens") > 0, F.floor(F.col("weight") * F.col("budget") + 1e-6)).otherwise(F.lit(0)).cast("long")
+    """Rows (key, tokens, weight, exponent, part) from rows (key, tokens): part is the source's share of the budget in tokens."""
+    some = F.when(F.col("tokens") > 0, F.col("tokens"))
+    total, lowest, highest = tokens.agg(F.sum("tokens"), F.min(some), F.max(some)).first()
+    if not total:
+        return tokens.select("key", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("exponent"), F.lit(0).cast("long").alias("part"))
+    part = None if budget_tokens is None else budget_tokens / total
+    a = exponent(tokens, float(total), lowest / total, highest / total, max_repeats, target_entropy, part)
+    power = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(a))
+    z = tokens.where("tokens > 0").agg(F.sum(power)).first()[0]
+    budget = float(budget_tokens) if budget_tokens is not None else total * z / (highest / total) ** (a - 1)
+    out = tokens.withColumn("weight", F.when(F.col("tokens") > 0, power / z).otherwise(F.lit(0.0))).withColumn("exponent", F.lit(a))
+    part = F.when(F.col("tokens") > 0, F.floor(F.col("weight") * budget + 1e-6)).otherwise(F.lit(0)).cast("long")
     return out.select("key", "tokens", "weight", "exponent", part.alias("part"))
 
 
@@ -129,7 +121,7 @@ def mix(
     sums = staged(drawn.groupBy("key", "block").agg(F.sum("n").alias("sum")))  # sources x BLOCKS rows
     few = sums.select("key").distinct().limit(FEW + 1).count() <= FEW
     held = F.broadcast if few else lambda x: x
-    by_source = weights(sums.groupBy("key").agg(F.sum("sum").alias("tokens")), max_repeats, target_entropy, budget_tokens)
+    by_source = weights(staged(sums.groupBy("key").agg(F.sum("sum").alias("tokens"))), max_repeats, target_entropy, budget_tokens)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("part") / F.col("tokens"))).otherwise(F.lit(1)).cast("int")
     by_source = by_source.withColumn("whole", whole).withColumn("rest", F.when(F.col("tokens") > 0, F.col("part") - F.col("whole") * F.col("tokens")).otherwise(F.lit(0)))
     turn = _hash(F.lit(str(seed)), F.col("key"), F.col("whole").cast("string"), F.col("block").cast("string"))
@@ -140,9 +132,18 @@ def mix(
     cut = ~fits & (F.col("room") > 0)
     told = drawn.join(held(blocks), ["key", "block"])
     sure = told.where(~cut).withColumn("times", F.col("whole") + fits.cast("int"))
-    order = Window.partitionBy("key", "block").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    some = told.where(cut).withColumn("so_far", F.sum("n").over(order))  # one block of each source
-    some = some.withColumn("times", F.col("whole") + (F.col("so_far") <= F.col("room")).cast("int")).drop("so_far")
+    bin_ = F.floor(F.col("place") * BINS / (1 << HASH_BITS)).cast("int")
+    open_ = told.where(cut).withColumn("bin", bin_)  # one block of each source
+    bins = open_.groupBy("key", "block", "bin").agg(F.sum("n").alias("in_bin"))
+    so_far = F.sum("in_bin").over(Window.partitionBy("key", "block").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bins = bins.select("key", "block", "bin", (so_far - F.col("in_bin")).alias("before"), so_far.alias("up_to"))
+    open_ = open_.join(held(bins), ["key", "block", "bin"])
+    through = F.col("room") >= F.col("up_to")
+    partly = ~through & (F.col("room") >= F.col("before"))
+    order = Window.partitionBy("key", "block").orderBy("place", "n", F.md5(F.coalesce(F.col(f"row.{text}"), F.lit("")).cast("binary")))
+    last = open_.where(partly).withColumn("so_far", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = last.withColumn("times", F.col("whole") + (F.col("so_far") <= F.col("room")).cast("int")).drop("so_far")
+    some = open_.where(~partly).withColumn("times", F.col("whole") + through.cast("int")).unionByName(last).drop("bin", "before", "up_to")
     both = sure.unionByName(some).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     info = F.struct(F.col("n").alias("n_tokens"), "weight", "epoch", "block").alias("mix")
     return both.select("row.*", info)
