@@ -5,8 +5,8 @@ most `size` numbers, reaches the driver; there, patterns of one to three lengths
 fill a sequence are enumerated, their repeat counts fitted to the histogram by
 non-negative least squares, rounded down to what is there, and the rest packed best
 fit, longest first. The plan has a few thousand rows whatever the number of documents.
-Pieces are then numbered within their length, over salted groups so that a frequent
-length does not meet in one task, and join the plan by length and number.
+Pieces are then numbered within their length, over salted groups of about GROUP pieces, so
+that a frequent length does not meet in one task, and join the plan by length and number.
 
 Defined cases: a null text counts as empty, and an empty text is the closing id alone;
 repeated rows are packed one by one; an empty table gives no sequences; further columns
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from provenio.llm.common import only, staged
 
 SIZE = 2048
-SALTS = 64
+#: Pieces of one length that are numbered together, on average.
+GROUP = 20_000
 #: Lengths are fitted in steps of SIZE / GRID.
 GRID = 512
 #: Characters of white space in a row from which a text is not given to tiktoken; it fails at some 1,000,000.
@@ -256,19 +257,21 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece with its sequence and its place there, gapless from 0."""
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)).cast("int")
-    cut = staged(pieces(docs, vocabulary, size, id_col, text)).withColumn("salt", salt)
-    groups = cut.groupBy("length", "salt").count()  # size x SALTS rows at most
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    cut = staged(pieces(docs, vocabulary, size, id_col, text))
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # size rows at most
+    salts = spark.createDataFrame([(n, -(-c // GROUP)) for n, c in counts.items()], "length long, salts int")
+    salt = F.pmod(F.xxhash64(id_col, "piece"), F.col("salts")).cast("int")
+    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
+    groups = cut.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = groups.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy(id_col, "piece")
-    numbered = cut.withColumn("number", F.row_number().over(order) - 1).join(F.broadcast(offsets), ["length", "salt"])
+    numbered = cut.withColumn("number", F.row_number().over(order) - 1).join(offsets, ["length", "salt"])
     numbered = numbered.withColumn("number", F.col("number") + F.col("before"))
     where = spark.createDataFrame(places(plan(counts, size)), "length long, lo long, hi long, each long, sequence long, first long")
     inside = (numbered["length"] == where["length"]) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi"))
     nth = F.col("number") - F.col("lo")
-    return numbered.join(F.broadcast(where), inside).select(
+    return numbered.join(F.broadcast(where), inside).select(  # the plan's rows are bounded by size and grid
         id_col, "piece", "start", numbered["length"], "ids_crc32",
         (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("first") + (nth % F.col("each")) * numbered["length"]).cast("long").alias("offset"),
