@@ -1,14 +1,15 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree; parts that their tag, role, or class name marks as menus, headers,
-footers, sidebars, notices, adverts, forms or comments leave it first. Every node then has
+A page becomes a tree. Parts that the main text never holds by its definition leave it first:
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments,
+as their tag, their role, or a name made of such words alone says. Every node then has
 its composite density: characters for each tag, weighed down by the share that links have
 of its characters and tags, as in "DOM based content extraction via text density" (2011).
 The node with the highest density sets the threshold: the lowest density on its path to
 the body. Among the nodes at or over the threshold, the subtree whose children's
-densities have the largest sum is the main text. If it stands in an <article> or <main>,
-it is widened to that element, which holds the heading as well; if it holds just one, it
-is narrowed to it.
+densities have the largest sum is the main text, whatever its tag; children that only
+mark words within a block are part of its text and not added. Where nothing but
+headings stands beside it in its parent, they belong to it.
 
 Defined cases: a null page counts as empty and gives an empty text; broken markup is read
 as far as it goes, with the elements that HTML closes by itself closed; repeated rows are
@@ -46,11 +47,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments "
-    "disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget "
-    "widgets toolbar pagination pager skip paywall disclaimer copyright".split()
+    "disqus replies respond discussion social sharing related recommended newsletter subscribe subscription signup login search widget "
+    "widgets toolbar pagination pager paywall disclaimer copyright".split()
 )
-#: In a name, these say that the element only goes with the one named next.
-BESIDE = frozenset("has with no without is".split())
+#: Words that say nothing of their own in a name; "ad-slot" is an advert and "cookie-bar" a notice, but "notice-period" is no notice.
+PLAIN = frozenset(
+    "site page main global top bottom left right center inner outer upper lower box bar block list item items wrap wrapper container area section panel "
+    "slot unit zone link links left right primary secondary sticky fixed user reader posts articles form thread x".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -67,7 +72,7 @@ class Node:
 def _named_off(names: str) -> bool:
     for name in names.split():
         parts = [x.lower() for x in _NAME_PARTS.findall(name)]
-        if any(x in NAMES and not (i and parts[i - 1] in BESIDE) for i, x in enumerate(parts)):
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in PLAIN or x.isdigit() for x in parts):
             return True
     return False
 
@@ -167,7 +172,7 @@ def _densities(root: Node) -> list[Node]:
 
 
 def _children(node: Node) -> float:
-    return sum(x.density for x in node.items if isinstance(x, Node) and not x.off)
+    return sum(x.density for x in node.items if isinstance(x, Node) and not x.off and x.tag in BLOCK)
 
 
 def main_node(root: Node) -> Node | None:
@@ -185,20 +190,14 @@ def main_node(root: Node) -> Node | None:
         best = dense
     while best.parent and best.tag not in BLOCK:
         best = best.parent
-    held = [n for n in nodes if n.tag in ("article", "main")]
-    outer = [n for n in held if not any(_within(n, o) for o in held if o is not n)]
-    around = [o for o in outer if _within(best, o)]
-    inside = [o for o in outer if _within(o, best)]
-    return around[0] if around else inside[0] if len(inside) == 1 else best
+    while best.parent and best.tag not in ("body", "html") and _only_headings_beside(best):
+        best = best.parent
+    return best
 
 
-def _within(node: Node, outer: Node) -> bool:
-    up: Node | None = node
-    while up is not None:
-        if up is outer:
-            return True
-        up = up.parent
-    return False
+def _only_headings_beside(node: Node) -> bool:
+    beside = [x for x in node.parent.items if x is not node and (x.strip() if isinstance(x, str) else x.chars and not x.off)]
+    return all(isinstance(x, Node) and x.tag in HEADINGS for x in beside)
 
 
 def blocks(node: Node) -> list[str]:
