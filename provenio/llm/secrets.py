@@ -54,6 +54,7 @@ HEX_SAMPLE = re.compile("[0-9a-f]{4,}")
 GITHUB = re.compile("gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile("npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+RUN = re.compile("[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -113,10 +114,14 @@ def scan(text: str | None, automaton) -> list[tuple[str, int, int]]:
         expression, proof = _PROOF[kind]
         done = 0  # leftmost matches that don't overlap: also those that fail the proof use up their text
         for at in sorted(places):
-            if at >= done and (m := expression.match(text, at)):
+            if at < done:
+                continue
+            if m := expression.match(text, at):
                 done = m.end()
                 if proof(m):
                     spans.append((kind, at, done))
+            elif kind == "jwt":  # every further start in this run fails as this one did
+                done = RUN.match(text, at).end()
     done = 0
     for at in (8 * i for s in HEX_SAMPLE.finditer(text[::8]) for i in range(s.start(), s.end())):
         if at >= done:
