@@ -29,13 +29,16 @@ def score(criterion: Column, value: Column, tiers: Column) -> Column:
     )
 
 
-def comparison(facts: DataFrame, documents: DataFrame, fields: DataFrame, rules: DataFrame, always: tuple[str, ...] = ("adiantamento_custos_defesa",)) -> DataFrame:
-    """Long comparison rows, one for each declared field and document.
+def comparison(facts: DataFrame, documents: DataFrame, fields: DataFrame, rules: DataFrame, always: tuple[str, ...] = ("adiantamento_custos_defesa",), labels: DataFrame | None = None) -> DataFrame:
+    """Long comparison rows, one for each declared field and document, with the value and how a reader sees it.
 
-    facts (doc_id, field_id, value, status); documents (doc_id, label, is_spec); fields (field_id, field_ord, grp, label, applies_to);
-    rules (field_id, rule_id, criterion, tiers, absent_as, reason). The declared tables are small.
+    facts (doc_id, field_id, value, status); documents (doc_id, label, is_spec) and, if there are several comparisons, set_id:
+    documents are compared within their set, which is what a reader puts side by side; fields (field_id, field_ord, grp, label,
+    kind, applies_to), kind may lack; rules (field_id, rule_id, criterion, tiers, absent_as, reason). The declared tables are small.
+    labels (code, words): how coded values are shown.
     """
     dims = fields.withColumnRenamed("label", "field_label").join(F.broadcast(rules), "field_id", "left").withColumn("criterion", F.coalesce("criterion", F.lit("informativo")))
+    documents = documents if "set_id" in documents.columns else documents.withColumn("set_id", F.lit(0))
     grid = documents.withColumnRenamed("label", "doc_label").crossJoin(F.broadcast(dims))  # documents by the few declared fields
     rows = grid.join(facts.select("doc_id", "field_id", "value", "status"), ["doc_id", "field_id"], "left")
     verified = F.coalesce(F.col("status") == "verificado", F.lit(False))
@@ -44,12 +47,16 @@ def comparison(facts: DataFrame, documents: DataFrame, fields: DataFrame, rules:
     applies = ~(~F.col("is_spec") & (F.col("applies_to") == "espec")) & ~(F.col("is_spec") & (F.col("applies_to") == "cg") & ~F.col("field_id").isin(*always))
     used = F.when(verified, F.col("value")).otherwise(F.col("absent_as"))
     rows = rows.withColumn("score", F.when(applies & (F.col("criterion") != "informativo"), score(F.col("criterion"), used, F.col("tiers"))))
-    of_field = rows.groupBy("field_id").agg(  # partial sums for each field, then one row each
-        F.count("score").alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"),
-        (F.size(F.collect_set(F.coalesce("shown", F.lit("\0")))) > 1).alias("differs"),
-        F.sort_array(F.collect_set(F.when(F.col("score").isNotNull() & ~F.col("verified"), F.col("doc_label")))).alias("inferred"),
+    keys = ["set_id", "field_id"]
+    of_field = rows.groupBy(*keys).agg(  # partial sums for each set and field, then one row each
+        F.count("score").alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"), F.min("shown").alias("low"), F.max("shown").alias("high"),
+        F.count("shown").alias("filled"), F.count("*").alias("all"),
     )
-    out = rows.join(F.broadcast(of_field), "field_id")
+    differs = (F.col("low") != F.col("high")) | ((F.col("filled") > 0) & (F.col("filled") < F.col("all")))
+    of_field = of_field.withColumn("differs", F.coalesce(differs, F.lit(False))).drop("low", "high", "filled", "all")
+    guessed = rows.where(F.col("score").isNotNull() & ~F.col("verified")).groupBy(*keys).agg(F.sort_array(F.collect_set("doc_label")).alias("inferred"))  # documents of one set
+    of_field = of_field.join(guessed, keys, "left").withColumn("inferred", F.coalesce("inferred", F.array().cast("array<string>")))
+    out = rows.join(of_field, keys)
     label = (
         F.when((F.col("criterion") == "informativo") | (F.col("n") < 2) | F.col("score").isNull(), "nao_comparavel")
         .when(F.col("best") == F.col("worst"), "equivalente")
@@ -61,7 +68,15 @@ def comparison(facts: DataFrame, documents: DataFrame, fields: DataFrame, rules:
     reason = F.concat(F.coalesce("reason", F.lit("")), F.when(F.size("inferred") > 0, guessed).otherwise(""))
     few = F.when(F.col("criterion") != "informativo", "valor verificado em menos de dois documentos").otherwise("")
     why = F.trim(F.when((F.col("criterion") == "informativo") | (F.col("n") < 2), few).otherwise(reason))
-    return out.select("field_id", "field_ord", "grp", "field_label", "doc_id", "doc_label", "shown", "score", label.alias("favourability"), "rule_id", why.alias("reason"), "differs")
+    words = F.lit(None).cast("map<string,string>")
+    if labels is not None:  # a declared table, as one row
+        out = out.crossJoin(F.broadcast(labels.agg(F.map_from_entries(F.collect_list(F.struct("code", "words"))).alias("labels"))))
+        words = F.col("labels")
+    kind = F.col("kind") if "kind" in out.columns else F.lit("enum")
+    return out.select(
+        "set_id", "field_id", "field_ord", "grp", "field_label", "doc_id", "doc_label", "shown", T.display(kind, F.col("shown"), words).alias("shown_text"), "score",
+        label.alias("favourability"), "rule_id", why.alias("reason"), "differs",
+    )
 
 
 def favourability(scores: DataFrame, field: str = "field_id") -> DataFrame:
@@ -92,17 +107,17 @@ def summary(compared: DataFrame, alerts: DataFrame, highlights: int = 6) -> Data
     """Rows (part, nr, line): the scoreboard, the first highlights in the declared order, and the number of points of attention."""
     board = scoreboard(compared, "doc_label")
     line = F.concat(F.lit("- "), "doc_label", F.lit(": "), F.col("mais_favoravel").cast("string"), F.lit(" campo(s) mais favoráveis e "), F.col("menos_favoravel").cast("string"), F.lit(" menos favoráveis ao segurado."))
-    first = board.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("doc_label")).alias("nr"), line.alias("line"))  # a row for each document compared
+    first = board.select(F.lit(1).alias("part"), F.lit(0).alias("nr"), line.alias("line"))  # lines begin with the document's label
     of_field = compared.where("differs").groupBy("field_ord", "field_label").agg(
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("favourability") == "mais_favoravel", F.col("doc_label")))), ", ").alias("best"),
-        F.array_join(F.sort_array(F.collect_list(F.concat("doc_label", F.lit(": "), F.coalesce("shown", F.lit("não localizado"))))), "; ").alias("values"),
+        F.array_join(F.sort_array(F.collect_list(F.concat("doc_label", F.lit(": "), F.when(F.col("shown").isNull(), "não localizado").otherwise(F.col("shown_text"))))), "; ").alias("values"),
         F.bool_or(F.col("favourability").isin("mais_favoravel", "menos_favoravel")).alias("judged"),
     )
     text = F.concat(F.lit("- "), "field_label", F.lit(": mais favorável em "), "best", F.lit(" ("), "values", F.lit(")."))
     second = of_field.where("judged").orderBy("field_ord").limit(highlights).select(F.lit(2).alias("part"), F.col("field_ord").cast("int").alias("nr"), text.alias("line"))
     n = alerts.where("severity = 'atencao'").agg(F.count("*").alias("n")).where("n > 0")
     third = n.select(F.lit(3).alias("part"), F.lit(1).alias("nr"), F.concat(F.lit("- Conformidade: "), F.col("n").cast("string"), F.lit(" ponto(s) de atenção para revisão humana.")).alias("line"))
-    return first.unionByName(second).unionByName(third).orderBy("part", "nr")
+    return first.unionByName(second).unionByName(third).orderBy("part", "nr", "line")
 
 
 def evidence_appendix(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.functions import text as T
+from provenio.functions.exact import line_cer
 
 # What a gold label says when there is nothing.
 ABSENT = ("null", "false", "nao_prevista", "nao_excluido")
@@ -47,3 +48,14 @@ def changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("docum
     a = before.select(*keys, F.col("predicted").alias("was"), F.col("hit").alias("was_hit"))
     b = after.select(*keys, F.col("predicted").alias("now"), F.col("hit").alias("now_hit"))
     return a.join(b, list(keys)).where(~F.col("was").eqNullSafe(F.col("now")) | ~F.col("was_hit").eqNullSafe(F.col("now_hit")))
+
+
+def reading_errors(pages: DataFrame) -> DataFrame:
+    """pages (document, page_no, reference, read) with their error rates, by line and of the whole page."""
+    of_page = T.cer(F.coalesce("reference", F.lit("")), F.coalesce("read", F.lit("")))
+    return pages.withColumn("cer", F.bround(line_cer(F.col("reference"), F.col("read")), 4)).withColumn("cer_page", F.bround(of_page, 4))
+
+
+def reading_summary(errors: DataFrame) -> DataFrame:
+    """One row (pages, cer_mean, cer_max)."""
+    return errors.agg(F.count("*").alias("pages"), F.bround(F.avg("cer"), 4).alias("cer_mean"), F.max("cer").alias("cer_max"))

@@ -49,6 +49,22 @@ def duration_facts(hits: DataFrame, as_specified: str = "conforme_especificacao"
     return best.select("doc_id", "field_id", "hit.*")
 
 
+# How general conditions name their insurer, in their own letters.
+INSURERS = (
+    r"É a ([A-ZÀ-Ú][\wÀ-ú ]{2,60}?Seguros?(?: [A-ZÀ-Ú][\wÀ-ú]+)*? S\.? ?A\.?)",
+    r"Condi[çc][õo]es Contratuais ([A-Z]{3,}) D&O",
+    r"(Seguradora do Grupo [A-Z]{3,})",
+)
+
+
+def named_in_lines(lines: DataFrame, patterns: tuple[str, ...] = INSURERS) -> DataFrame:
+    """Rows (doc_id, value, quote, page): the first line of a document that one of the patterns names something in, as it is written."""
+    hits = [T.nothing(F.regexp_extract("raw", p, 1)) for p in patterns]
+    found = lines.withColumn("value", F.trim(F.coalesce(*hits))).where(F.col("value").isNotNull())
+    first = found.groupBy("doc_id").agg(F.min(F.struct(*LINE_ORDER, "value", "raw")).alias("x"))
+    return first.select("doc_id", "x.value", F.col("x.raw").alias("quote"), F.col("x.page_no").alias("page"))
+
+
 def scoped_lines(clauses: DataFrame, scope: str, without: str | None = None) -> DataFrame:
     """Lines (doc_id, page_no, line_no, raw) of the clauses whose title matches."""
     title = T.canonical(F.col("title"))
@@ -184,6 +200,13 @@ def select_within_budget(candidates: DataFrame, key: str, order: str, size: str,
     return listed.select(key, F.aggregate("list", start, take).alias("r")).select(key, "r.chosen", "r.total")
 
 
+def first_seen(candidates: DataFrame, key: str, order: str, *same: str) -> DataFrame:
+    """Of candidates of a key that agree in `same`, the first in order."""
+    rest = [c for c in candidates.columns if c not in (key, order, *same)]
+    first = candidates.groupBy(key, *same).agg(F.min(F.struct(order, *rest)).alias("x"))
+    return first.select(key, *same, "x.*")
+
+
 def fuse(rules: DataFrame, model: DataFrame) -> DataFrame:
     """Facts of two sources (doc_id, field_id, value, status, page, note): a verified rule wins, then a verified model, then the model unverified."""
     m = model.select("doc_id", "field_id", *[F.col(c).alias(f"m_{c}") for c in ("value", "status", "page", "note")])

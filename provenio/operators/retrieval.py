@@ -72,3 +72,45 @@ def passages(ranked: DataFrame, blocks: DataFrame, key: str = "block_id", most:
     text = F.regexp_replace("text", r"^([^\n]*\n){0,2}", "")
     out = ranked.where(F.col("rank") <= most).join(blocks, key)
     return out.select("query_id", "rank", key, F.substring(text, 1, chars).alias("quote"))
+
+
+def of_documents(ranked: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A ranking within some documents: those of a table, of any size, by a join before the ranking is cut."""
+    return ranked.join(documents.select(key).distinct(), key, "left_semi")
+
+
+def snippet(text: Column, terms: Column, words: int = 18, open_: str = "[", close: str = "]", gap: str = " … ") -> Column:
+    """The `words` words with most of the search's different terms in them, each hit marked, with a gap where the text goes on.
+
+    The earliest of equal places counts, and it begins at a hit; a text without a hit gives its beginning.
+    """
+    every = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    found = F.transform(every, lambda w: F.array_intersect(plain_words(w), terms))
+    at = F.filter(F.transform(found, lambda f, i: F.when(F.size(f) > 0, i)), lambda i: i.isNotNull())
+    place = lambda i: F.struct((-F.size(F.array_distinct(F.flatten(F.slice(found, i + 1, words))))).alias("n"), i.alias("i"))
+    start = F.coalesce(F.array_min(F.transform(at, place))["i"], F.lit(0))
+    shown = F.transform(F.slice(every, start + 1, words), lambda w: F.when(F.size(F.array_intersect(plain_words(w), terms)) > 0, F.concat(F.lit(open_), w, F.lit(close))).otherwise(w))
+    before, after = F.when(start > 0, gap).otherwise(""), F.when(start + words < F.size(every), gap).otherwise("")
+    return F.concat(before, F.array_join(shown, " "), after)
+
+
+def within_documents(postings_: DataFrame, sizes: DataFrame, queries: DataFrame, k: int, key: str = "block_id") -> DataFrame:
+    """BM25 where each document is an index of its own.
+
+    postings_ (doc_id, key, term, tf, len); sizes (doc_id, n, mean_len) of its blocks; queries (doc_id, query_id, term).
+    Rows (doc_id, query_id, key, score, rank).
+    """
+    asked = queries.groupBy("doc_id", "query_id", "term").agg(F.count("*").alias("times"))
+    found = postings_.join(asked.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi")
+    df = found.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(sizes, "doc_id")
+    raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.withColumn("idf", F.when(raw > 0, raw).otherwise(FLOOR * F.ln(F.lit(2.0)))).select("doc_id", "term", "idf", "mean_len")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    scored = found.join(idf, ["doc_id", "term"]).join(asked, ["doc_id", "term"]).groupBy("doc_id", "query_id", key).agg(F.sum(part).alias("score"))
+    order = Window.partitionBy("doc_id", "query_id").orderBy(F.desc(F.round("score", 9)), key)
+    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def best_of_each(rows: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    """Of each key the first rows in order, `nth` from 1; Spark cuts each task's rows to them before the shuffle."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= most)

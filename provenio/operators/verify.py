@@ -49,12 +49,16 @@ def number_anchored(kind: Column, value: Column, quote: Column) -> Column:
 def page_texts(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page_no, text) with their canonical text, the next page's, and the text before, at most CONTEXT_CHARS of it."""
     order = Window.partitionBy("doc_id").orderBy("page_no")
-    nxt = F.when(F.lead("page_no").over(order) == F.col("page_no") + 1, F.lead("text").over(order))
-    before = F.collect_list(T.canonical(F.col("text"))).over(order.rowsBetween(1 - CONTEXT_PAGES, -1))
-    return pages.select(
-        "doc_id", "page_no", T.canonical(F.col("text")).alias("norm"), T.canonical(nxt).alias("next_norm"),
-        T.canonical(F.concat_ws("\n", "text", nxt)).alias("pair_norm"), nxt.isNotNull().alias("has_next"), F.array_join(before, " ").alias("before"),
-    )
+    ends = F.coalesce(F.col("text").rlike(rf"{T.LETTER_OR_DIGIT}-\s*$"), F.lit(False))
+    begins = F.coalesce(F.col("text").rlike(rf"^\s*{T.LETTER_OR_DIGIT}"), F.lit(False))
+    own = pages.select("doc_id", "page_no", T.canonical(F.col("text")).alias("norm"), ends.alias("ends"), begins.alias("begins"))  # once a page
+    follows = F.lead("page_no").over(order) == F.col("page_no") + 1
+    out = own.withColumn("has_next", F.coalesce(follows, F.lit(False))).withColumn("next_norm", F.when(F.col("has_next"), F.lead("norm").over(order)))
+    out = out.withColumn("joined", F.col("ends") & F.col("has_next") & F.coalesce(F.lead("begins").over(order), F.lit(False)))  # a word that goes over
+    out = out.withColumn("before", F.array_join(F.collect_list("norm").over(order.rowsBetween(1 - CONTEXT_PAGES, -1)), " "))
+    parted = F.trim(F.concat_ws(" ", "norm", "next_norm"))
+    pair = F.when(F.col("joined"), F.concat(F.regexp_replace("norm", "-$", ""), "next_norm")).otherwise(parted)
+    return out.select("doc_id", "page_no", "norm", "next_norm", pair.alias("pair_norm"), "has_next", "before")
 
 
 def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -87,14 +91,17 @@ def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return quotes.join(found, ["doc_id", "quote_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
-def coherent(candidates: DataFrame, signs: DataFrame, in_context: tuple[str, ...] = ("excluido", "excluida")) -> Column:
+IN_CONTEXT = ("excluido", "excluida")
+
+
+def coherent() -> Column:
     """Whether the quote, or for some values the text before it, carries the sign declared for the value.
 
-    candidates have `sign`, from with_signs, `before` and `value`; no sign declared means coherent.
+    Rows have `sign`, from with_signs, `context`, from with_context, and `value`; no sign declared means coherent.
     """
     quote = F.call_function("rlike", T.canonical(F.col("quote")), F.col("sign"))
     before = F.call_function("rlike", F.coalesce("context", F.lit("")), F.col("sign"))
-    return F.col("sign").isNull() | quote | (F.col("value").isin(*in_context) & before)
+    return F.col("sign").isNull() | quote | (F.col("value").isin(*IN_CONTEXT) & before)
 
 
 def with_signs(candidates: DataFrame, signs: DataFrame) -> DataFrame:
@@ -123,7 +130,10 @@ def cascade(candidates: DataFrame, pages: DataFrame, signs: DataFrame) -> DataFr
 
     Every check that fails takes the value away and says why; a page that was wrong is corrected and noted.
     """
-    located = with_context(with_signs(locate(candidates, pages), signs), pages)
+    located = with_signs(locate(candidates, pages), signs)
+    asked = F.col("sign").isNotNull() & F.col("value").isin(*IN_CONTEXT)  # what stands before counts for these alone
+    of_these = pages.join(located.where(asked).select("doc_id").distinct(), "doc_id", "left_semi")
+    located = with_context(located.where(asked), of_these).unionByName(located.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True)
     quote = F.trim(F.coalesce("quote", F.lit("")))
     sim, found = F.col("similarity"), F.col("found_page")
     passes = F.col("status").isin("nao_localizado", "definido_na_especificacao") & F.col("quote").isNull()
@@ -135,7 +145,7 @@ def cascade(candidates: DataFrame, pages: DataFrame, signs: DataFrame) -> DataFr
         (F.length(T.canonical(quote)) < LEAST_QUOTE, "nao_verificado", "trecho curto demais para servir de prova"),
         (found.isNull() | (sim < LEAST_SIMILARITY), "nao_verificado", "trecho não encontrado no documento"),
         ((F.col("kind") != "texto") & ~on_topic(quote, F.col("clues")), "nao_verificado", "o trecho não trata do assunto do campo"),
-        (~coherent(located, signs), "nao_verificado", F.concat(F.lit("o trecho não sustenta o valor '"), "value", F.lit("'"))),
+        (~coherent(), "nao_verificado", F.concat(F.lit("o trecho não sustenta o valor '"), "value", F.lit("'"))),
         (~number_anchored(F.col("kind"), F.col("value"), quote), "nao_verificado", "o número do valor não aparece no trecho citado"),
     ]
     moved = F.concat(F.lit("página corrigida de "), F.col("page").cast("string"), F.lit(" para "), found.cast("string"))

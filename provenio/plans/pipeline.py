@@ -34,8 +34,9 @@ class Rules:
     def of(cls, spark: SparkSession, campos: dict, extracao: dict, coerencia: dict, comparacao: dict, conformidade: dict) -> Rules:
         coverages, marks = declared.coverages(spark, extracao)
         compliance, conditions = declared.compliance(spark, conformidade)
+        extraction, _ = declared.sound(declared.extraction(spark, extracao))
         return cls(
-            declared.fields(spark, campos), declared.extraction(spark, extracao), coverages, declared.exclusions(spark, extracao), marks,
+            declared.fields(spark, campos), extraction, coverages, declared.exclusions(spark, extracao), marks,
             declared.coherence(spark, coerencia), declared.comparison(spark, comparacao), compliance, conditions,
         )
 
@@ -76,6 +77,8 @@ def candidates(pages: DataFrame, rules: Rules) -> DataFrame:
     patterns = rules.fields.where("kind = 'texto' and pattern is not null")
     text = M.rule_hits(windows, patterns.select("field_id", F.lit(1).alias("ordinal"), F.lit("").alias("value"), F.col("pattern").alias("regex")))
     found = found.unionByName(plain(text.withColumn("value", F.col("matched"))))
+    named = M.named_in_lines(lines).join(F.broadcast(kinds.where("field_id = 'seguradora'").select("field_id")))
+    found = found.unionByName(named.select(*out))
     of = lambda spec: documents.where(F.col("is_spec") == spec).select("doc_id")
     general = M.coverage_facts(clauses, windows, rules.coverages, rules.marks).select(*out)
     general = general.unionByName(M.exclusion_facts(clauses, rules.exclusions, rules.marks["exclusion_scope"], rules.marks["optional_exclusion"], rules.marks["reservation"]).select(*out))

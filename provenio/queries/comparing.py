@@ -105,15 +105,15 @@ w AS (SELECT doc_id, page_no, row_number() OVER o AS pos, trim(trim(raw) || ' '
 n AS (SELECT *, {canonical_sql('original')} AS norm FROM w),
 h AS (SELECT doc_id, p, arg_min(original, pos) AS original, CAST(arg_min(page_no, pos) AS INTEGER) AS page FROM n CROSS JOIN (VALUES ('licensed under|public license'), ('(token|password)')) AS x(p) WHERE regexp_matches(norm, p) GROUP BY ALL),
 q AS (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY 1)
-SELECT 'low-quality' AS rule_id, d.doc_id, CAST(NULL AS VARCHAR) AS quote, CAST(NULL AS INTEGER) AS page FROM d JOIN q ON q.doc_id = d.doc_id WHERE q.quality = 0 AND NOT regexp_matches(c, 'gnu general')
-UNION ALL SELECT 'licensed', doc_id, substr(original, 1, 300), page FROM h WHERE p LIKE 'licensed%'
-UNION ALL SELECT 'unlabelled', h.doc_id, substr(original, 1, 300), page FROM h LEFT JOIN q ON q.doc_id = h.doc_id WHERE p LIKE '(token%' AND q.quality IS NULL""")
+SELECT 'low-quality' AS rule_id, d.doc_id, 'm (Indício por ausência: confira se a informação está em outro documento da apólice.)' AS message, 'norma, art. 1' AS basis, CAST(NULL AS VARCHAR) AS quote, CAST(NULL AS INTEGER) AS page FROM d JOIN q ON q.doc_id = d.doc_id WHERE q.quality = 0 AND NOT regexp_matches(c, 'gnu general')
+UNION ALL SELECT 'licensed', doc_id, 'm', 'norma, art. 1', substr(original, 1, 300), page FROM h WHERE p LIKE 'licensed%'
+UNION ALL SELECT 'unlabelled', h.doc_id, 'm (Indício por ausência: confira se a informação está em outro documento da apólice.)', 'norma, art. 1', substr(original, 1, 300), page FROM h LEFT JOIN q ON q.doc_id = h.doc_id WHERE p LIKE '(token%' AND q.quality IS NULL""")
 def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("is_spec"))
     facts = table(spark, sf_dir, "labels").select("doc_id", F.lit("quality").alias("field_id"), F.col("quality").cast("string").alias("value"), F.lit("verificado").alias("status"))
     rules = spark.createDataFrame([(r, "todos", "art. 1", "atencao", "m", None, None) for r in ("low-quality", "licensed", "unlabelled", "odd")], "rule_id string, applies_to string, article string, severity string, message string, basis string, excerpt string")
     conditions = spark.createDataFrame(list(_CONDITIONS), "rule_id string, nr int, kind string, field_id string, allowed array<string>, pattern string")
-    return C.evaluate_rules(docs, facts, document_lines(spark, sf_dir), rules, conditions).select("rule_id", "doc_id", "quote", "page")
+    return C.evaluate_rules(docs, facts, document_lines(spark, sf_dir), rules, conditions, "norma").select("rule_id", "doc_id", "message", "basis", "quote", "page")
 
 
 # Labels are the gold, and the share of marks in the text is the predictor.
@@ -158,7 +158,6 @@ def lesson_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     licence = F.regexp_extract("text", r"(?m)^(.*(?:Licensed under|licensed under|Released under).*)$", 1)
     taught = docs.select("doc_id", licence.alias("quote"), F.col("source").alias("insurer")).where("quote <> ''").groupBy("quote").agg(F.min(F.struct("doc_id", "insurer")).alias("x"))
-    taught = taught.orderBy("quote").limit(8)  # a reader teaches a few lessons
     lessons = taught.select(F.col("x.doc_id").alias("doc_id"), F.lit("licence").alias("field_id"), F.concat(F.lit("L"), F.sha2("quote", 256)).alias("lesson_id"), F.substring("quote", 1, 40).alias("value"), "quote", F.lit(1).alias("page"), F.col("x.insurer").alias("insurer"), F.lit(1).alias("created_at"))
     facts = docs.select("doc_id", F.lit("licence").alias("field_id"), F.lit("enum").alias("kind"), F.lit("nao_localizado").alias("status"))
     return L.reuse(lessons, facts, document_pages(spark, sf_dir), docs.select("doc_id", F.col("source").alias("insurer"))).select("doc_id", "field_id", "value", "page", "lesson_id")

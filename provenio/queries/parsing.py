@@ -114,10 +114,10 @@ def parse_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT item_id, round(levenshtein(a, b) / length(a), 6) AS cer FROM (
     SELECT item_id, regexp_replace(a, 'o', 'e', 'g') AS b, a FROM (
-        SELECT item_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 300))), '[^a-z0-9.]+', ' ', 'g')) AS a FROM benchmark))""")
+        SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9.]+', ' ', 'g')) AS a FROM benchmark))""")
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error rate of the benchmark's beginnings read with every o as an e; in ASCII, as not every engine counts code points."""
-    plain = F.trim(F.regexp_replace(F.lower(T.strip_accents(F.substring("text", 1, 300))), "[^a-z0-9.]+", " "))
+    """Error rate of the benchmark's passages read with every o as an e; in ASCII, as not every engine counts code points."""
+    plain = F.trim(F.regexp_replace(F.lower(T.strip_accents(F.col("text"))), "[^a-z0-9.]+", " "))
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.cer(plain, F.regexp_replace(plain, "o", "e")), 6).alias("cer"))
 
 
@@ -127,7 +127,7 @@ def neutral_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.neutral_tags(text).alias("safe"))
 
 
-@query()
+@query("SELECT event_id, coalesce(props, '{}') AS parsed FROM events")
 def balanced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON of an event's properties, found again within chatter and a broken object."""
     events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('Segue {não é json} ou: '), F.coalesce("props", F.lit("{}")), F.lit(" fim }")).alias("said"))
@@ -143,13 +143,13 @@ def line_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(round(CAST(o_totalprice AS DOUBLE), 2) AS VARCHAR) WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
-    WHEN 2 THEN '360' WHEN 3 THEN CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END ELSE 'true' END AS value FROM orders WHERE o_orderkey % 5 > 0""")
+    WHEN 2 THEN '360' WHEN 3 THEN CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END ELSE 'true' END AS value FROM orders""")
 def coerce_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("dinheiro", "data", "duracao", "enum", "booleano")])
     kind = F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int"))
-    raw = F.when(kind == "data", F.date_format("o_orderdate", "dd/MM/yyyy")).when(kind == "duracao", "12 (doze) meses").when(kind == "enum", F.col("o_orderstatus")).otherwise("sim")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0")
-    return rows.select("o_orderkey", T.coerce(kind, raw, F.array(F.lit("F"), F.lit("O"))).alias("value"))
+    money = T.format_money(F.round(F.col("o_totalprice").cast("double"), 2))
+    raw = F.when(kind == "dinheiro", money).when(kind == "data", F.date_format("o_orderdate", "dd/MM/yyyy")).when(kind == "duracao", "12 (doze) meses").when(kind == "enum", F.col("o_orderstatus")).otherwise("sim")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.coerce(kind, raw, F.array(F.lit("F"), F.lit("O"))).alias("value"))
 
 
 _FAV = "mais_favoravel"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenio.functions import text as T
@@ -33,9 +33,9 @@ def _ranked(spark: SparkSession, sf_dir: str, terms, asked, k: int) -> DataFrame
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("WITH " + _bm25_sql(tokens_sql("text"), tokens_sql("substr(text, 1, 200)"), 6))
+@query("WITH " + _bm25_sql(tokens_sql("text"), tokens_sql("text"), 6))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, T.tokens(F.col("text")), T.tokens(F.substring("text", 1, 200)), 6)
+    return _ranked(spark, sf_dir, T.tokens(F.col("text")), T.tokens(F.col("text")), 6)
 
 
 _FTS = f"list_filter(regexp_extract_all({canonical_sql('text')}, '[a-z0-9]+'), lambda w: length(w) > 2)[1:12]"
@@ -56,9 +56,7 @@ def budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, source, n_chars FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2""")
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.row_number().over(order).alias("n"))
-    return docs.where("n <= 2").select("doc_id", "source", "n_chars")
+    return R.best_of_each(table(spark, sf_dir, "documents"), "source", 2, F.desc("n_chars"), F.col("doc_id")).select("doc_id", "source", "n_chars")
 
 
 @query(rf"""SELECT doc_id, substr(regexp_replace(text, '^([^\n]*\n){{0,2}}', ''), 1, 400) AS quote FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)""")

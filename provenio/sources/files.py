@@ -122,3 +122,9 @@ def listing(documents: DataFrame, pages: DataFrame) -> DataFrame:
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("method") == "ocr").alias("n_ocr"))
     out = documents.join(counts, "doc_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_pages", "n_ocr")})
+
+
+def with_metadata(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """files (sha256, ...) with `meta`, what a declared list (sha256, meta) says of a file of that content; the first entry of several counts."""
+    known = sources.groupBy("sha256").agg(F.min_by("meta", "ordinal").alias("meta"))
+    return files.join(known, "sha256", "left")

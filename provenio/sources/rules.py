@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_yaml(spark: SparkSession, path: str) -> dict:
@@ -12,6 +13,20 @@ def read_yaml(spark: SparkSession, path: str) -> dict:
     return yaml.safe_load(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode("utf-8"))
 
 
+def sound(rules: DataFrame, column: str = "regex") -> tuple[DataFrame, list[str]]:
+    """(rules whose pattern Spark can read, the other patterns): a rule that is badly written costs its own field alone.
+
+    Rules are declared and few; their patterns are tried one by one.
+    """
+    spark, bad = rules.sparkSession, []
+    for row in rules.select(column).where(F.col(column).isNotNull()).distinct().collect():
+        try:
+            spark.range(1).select(F.lit("").rlike(row[0])).collect()
+        except Exception:  # noqa: BLE001  whatever kind of error the engine gives for a pattern
+            bad.append(row[0])
+    return rules.where(F.col(column).isNull() | ~F.col(column).isin(bad)) if bad else rules, sorted(bad)
+
+
 def _text(value) -> str | None:
     return None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
 

@@ -55,7 +55,7 @@ def answered(prompts: DataFrame, cache: DataFrame, provider: Callable[[], Callab
 
 def report_rows(compared: DataFrame) -> DataFrame:
     """A comparison as Markdown lines (field_ord, line)."""
-    cell = F.concat(F.lit("| "), "field_label", F.lit(" | "), "doc_label", F.lit(" | "), F.coalesce("shown", F.lit("—")), F.lit(" | "), "favourability", F.lit(" |"))
+    cell = F.concat(F.lit("| "), "field_label", F.lit(" | "), "doc_label", F.lit(" | "), F.col("shown_text"), F.lit(" | "), "favourability", F.lit(" |"))
     return compared.select("field_ord", "doc_id", cell.alias("line"))
 
 
