@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenio.session import shared_dir, staged
+
+__all__ = ["bucketed", "crc_mod", "only", "shared_dir", "staged", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"corpus-checkpoints-{os.getpid()}")
-    return f"file://{own}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    This cuts the lineage: losing an executor afterwards costs no work done before,
-    and what several later steps read is worked out once. The files stay until the
-    owner of the shared folder clears it, as the result is read lazily.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, column: str) -> DataFrame:
     """Write df to the shared folder as Parquet bucketed by a column, one bucket for each shuffle partition, and read it again.
 
