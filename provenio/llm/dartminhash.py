@@ -13,8 +13,8 @@ bucket. In each bucket, dealt into blocks of BLOCK members at most, a forest of
 similar members is compared first; so a group of copies becomes one component by about one
 comparison for each member and band. Then, in every bucket that still holds several
 components, each member outside its largest component meets all members of other
-components, block by block. Pairs are compared exactly, as multisets of hashed shingles,
-unless a byte of each coordinate already rules them out: LEAST_ALIKE lies 3.8 deviations
+components, block by block, where their shingles are at hand, so that a group gives links,
+never its pairs. Pairs are compared exactly, as multisets of hashed shingles, unless a byte of each coordinate already rules them out: LEAST_ALIKE lies 3.8 deviations
 under what a similarity of 0.8 expects. So all links that the bands can show are found or
 implied, whatever the size of a bucket. Classes are the connected components of the links.
 
@@ -230,45 +230,79 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs([node[x] for x, _ in found], [node[y] for _, y in found])
 
 
-def _further_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels from rows (key, part, other, outside, node, label, sketch): members outside the largest component meet all."""
-    for group in _grouped(batches, ("key", "part", "other")):
-        outside = group["outside"].to_numpy(zero_copy_only=False)
-        node, label, sketches = group["node"].to_pylist(), np.array(group["label"].to_pylist(), object), _sketches(group)
-        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
-        if len(a) and len(b):
-            x, y = np.nonzero((_alike(sketches[a], sketches[b]) >= LEAST_ALIKE * sketches.shape[1]) & (label[a][:, None] != label[b][None, :]))
-            yield _pairs([node[i] for i in a[x]], [node[i] for i in b[y]])
+def _further_links_of(similarity: float):
+    """Links (label, label) from rows (key, part, other, outside, node, label, sketch, items).
+
+    Members outside the largest component meet all of other components, the most alike first. Components that a link has
+    joined aren't compared again, so that a group gives less links than it has components.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, ("key", "part", "other")):
+            outside = group["outside"].to_numpy(zero_copy_only=False)
+            a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+            if not len(a) or not len(b):
+                continue
+            sketches, label = _sketches(group), group["label"].to_pylist()
+            names = {x: i for i, x in enumerate(sorted(set(label)))}
+            code = np.fromiter((names[x] for x in label), np.int64, len(label))
+            alike = _alike(sketches[a], sketches[b])
+            x, y = np.nonzero((alike >= LEAST_ALIKE * sketches.shape[1]) & (code[a][:, None] != code[b][None, :]))
+            order = np.argsort(-alike[x, y], kind="stable")
+            items = group["items"].combine_chunks()
+            ends, flat = items.offsets.to_numpy(), items.values.to_numpy()
+            sets = lambda i: flat[ends[i] : ends[i + 1]]  # noqa: B023, E731
+            root = list(range(len(names)))
+
+            def find(i: int) -> int:
+                while root[i] != i:  # noqa: B023
+                    root[i] = root[root[i]]  # noqa: B023
+                    i = root[i]  # noqa: B023
+                return i
+
+            found: list[tuple[bytes, bytes]] = []
+            for i, j in zip(a[x[order]].tolist(), b[y[order]].tolist(), strict=True):
+                u, v = find(code[i]), find(code[j])
+                if u == v:
+                    continue
+                one, two = sets(i), sets(j)
+                if min(len(one), len(two)) < similarity * max(len(one), len(two)):
+                    continue
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common >= similarity * (len(one) + len(two) - common):
+                    root[u] = v
+                    found.append((label[i], label[j]))
+            if found:
+                yield _pairs([x for x, _ in found], [y for _, y in found])
+
+    return each
 
 
-def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs compared, links) of the forests among the members (key, node, n, sketch) of buckets of n."""
+def _first_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of the forests among the members (key, node, n, sketch) of buckets of n."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.select("key", F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), "node", "sketch")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
     pairs = staged(dealt.mapInArrow(_first_pairs, "node binary, hub binary").distinct())
-    return pairs, staged(_similar(pairs, sets, similarity))
+    return staged(_similar(pairs, sets, similarity))
 
 
-def _further_links(members: DataFrame, label: DataFrame, compared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between components (label, label) of members that share a bucket."""
+def _further_links(members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components (node, hub), by their labels, of members that share a bucket; buckets of the same members count once."""
     placed = staged(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    counts = staged(placed.groupBy("key", "label").agg(F.count("*").alias("n")))
-    several = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
-    several = several.where("labels > 1").select("key", F.col("most.label").alias("largest"), F.col("most.n").alias("inside"), "n")
+    counts = staged(placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")))
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels"), F.sum("sum").alias("sum"))
+    several = several.where("labels > 1").groupBy("n", "labels", "sum").agg(F.min(F.struct("key", "most")).alias("x"))
+    several = several.select("x.key", F.col("x.most.label").alias("largest"), F.col("x.most.n").alias("inside"), "n")
     several = staged(several.select("key", "largest", F.ceil((F.col("n") - F.col("inside")) / OUTSIDE).cast("int").alias("parts"), F.ceil(F.col("n") / OTHERS).cast("int").alias("others")))
-    opened = placed.drop("n").join(several, "key")
+    opened = placed.drop("n").join(several, "key").join(sets, "node")
     deal = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("key", "part", "other", "outside", "node", "label", "sketch")
+    columns = ("key", "part", "other", "outside", "node", "label", "sketch", "items")
     left = opened.where("label <> largest").withColumn("part", deal("parts")).withColumn("other", every("others")).withColumn("outside", F.lit(True))
     right = opened.withColumn("other", deal("others")).withColumn("part", every("parts")).withColumn("outside", F.lit(False))
     groups = left.select(*columns).unionByName(right.select(*columns)).repartition("key", "part", "other").sortWithinPartitions("key", "part", "other")
-    pairs = staged(groups.mapInArrow(_further_pairs, "node binary, hub binary").distinct())
-    links = _similar(pairs.join(compared, ["node", "hub"], "left_anti"), sets, similarity)
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    links = links.join(of("node"), "node", "left").join(of("hub"), "hub", "left")
-    return links.select(F.coalesce("node_label", "node").alias("node"), F.coalesce("hub_label", "hub").alias("hub"))
+    return staged(groups.mapInArrow(_further_links_of(similarity), "node binary, hub binary").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -330,9 +364,8 @@ def classes(
     texts = base.where("text is not null").withColumn("name", keyed(F.col("id"), F.col("node"))).select("name", "text").join(one_each.hint("shuffle_hash"), "name")
     sets = texts.select(F.col("of").alias("node"), "text").mapInArrow(_sets(weighted), "node binary, items array<bigint>")
     sets = staged(sets.groupBy("node").agg(F.any_value("items").alias("items")))  # rows of one id and text
-    compared, links = _first_links(members, sets, similarity)
-    first = components(links)
-    second = components(_further_links(members, first, compared, sets, similarity))
+    first = components(_first_links(members, sets, similarity))
+    second = components(_further_links(members, first, sets, similarity))
     second = second.select(F.col("node").alias("label"), F.col("label").alias("root"))
     alone = second.join(first.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "root")
     label = first.join(second, "label", "left").select("node", F.coalesce("root", "label").alias("root")).unionByName(alone)
