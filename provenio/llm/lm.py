@@ -20,8 +20,8 @@ number grows with the number of chunks, in two exchanges:
    result. No task and no broadcast holds the vocabulary or the n-grams; a hot one has an
    entry for each chunk.
 
-n-grams are told apart by 48 bits of a hash within their part, which holds some millions of
-them: the chance that any two in a part are taken for one is some 0.02.
+n-grams are told apart by 48 bits of a hash within their part, which holds some million of
+them: the chance that any two in a part are taken for one is some 0.002.
 
 A text is traversed once from left to right. As the longest suffix that is a state
 depends only on the words before, the traversal is done for all positions at a time,
@@ -55,8 +55,8 @@ CHUNK = 8 << 20
 CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words binary, tokens binary, learnt long"
 #: Bits of a fingerprint and of an n-gram's code within its part.
 FINGERPRINT, CODE = 28, 48
-#: Chunks for each part: the more, the closer the codes of a message lie together.
-SHARE = 3
+#: Chunks for each part: more make smaller messages and larger tasks.
+SHARE = 1
 MESSAGE = "part long, of long, codes binary, values binary"
 ANSWER = "of long, part long, step int, answer binary, new long"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
