@@ -79,18 +79,20 @@ def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", V.instructs(F.concat(F.coalesce("text", F.lit("")), added)).alias("instructs"))
 
 
-# Nations' cards: a label in one line, its value in the same line, the next, or the one before.
+# Customers' cards: a label in one line, its value in the same line, the next, or the one before.
 _CARD = (
-    "CASE n_nationkey % 3 WHEN 0 THEN 'Region: ' || r_name || chr(10) || 'Policy limit:' || chr(10) || 'R$ ' || n_nationkey || ' mil' "
-    "WHEN 1 THEN 'R$ ' || n_nationkey || ' mil' || chr(10) || 'limit:' ELSE 'Policy limit (total): R$ ' || n_nationkey || ' mil' END"
+    "CASE c_custkey % 3 WHEN 0 THEN 'Nation: ' || n_name || chr(10) || 'Policy limit:' || chr(10) || 'R$ ' || c_custkey || ' mil' "
+    "WHEN 1 THEN 'R$ ' || c_custkey || ' mil' || chr(10) || 'limit:' ELSE 'Policy limit (total): R$ ' || c_custkey || ' mil' END"
 )
 
 
-@query(f"""SELECT n_name AS doc_id, CAST(n_nationkey * 1000 AS DOUBLE) AS value, CASE n_nationkey % 3 WHEN 0 THEN 'Policy limit: R$ ' || n_nationkey || ' mil'
-    WHEN 1 THEN 'R$ ' || n_nationkey || ' mil limit:' ELSE 'Policy limit (total): R$ ' || n_nationkey || ' mil' END AS quote FROM nation""")
+@query(f"""WITH c AS (SELECT c_custkey, {_CARD} AS card FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    l AS (SELECT c_custkey, i, l[i] AS s, l[i - 1] AS ahead, l[i + 1] AS after FROM (SELECT c_custkey, string_split(card, chr(10)) AS l FROM c), unnest(range(1, len(l) + 1)) AS u(i)),
+    h AS (SELECT c_custkey, s, CASE WHEN trim(regexp_replace(s, '^[^:]*:', '')) <> '' THEN s ELSE coalesce(s || ' ' || after, ahead || ' ' || s) END AS quote FROM l WHERE regexp_matches(lower(s), '^(policy )?limit( [(]total[)])?:'))
+    SELECT c_custkey AS doc_id, CAST(regexp_extract(quote, 'R[$] ([0-9]+) mil', 1) AS DOUBLE) * 1000 AS value, quote FROM h""")
 def label_anchor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    cards = cards.select(F.col("n_name").alias("doc_id"), F.lit(1).alias("page_no"), F.expr(_CARD.replace("chr(10)", "char(10)")).alias("text"))
+    cards = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    cards = cards.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page_no"), F.expr(_CARD.replace("chr(10)", "char(10)")).alias("text"))
     lines = cards.select("doc_id", "page_no", F.posexplode(T.split_lines(F.col("text"))).alias("line_no", "raw"))
     labels = spark.createDataFrame([("limit", 1, "Policy limit")], "field_id string, label_ord int, label string")
     found = M.first_interpretable(M.label_candidates(lines, labels), T.parse_money(F.col("value_text")))

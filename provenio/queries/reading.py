@@ -48,7 +48,8 @@ def content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select(X.identity(F.col("text")).alias("sha256"), "doc_id")
-    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    copies = docs.groupBy("sha256").agg(F.count("*").alias("copies"))
+    return X.first_of_each(docs, "sha256", "doc_id").join(copies, "sha256")
 
 
 @query(r"""SELECT page_id, substr(coalesce(nullif(trim(regexp_replace(url, '[^\p{L}\p{N}._\- ()]', '', 'g')), ''), 'documento'), 1, 120) AS name FROM pages""")
@@ -212,11 +213,11 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH f AS (
-    SELECT s.n_name AS doc, f.* FROM nation s, (VALUES ('limit', 'espec'), ('deductible', 'espec'), ('basis', 'ambos'), ('defence', 'cg'), ('adiantamento_custos_defesa', 'cg')) AS f(field_id, applies_to)
-    WHERE s.n_nationkey % 2 = 1 OR f.applies_to IN ('espec', 'ambos') OR f.field_id = 'adiantamento_custos_defesa'
+    SELECT s.c_custkey AS doc, f.* FROM customer s, (VALUES ('limit', 'espec'), ('deductible', 'espec'), ('basis', 'ambos'), ('defence', 'cg'), ('adiantamento_custos_defesa', 'cg')) AS f(field_id, applies_to)
+    WHERE s.c_custkey % 2 = 1 OR f.applies_to IN ('espec', 'ambos') OR f.field_id = 'adiantamento_custos_defesa'
 ) SELECT doc AS doc_id, field_id, applies_to FROM f""")
 def applicable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), (F.col("n_nationkey") % 2 == 0).alias("is_spec"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 2 == 0).alias("is_spec"))
     rows = [("limit", "espec"), ("deductible", "espec"), ("basis", "ambos"), ("defence", "cg"), ("adiantamento_custos_defesa", "cg")]
     return S.applicable_fields(docs, spark.createDataFrame(rows, "field_id string, applies_to string")).select("doc_id", "field_id", "applies_to")
 
