@@ -17,10 +17,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text goes if its best language contains less than this part of its trigrams; clean texts have 0.6 and more.
 LEAST_COVERAGE = 0.2
 MAX_REPEATS = 2.0
+#: Bytes of texts that go to a Python worker at once; rows alone don't bound them, and workers keep what they once took.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, null texts, and texts that no known language covers go."""
+    spark.conf.set(*BATCH)
     filters = langid.train(docs.where(crc_mod("doc_id", 5) != 0))
     found = langid.identify(only(docs, *COLUMNS), filters)
     sure = (F.col("language.lang_pred") != "und") & (F.col("language.coverage") >= LEAST_COVERAGE)
@@ -29,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays; rows that repeat it go too."""
+    spark.conf.set(*BATCH)
     kept = staged(dartminhash.classes(docs)).where("first").select(dartminhash.keyed(F.col("doc_id"), F.col("node")).alias("name")).distinct()
     node = F.unhex(F.md5(F.col("text").cast("binary")))
     named = only(docs, *COLUMNS).withColumn("name", dartminhash.keyed(F.col("doc_id").cast("long"), node))
@@ -39,6 +43,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the secrets out of the texts; n_chars follows where a text changed, and every document stays."""
+    spark.conf.set(*BATCH)
     before = only(docs, *COLUMNS).withColumn("was", F.col("text"))
     after = secrets.redact(before, "text")
     n = F.when(F.col("text").eqNullSafe(F.col("was")), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
@@ -52,6 +57,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, as often as they were drawn, with their sequences."""
+    spark.conf.set(*BATCH)
     return packing.pack(docs, VOCABULARY)
 
 
