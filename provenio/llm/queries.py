@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenio.llm import dartminhash, extract, langid, lm, media, mixing, packing, quality, secrets, topk
+from provenio.llm import dartminhash, extract, langid, lm, media, mixing, negatives, packing, quality, secrets, simhash, topk, whitening
 from provenio.llm.common import crc_mod, only, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,11 +64,49 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_media_copies, op4_exact_top_k, op5_source_mixing, op6_best_fit_packing, op7_html_extraction, op8_secret_scans,
-    op9_minhash_near_dedup, op10_lm_scoring,
+    op9_minhash_near_dedup, op10_lm_scoring, op11_hard_negatives, op12_embedding_whitening, op13_simhash_near_dedup,
 )}
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.e, o.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v o ON a.vec_id <> o.vec_id AND len(a.e) = len(o.e)
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, positive_id, n.other_id AS negative_id, positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other_id) AS rank
+            FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+              AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+    """,
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
