@@ -176,8 +176,8 @@ def links(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the grid of two halves, one step apart at most, holds for distances of 0 to 3")
     entries = found.select("print", F.explode(cells(F.col("print"))).alias("cell"))
-    large = staged(entries.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    met = entries.join(large, "cell").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    hot = staged(entries.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    met = entries.join(hot, "cell", "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("print", "cell"), F.col("parts")).cast("int")
     met = met.select("cell", "print", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     met = met.select("cell", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "print")
