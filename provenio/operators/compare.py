@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenio.functions import text as T
+from provenio.operators.patterns import matching
 
 UNLIMITED_SCORE = 1e18
 LABELS = ("mais_favoravel", "menos_favoravel", "equivalente")
@@ -91,33 +92,40 @@ def favourability(scores: DataFrame, field: str = "field_id") -> DataFrame:
 
 
 def scoreboard(compared: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """How many fields each document has of each label, 0 for none."""
-    return compared.groupBy(doc).agg(*[F.count_if(F.col("favourability") == x).alias(x) for x in LABELS])
+    """How many fields each document has of each label, within its set if there are several, 0 for none."""
+    keys = [c for c in ("set_id", doc) if c in compared.columns]
+    return compared.groupBy(*keys).agg(*[F.count_if(F.col("favourability") == x).alias(x) for x in LABELS])
 
 
 def matrix(compared: DataFrame, documents: list[str], only_differences: bool = False) -> DataFrame:
-    """Fields as rows and the named documents as columns; those judged first."""
+    """Fields of each set as rows and the named documents as columns; those judged first. A document that a set lacks is null there."""
     kept = compared.where("differs") if only_differences else compared
-    wide = kept.groupBy("field_ord", "grp", "field_label").pivot("doc_id", documents).agg(F.first("shown"))
-    judged = kept.groupBy("field_ord").agg(F.bool_or(F.col("favourability").isin("mais_favoravel", "menos_favoravel")).alias("judged"))
-    return wide.join(judged, "field_ord").orderBy(F.desc("judged"), "field_ord")
+    wide = kept.groupBy("set_id", "field_ord", "grp", "field_label").pivot("doc_id", documents).agg(F.first("shown"))
+    judged = kept.groupBy("set_id", "field_ord").agg(F.bool_or(F.col("favourability").isin("mais_favoravel", "menos_favoravel")).alias("judged"))
+    return wide.join(judged, ["set_id", "field_ord"]).orderBy("set_id", F.desc("judged"), "field_ord")
 
 
 def summary(compared: DataFrame, alerts: DataFrame, highlights: int = 6) -> DataFrame:
-    """Rows (part, nr, line): the scoreboard, the first highlights in the declared order, and the number of points of attention."""
+    """Rows (set_id, part, nr, line): the scoreboard, the first highlights in the declared order, and the number of points of attention.
+
+    alerts (doc_id, severity) count in every set that has their document; without set_id they would mix what is not compared.
+    """
     board = scoreboard(compared, "doc_label")
     line = F.concat(F.lit("- "), "doc_label", F.lit(": "), F.col("mais_favoravel").cast("string"), F.lit(" campo(s) mais favoráveis e "), F.col("menos_favoravel").cast("string"), F.lit(" menos favoráveis ao segurado."))
-    first = board.select(F.lit(1).alias("part"), F.lit(0).alias("nr"), line.alias("line"))  # lines begin with the document's label
-    of_field = compared.where("differs").groupBy("field_ord", "field_label").agg(
+    first = board.select("set_id", F.lit(1).alias("part"), F.lit(0).alias("nr"), line.alias("line"))  # lines begin with the document's label
+    of_field = compared.where("differs").groupBy("set_id", "field_ord", "field_label").agg(
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("favourability") == "mais_favoravel", F.col("doc_label")))), ", ").alias("best"),
         F.array_join(F.sort_array(F.collect_list(F.concat("doc_label", F.lit(": "), F.when(F.col("shown").isNull(), "não localizado").otherwise(F.col("shown_text"))))), "; ").alias("values"),
         F.bool_or(F.col("favourability").isin("mais_favoravel", "menos_favoravel")).alias("judged"),
     )
     text = F.concat(F.lit("- "), "field_label", F.lit(": mais favorável em "), "best", F.lit(" ("), "values", F.lit(")."))
-    second = of_field.where("judged").orderBy("field_ord").limit(highlights).select(F.lit(2).alias("part"), F.col("field_ord").cast("int").alias("nr"), text.alias("line"))
-    n = alerts.where("severity = 'atencao'").agg(F.count("*").alias("n")).where("n > 0")
-    third = n.select(F.lit(3).alias("part"), F.lit(1).alias("nr"), F.concat(F.lit("- Conformidade: "), F.col("n").cast("string"), F.lit(" ponto(s) de atenção para revisão humana.")).alias("line"))
-    return first.unionByName(second).unionByName(third).orderBy("part", "nr", "line")
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("field_ord"))  # the declared fields of a set
+    second = of_field.where("judged").withColumn("place", place).where(F.col("place") <= highlights)
+    second = second.select("set_id", F.lit(2).alias("part"), F.col("field_ord").cast("int").alias("nr"), text.alias("line"))
+    of_set = compared.select("set_id", "doc_id").distinct().join(alerts.where("severity = 'atencao'").select("doc_id"), "doc_id")
+    n = of_set.groupBy("set_id").agg(F.count("*").alias("n"))
+    third = n.select("set_id", F.lit(3).alias("part"), F.lit(1).alias("nr"), F.concat(F.lit("- Conformidade: "), F.col("n").cast("string"), F.lit(" ponto(s) de atenção para revisão humana.")).alias("line"))
+    return first.unionByName(second).unionByName(third).orderBy("set_id", "part", "nr", "line")
 
 
 def evidence_appendix(facts: DataFrame) -> DataFrame:
@@ -128,11 +136,11 @@ def evidence_appendix(facts: DataFrame) -> DataFrame:
 
 
 def pair_windows(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, page_no, at, original, norm): each line that isn't blank with the next one, over pages."""
+    """Rows (doc_id, page_no, at, original, norm): each line that isn't blank with the next one, over pages; canonical once a line."""
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-    filled = lines.where(F.trim("raw") != "").withColumn("s", F.trim("raw"))
-    out = filled.withColumn("at", F.row_number().over(order)).withColumn("original", F.trim(F.concat_ws(" ", "s", F.lead("s").over(order))))
-    return out.select("doc_id", "page_no", "at", "original", T.canonical(F.col("original")).alias("norm"))
+    filled = lines.where(F.trim("raw") != "").select("doc_id", "page_no", "line_no", F.trim("raw").alias("s"), T.nothing(T.canonical(F.trim("raw"))).alias("n"))
+    both = lambda c: F.trim(F.concat_ws(" ", c, F.lead(c).over(order)))
+    return filled.select("doc_id", "page_no", F.row_number().over(order).alias("at"), both("s").alias("original"), both("n").alias("norm"))
 
 
 def evaluate_rules(documents: DataFrame, facts: DataFrame, lines: DataFrame, rules: DataFrame, conditions: DataFrame, default_basis: str = "") -> DataFrame:
@@ -143,7 +151,9 @@ def evaluate_rules(documents: DataFrame, facts: DataFrame, lines: DataFrame, rul
     Rules and conditions are declared and few. A condition of another kind doesn't hold.
     """
     kind = F.when(F.col("is_spec"), "especificacao").otherwise("condicoes_gerais")
-    due = documents.withColumn("kind_of_doc", kind).join(F.broadcast(rules.select("rule_id", "applies_to")), F.expr("applies_to = 'todos' or applies_to = kind_of_doc")).select("doc_id", "rule_id")
+    any_kind = F.array(F.lit("especificacao"), F.lit("condicoes_gerais"))
+    of_kind = rules.select("rule_id", F.explode(F.when(F.col("applies_to") == "todos", any_kind).otherwise(F.array("applies_to"))).alias("kind_of_doc"))
+    due = documents.withColumn("kind_of_doc", kind).join(F.broadcast(of_kind), "kind_of_doc").select("doc_id", "rule_id")
     open_ = due.join(F.broadcast(conditions), "rule_id")
     verified = F.coalesce(F.col("status") == "verificado", F.lit(False))
     fields = open_.where(F.col("kind").isin("campo_ausente", "campo_em")).join(facts.select("doc_id", "field_id", "value", "status"), ["doc_id", "field_id"], "left")
@@ -151,11 +161,13 @@ def evaluate_rules(documents: DataFrame, facts: DataFrame, lines: DataFrame, rul
     by_field = fields.select("doc_id", "rule_id", "nr", F.when(F.col("kind") == "campo_ausente", absent).otherwise(verified & F.coalesce(F.array_contains("allowed", F.col("value")), F.lit(False))).alias("holds"))
     whole = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "raw"))).alias("l"))
     whole = whole.select("doc_id", T.canonical(F.array_join(F.transform("l", lambda x: x["raw"]), "\n")).alias("all_text"))
-    missing = open_.where("kind = 'texto_ausente'").join(whole, "doc_id", "left")
-    by_absence = missing.select("doc_id", "rule_id", "nr", (~F.coalesce(F.expr("all_text rlike pattern"), F.lit(False))).alias("holds"))
+    absences = conditions.where("kind = 'texto_ausente'").select("pattern").distinct()
+    found = matching(whole, "all_text", absences, "pattern").select("doc_id", "pattern", F.lit(True).alias("found"))
+    missing = open_.where("kind = 'texto_ausente'").join(found, ["doc_id", "pattern"], "left")
+    by_absence = missing.select("doc_id", "rule_id", "nr", F.col("found").isNull().alias("holds"))
     present = open_.where("kind = 'texto_presente'")
     patterns = conditions.where("kind = 'texto_presente'").select("pattern").distinct()
-    seen = pair_windows(lines).join(F.broadcast(patterns), F.expr("norm rlike pattern")).groupBy("doc_id", "pattern").agg(F.min(F.struct("at", "original", "page_no")).alias("hit"))
+    seen = matching(pair_windows(lines), "norm", patterns, "pattern").groupBy("doc_id", "pattern").agg(F.min(F.struct("at", "original", "page_no")).alias("hit"))
     by_text = present.join(seen, ["doc_id", "pattern"], "left").select("doc_id", "rule_id", "nr", F.col("hit").isNotNull().alias("holds"), "hit")
     none = F.lit(None).cast(by_text.schema["hit"].dataType)
     other = open_.where(~F.col("kind").isin("campo_ausente", "campo_em", "texto_ausente", "texto_presente")).select("doc_id", "rule_id", "nr", F.lit(False).alias("holds"))

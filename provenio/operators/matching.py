@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenio.functions import text as T
+from provenio.operators.patterns import matching
 
 WINDOW_LINES = 3
 CONTEXT_CHARS = 11_000
@@ -13,26 +14,33 @@ EVIDENCE_CHARS = 600
 LINE_ORDER = ("page_no", "line_no")
 
 
-def line_windows(lines: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
-    """Rows (doc_id, page_no, at, size, original, norm): windows of 1 to size lines that aren't blank; none hangs over the end."""
-    order = Window.partitionBy("doc_id").orderBy(*LINE_ORDER)
-    filled = lines.where(F.trim("raw") != "").withColumn("at", F.row_number().over(order)).withColumn("s", F.trim("raw"))
-    nexts = [F.lead("s", i).over(order) for i in range(1, size)]
-    wide = filled.select("doc_id", "page_no", "at", F.col("s").alias("w1"), *[x.alias(f"w{i}") for i, x in enumerate(nexts, 2)])
-    made = [F.when(F.col(f"w{n}").isNotNull(), F.struct(F.lit(n).alias("size"), F.concat_ws(" ", *[f"w{i}" for i in range(1, n + 1)]).alias("original"))) for n in range(1, size + 1)]
-    out = wide.select("doc_id", "page_no", "at", F.explode(F.array_compact(F.array(*made))).alias("w"))
-    return out.select("doc_id", "page_no", "at", "w.size", "w.original", T.canonical(F.col("w.original")).alias("norm"))
-
+def line_windows(lines: DataFrame, size: int = WINDOW_LINES, within: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows (doc_id, page_no, at, size, original, norm): windows of 1 to size lines that aren't blank; none hangs over the end.
 
-def rule_hits(windows: DataFrame, rules: DataFrame) -> DataFrame:
+    within: the columns that keep lines apart. A line is brought to its canonical form once; a window's form is that of its lines, joined.
+    """
+    order = Window.partitionBy(*within).orderBy(*LINE_ORDER)
+    filled = lines.where(F.trim("raw") != "").withColumn("s", F.trim("raw"))
+    filled = filled.select(*within, *LINE_ORDER, F.struct("s", T.canonical(F.col("s")).alias("n")).alias("w1")).withColumn("at", F.row_number().over(order))
+    wide = filled.withColumns({f"w{i + 1}": F.lead("w1", i).over(order) for i in range(1, size)})
+    join = lambda n, part: F.concat_ws(" ", *[part(F.col(f"w{i}")) for i in range(1, n + 1)])
+    made = [
+        F.when(F.col(f"w{n}").isNotNull(), F.struct(F.lit(n).alias("size"), join(n, lambda w: w["s"]).alias("original"), join(n, lambda w: T.nothing(w["n"])).alias("norm")))
+        for n in range(1, size + 1)
+    ]
+    out = wide.select(*within, "page_no", "at", F.explode(F.array_compact(F.array(*made))).alias("w"))
+    return out.select(*within, "page_no", "at", "w.*")
+
+
+def rule_hits(windows: DataFrame, rules: DataFrame, of: tuple[str, ...] = ("field_id", "ordinal"), scope: str | None = None) -> DataFrame:
     """Each rule's first window in each document, the shortest windows first.
 
-    rules (field_id, ordinal, value, regex) are declared and few, so that the join by pattern is over a broadcast.
+    rules (field_id, ordinal, value, regex) are declared; of: the columns that name a rule; scope: a column that windows and rules share.
     """
-    hits = windows.join(F.broadcast(rules), F.expr("norm rlike regex"))
-    found = F.struct("size", "at", "page_no", "original", F.call_function("regexp_extract", F.col("norm"), F.col("regex"), F.lit(0)).alias("matched"))
-    best = hits.groupBy("doc_id", "field_id", "ordinal").agg(F.min(found).alias("hit"), F.first("value").alias("value"))
-    return best.select("doc_id", "field_id", "ordinal", "value", "hit.*")
+    hits = matching(windows, "norm", rules, "regex", scope)
+    found = F.struct("size", "at", "page_no", "original", F.call_function("regexp_extract", F.col("norm"), F.col("regex"), F.lit(0)).alias("matched"), "value")
+    best = hits.groupBy("doc_id", *of).agg(F.min(found).alias("hit"))
+    return best.select("doc_id", *of, "hit.value", "hit.size", "hit.at", "hit.page_no", "hit.original", "hit.matched")
 
 
 def first_rule_wins(hits: DataFrame) -> DataFrame:
@@ -81,52 +89,85 @@ def by_priority(candidates: DataFrame, keys: tuple[str, ...] = ("doc_id", "field
     return best.select(*keys, "best.*")
 
 
-def coverage_facts(clauses: DataFrame, windows: DataFrame, rules: DataFrame, marks: dict[str, str]) -> DataFrame:
+def in_scopes(clauses: DataFrame, scopes: list[tuple[str, str, str | None]]) -> DataFrame:
+    """Windows (doc_id, scope, page_no, at, size, original, norm) of the clauses of each scope; scopes: (name, pattern of titles, pattern of titles left out)."""
+    title = T.canonical(F.col("title"))
+    fits = [F.when(F.call_function("rlike", title, F.lit(own)) & (~F.call_function("rlike", title, F.lit(less)) if less else F.lit(True)), F.lit(name)) for name, own, less in scopes]
+    kept = clauses.where(F.size("page_map") > 0).withColumn("scope", F.explode(F.array_compact(F.array(*fits)))) if scopes else clauses.withColumn("scope", F.lit("")).limit(0)
+    zipped = F.arrays_zip(T.split_lines(F.col("text")).alias("raw"), F.col("page_map").alias("page"))
+    lines = kept.select("doc_id", "scope", "clause_no", F.posexplode(zipped).alias("i", "x"))
+    lines = lines.select("doc_id", "scope", F.col("x.page").alias("page_no"), (F.col("clause_no").cast("long") * 1_000_000 + F.col("i")).alias("line_no"), F.col("x.raw").alias("raw"))
+    return line_windows(lines, within=("doc_id", "scope"))
+
+
+COVERAGE_SCOPES = ("basic_scope", "exclusion_scope")
+
+
+def coverage_scopes(marks: dict[str, str]) -> list[tuple[str, str, str | None]]:
+    """Where the texts of coverages and exclusions are looked for."""
+    return [("basic_scope", marks["basic_scope"], None), ("exclusion_scope", marks["exclusion_scope"], marks["optional_exclusion"])]
+
+
+def coverage_rules(rules: DataFrame) -> DataFrame:
+    """Rules (use, scope, field_id, ordinal, value, regex) that coverages (field_id, basic_text, fallback, excluded_text) look for."""
+    texts = (("basic_text", "basic_scope", 2, "basica"), ("fallback", "", 3, "basica"), ("excluded_text", "exclusion_scope", 4, "excluida"))
+    each = [F.struct(F.lit(scope).alias("scope"), F.lit(n).alias("ordinal"), F.lit(value).alias("value"), F.col(c).alias("regex")) for c, scope, n, value in texts]
+    return rules.select(F.lit("coverage").alias("use"), "field_id", F.explode(F.array(*each)).alias("r")).select("use", "r.scope", "field_id", "r.ordinal", "r.value", "r.regex").where("regex is not null")
+
+
+def _of_texts(hits: DataFrame, priority: Column, value: Column) -> DataFrame:
+    position = (F.col("size") * 1_000_000_000 + F.col("at")).cast("long")
+    return hits.select("doc_id", "field_id", priority.alias("priority"), position.alias("position"), value.alias("value"), F.col("page_no").alias("page"), F.col("original").alias("quote"))
+
+
+def coverage_facts(clauses: DataFrame, hits: DataFrame, rules: DataFrame, marks: dict[str, str]) -> DataFrame:
     """Coverages of general conditions.
 
-    rules (field_id, title_regex, always_basic, basic_text, fallback, excluded_text); marks: additional, basic_scope,
-    exclusion_scope and optional_exclusion as patterns. Titles come first, then basic texts, the shared phrase, exclusions.
+    rules (field_id, title_regex, always_basic); marks: additional as a pattern; hits: those of coverage_rules. Titles come
+    first, then basic texts, the shared phrase, exclusions.
     """
     t = T.canonical(F.col("title"))
-    of_title = clauses.join(F.broadcast(rules), F.call_function("rlike", t, F.col("title_regex")))
+    titles = rules.where("title_regex is not null").select("field_id", "title_regex", "always_basic")
+    of_title = matching(clauses.withColumn("norm_title", t), "norm_title", titles, "title_regex")
     value = F.when(F.col("always_basic"), "basica").when(t.rlike(marks["additional"]), "adicional").when(t.rlike(r"^([0-9]+(\.[0-9]+)* )?(cobertura|garantia)"), "basica")
     first_line = F.trim(F.element_at(F.filter(T.split_lines(F.col("text")), lambda x: F.trim(x) != ""), 1))
     quote = F.when((F.length(t) < 25) & first_line.isNotNull(), F.concat_ws(" ", "title", first_line)).otherwise(F.col("title"))
     titled = of_title.withColumn("value", value).where("value is not null").select(
         "doc_id", "field_id", F.lit(1).alias("priority"), F.col("clause_no").cast("long").alias("position"), "value", F.col("page_start").alias("page"), quote.alias("quote")
     )
+    return by_priority(titled.unionByName(_of_texts(hits, F.col("ordinal"), F.col("value"))))
 
-    def texts(scoped: DataFrame, column: str, priority: int, found: str) -> DataFrame:
-        own = rules.where(F.col(column).isNotNull()).select("field_id", F.lit(priority).alias("ordinal"), F.lit(found).alias("value"), F.col(column).alias("regex"))
-        hits = rule_hits(scoped, own)
-        return hits.select("doc_id", "field_id", F.col("ordinal").alias("priority"), (F.col("size") * 1_000_000_000 + F.col("at")).cast("long").alias("position"), "value", F.col("page_no").alias("page"), F.col("original").alias("quote"))
 
-    basic = texts(line_windows(scoped_lines(clauses, marks["basic_scope"])), "basic_text", 2, "basica")
-    shared = texts(windows, "fallback", 3, "basica")
-    excluded = texts(line_windows(scoped_lines(clauses, marks["exclusion_scope"], marks["optional_exclusion"])), "excluded_text", 4, "excluida")
-    return by_priority(titled.unionByName(basic).unionByName(shared).unionByName(excluded))
+def exclusion_rules(rules: DataFrame) -> DataFrame:
+    """Rules (use, scope, field_id, ordinal, value, regex) that exclusions (field_id, regex) look for."""
+    return rules.select(F.lit("exclusion").alias("use"), F.lit("exclusion_scope").alias("scope"), "field_id", F.lit(1).alias("ordinal"), F.lit("excluido").alias("value"), "regex")
 
 
-def exclusion_facts(clauses: DataFrame, rules: DataFrame, scope: str, optional: str, reservation: str) -> DataFrame:
-    """Exclusions of general conditions from rules (field_id, regex): in a general clause, or as the title of an optional one."""
-    own = rules.select("field_id", F.lit(1).alias("ordinal"), F.lit("excluido").alias("value"), "regex")
-    general = rule_hits(line_windows(scoped_lines(clauses, scope, optional)), own)
+def exclusion_facts(clauses: DataFrame, hits: DataFrame, rules: DataFrame, optional: str, reservation: str) -> DataFrame:
+    """Exclusions of general conditions: hits of exclusion_rules, or rules (field_id, regex) in the title of an optional clause."""
     value = F.when(T.canonical(F.col("original")).rlike(reservation), "excluido_com_ressalva").otherwise("excluido")
-    general = general.select("doc_id", "field_id", F.lit(1).alias("priority"), (F.col("size") * 1_000_000_000 + F.col("at")).cast("long").alias("position"), value.alias("value"), F.col("page_no").alias("page"), F.col("original").alias("quote"))
     t = T.canonical(F.col("title"))
-    titles = clauses.where(t.rlike(optional)).join(F.broadcast(rules), F.call_function("rlike", t, F.col("regex")))
+    titles = matching(clauses.where(t.rlike(optional)).withColumn("norm_title", t), "norm_title", rules.select("field_id", "regex"), "regex")
     titles = titles.select("doc_id", "field_id", F.lit(2).alias("priority"), F.col("clause_no").cast("long").alias("position"), F.lit("exclusao_opcional").alias("value"), F.col("page_start").alias("page"), F.col("title").alias("quote"))
-    return by_priority(general.unionByName(titles))
+    return by_priority(_of_texts(hits, F.lit(1), value).unionByName(titles))
 
 
-def table_row_status(windows: DataFrame, rows: DataFrame) -> DataFrame:
-    """Coverages of a specification: rows (field_id, label) of the table, followed by whether they are contracted."""
+def row_rules(rows: DataFrame) -> DataFrame:
+    """Rules (field_id, ordinal, value, regex) for rows (field_id, label) of a table, followed by whether they are contracted."""
     quoted = F.concat(F.lit(r"\Q"), F.col("label"), F.lit(r"\E.{0,80}?(nao contratada|contratada)"))
-    rules = rows.select("field_id", F.lit(1).alias("ordinal"), F.lit("").alias("value"), quoted.alias("regex"))
-    hits = rule_hits(windows, rules)
+    return rows.select("field_id", F.lit(1).alias("ordinal"), F.lit("").alias("value"), quoted.alias("regex"))
+
+
+def row_status(hits: DataFrame) -> DataFrame:
+    """Hits of row_rules with what they say."""
     return hits.withColumn("value", F.when(F.col("matched").endswith("nao contratada"), "nao_contratada").otherwise("contratada"))
 
 
+def table_row_status(windows: DataFrame, rows: DataFrame) -> DataFrame:
+    """Coverages of a specification: rows (field_id, label) of the table, followed by whether they are contracted."""
+    return row_status(rule_hits(windows, row_rules(rows)))
+
+
 def table_cells(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Amounts of a specification's table: rows (field_id, label); a label's line and up to two cells below it. None if not contracted."""
     order = Window.partitionBy("doc_id").orderBy(*LINE_ORDER)
@@ -135,7 +176,7 @@ def table_cells(lines: DataFrame, rows: DataFrame) -> DataFrame:
     cell = lambda x: F.coalesce(T.canonical(x).rlike(r"^((nao )?contratada|r\$ ?[0-9.,]+|-)$"), F.lit(False))
     joined = F.concat_ws(" ", "s", F.when(cell(n1), n1), F.when(cell(n1) & cell(n2), n2))
     wide = filled.withColumn("quote", joined).withColumn("norm", T.canonical(F.col("s")))
-    hits = wide.join(F.broadcast(rows), F.contains("norm", "label"))
+    hits = matching(wide, "norm", rows.withColumn("_quoted", F.concat(F.lit(r"\Q"), "label", F.lit(r"\E"))), "_quoted")
     refused = F.contains(T.canonical(F.col("quote")), F.lit("nao contratada"))
     hits = hits.withColumn("value", F.when(~refused, T.parse_money(F.col("quote")))).where(refused | F.col("value").isNotNull())
     first = by_priority(hits.select("doc_id", "field_id", F.lit(1).alias("priority"), F.col("at").alias("position"), "value", F.col("page_no").alias("page"), "quote"))
@@ -155,7 +196,7 @@ def label_candidates(lines: DataFrame, labels: DataFrame) -> DataFrame:
     whole = F.struct(F.lit(1).alias("pattern_ord"), F.concat(F.lit(r"\Q"), norm, F.lit(r"\E(\s*\([^)]{0,20}\))?\s*:")).alias("pattern"))
     part = F.struct(F.lit(2).alias("pattern_ord"), F.concat(F.lit(r"\Q"), last, F.lit(r"\E\s*:")).alias("pattern"))
     patterns = labels.withColumn("p", F.explode(F.when(F.contains(norm, F.lit(" ")), F.array(whole, part)).otherwise(F.array(whole))))
-    hits = filled.join(F.broadcast(patterns.select("field_id", "label_ord", "p.*")), F.expr("norm rlike pattern"))
+    hits = matching(filled, "norm", patterns.select("field_id", "label_ord", "p.*"), "pattern")
     rest = F.trim(F.regexp_replace("norm", F.concat(F.lit("^.*?"), F.col("pattern")), F.lit("")))
     same = F.when(rest != "", F.struct(F.lit(1).alias("pos_ord"), F.regexp_replace("s", F.lit(r"^[^:]*:"), F.lit("")).alias("value_text"), F.col("s").alias("quote")))
     after = F.when(F.col("after").isNotNull(), F.struct(F.lit(2).alias("pos_ord"), F.col("after").alias("value_text"), F.concat_ws(" ", "s", "after").alias("quote")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenio.functions import text as T
 from provenio.functions.exact import window_similarity
+from provenio.session import staged
 
 LEAST_SIMILARITY = 0.90
 LEAST_QUOTE = 12
@@ -47,7 +48,10 @@ def number_anchored(kind: Column, value: Column, quote: Column) -> Column:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page_no, text) with their canonical text, the next page's, and the text before, at most CONTEXT_CHARS of it."""
+    """Pages (doc_id, page_no, text) with their canonical text, the next page's, and the text before, at most CONTEXT_CHARS of it.
+
+    seam: the word that goes over to the next page, null if none does.
+    """
     order = Window.partitionBy("doc_id").orderBy("page_no")
     ends = F.coalesce(F.col("text").rlike(rf"{T.LETTER_OR_DIGIT}-\s*$"), F.lit(False))
     begins = F.coalesce(F.col("text").rlike(rf"^\s*{T.LETTER_OR_DIGIT}"), F.lit(False))
@@ -57,8 +61,96 @@ def page_texts(pages: DataFrame) -> DataFrame:
     out = out.withColumn("joined", F.col("ends") & F.col("has_next") & F.coalesce(F.lead("begins").over(order), F.lit(False)))  # a word that goes over
     out = out.withColumn("before", F.array_join(F.collect_list("norm").over(order.rowsBetween(1 - CONTEXT_PAGES, -1)), " "))
     parted = F.trim(F.concat_ws(" ", "norm", "next_norm"))
-    pair = F.when(F.col("joined"), F.concat(F.regexp_replace("norm", "-$", ""), "next_norm")).otherwise(parted)
-    return out.select("doc_id", "page_no", "norm", "next_norm", pair.alias("pair_norm"), "has_next", "before")
+    head = F.regexp_replace("norm", "-$", "")
+    pair = F.when(F.col("joined"), F.concat(head, "next_norm")).otherwise(parted)
+    seam = F.when(F.col("joined"), F.concat(F.element_at(F.split(head, " "), -1), F.element_at(F.split("next_norm", " "), 1)))
+    return out.select("doc_id", "page_no", "norm", "next_norm", pair.alias("pair_norm"), "has_next", "before", seam.alias("seam"))
+
+
+PAGE, PAIR = "page", "pair"  # the kinds of places: a page alone, and with the next one
+QUOTE = ("doc_id", "quote_id")
+
+
+def page_words(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, word, page_no, kind) of page_texts: each word of a page once; a seam is a word of the pair."""
+    words = lambda s: F.filter(F.array_distinct(F.split(s, " ")), lambda w: w != "")
+    own = texts.select("doc_id", F.explode(words(F.col("norm"))).alias("word"), "page_no", F.lit(PAGE).alias("kind"))
+    return own.unionByName(texts.where("seam is not null").select("doc_id", F.col("seam").alias("word"), "page_no", F.lit(PAIR).alias("kind")))
+
+
+def quote_words(quotes: DataFrame) -> DataFrame:
+    """Rows (doc_id, quote_id, word, times, n) of quotes with their canonical text q; n: all words of the quote."""
+    words = F.filter(F.split("q", " "), lambda w: w != "")
+    each = quotes.select(*QUOTE, words.alias("w")).select(*QUOTE, F.size("w").alias("n"), F.explode("w").alias("word"))
+    return each.groupBy(*QUOTE, "word", "n").agg(F.count("*").alias("times"))
+
+
+def rarest_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The quote_words that a place has to share one of to be similar enough.
+
+    A place that matches LEAST_SIMILARITY of n words lacks a tenth of them at most. So of any words that make up one more
+    than that, it holds one; the words that stand on fewest pages of the document are taken.
+    """
+    pages = words.groupBy("doc_id", "word").agg(F.count("*").alias("on"))
+    known = asked.join(pages, ["doc_id", "word"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
+    ahead = Window.partitionBy(*QUOTE).orderBy("on", "word").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum("times").over(ahead), F.lit(0))
+    return known.withColumn("taken", taken).where((F.col("taken") <= F.floor(F.col("n") / 10)) & (F.col("on") > 0)).select(*QUOTE, "word")
+
+
+def pairs_of(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of pages (doc_id, quote_id, page_no, kind) that aligned pages are of and that aren't aligned themselves."""
+    own = found.where(F.col("kind") == PAGE).select(*QUOTE, "page_no")
+    both = own.unionByName(own.withColumn("page_no", F.col("page_no") - 1)).distinct().withColumn("kind", F.lit(PAIR))
+    both = both.join(texts.where("has_next").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    return both.join(found.select(*QUOTE, "page_no", "kind"), [*QUOTE, "page_no", "kind"], "left_anti")
+
+
+def aligned(at: DataFrame, quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Places with the similarity s of their text to the quote."""
+    both = at.join(quotes, list(QUOTE)).join(texts.select("doc_id", "page_no", "norm", "pair_norm"), ["doc_id", "page_no"])
+    text = F.when(F.col("kind") == PAIR, F.col("pair_norm")).otherwise(F.col("norm"))
+    return both.select(*QUOTE, "page_no", "kind", "cited", window_similarity(F.col("q"), text).alias("s"))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """Rows (doc_id, quote_id, page_no, s): the place that counts, of aligned places.
+
+    The cited page comes first, then the cited one with the next unless that alone is similar, then the best page, the best pair.
+    """
+    fine, cited = F.col("s") >= LEAST_SIMILARITY, F.col("page_no") == F.col("cited")
+    page, pair = F.col("kind") == PAGE, F.col("kind") == PAIR
+    one = F.struct("s", F.col("page_no").alias("p"))
+    rank = F.struct("s", F.when(page, cited.cast("int")).otherwise(0).alias("c"), (-F.col("page_no")).alias("m"))
+    best = found.groupBy(*QUOTE).agg(
+        F.max(F.when(page & cited & fine, one)).alias("a"),
+        F.max(F.when(pair & cited & fine, one)).alias("b"),
+        F.coalesce(F.bool_or(page & fine & (F.col("page_no") == F.col("cited") + 1)), F.lit(False)).alias("next_alone"),
+        F.max_by(F.when(page, one), F.when(page, rank)).alias("c"),
+        F.max_by(F.when(pair, one), F.when(pair, rank)).alias("d"),
+    )
+    own, other = F.coalesce("c.s", F.lit(-1.0)), F.coalesce("d.s", F.lit(-1.0))
+    last = F.when((own >= LEAST_SIMILARITY) | (own >= other), F.col("c")).otherwise(F.col("d"))
+    return best.select(*QUOTE, F.coalesce("a", F.when(~F.col("next_alone"), F.col("b")), last).alias("r")).select(*QUOTE, F.col("r.p").alias("page_no"), "r.s")
+
+
+def _nearest(quotes: DataFrame, asked: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
+    """Aligned places of quotes that no place is similar enough to: those that may be the nearest.
+
+    How many of the quote's words a place holds, in any order, bounds its similarity. The place with the highest bound is
+    aligned first, then those whose bound isn't under what that has reached.
+    """
+    held = asked.join(quotes.select(*QUOTE), list(QUOTE), "left_semi").join(words, ["doc_id", "word"]).groupBy(*QUOTE, "n", "page_no", "kind").agg(F.sum("times").alias("of"))
+    pages = held.where(F.col("kind") == PAGE)
+    pairs = held.unionByName(pages.withColumn("page_no", F.col("page_no") - 1)).join(texts.where("has_next").select("doc_id", "page_no"), ["doc_id", "page_no"], "left_semi")
+    pairs = pairs.groupBy(*QUOTE, "n", "page_no").agg(F.sum("of").alias("of")).withColumn("kind", F.lit(PAIR))
+    bound = F.least(F.lit(1.0), F.col("of") / F.col("n"))
+    bounds = staged(pages.unionByName(pairs).select(*QUOTE, "page_no", "kind", bound.alias("bound")))
+    top = bounds.groupBy(*QUOTE, "kind").agg(F.min_by("page_no", F.struct(-F.col("bound"), "page_no")).alias("page_no"))
+    first = staged(aligned(top, quotes, texts))
+    reached = first.groupBy(*QUOTE).agg(F.max("s").alias("reached"))
+    rest = bounds.join(reached, list(QUOTE)).where(F.col("bound") >= F.col("reached")).join(top, [*QUOTE, "kind", "page_no"], "left_anti")
+    return first.unionByName(aligned(rest.select(*QUOTE, "page_no", "kind"), quotes, texts))
 
 
 def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -66,29 +158,26 @@ def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     The cited page comes first, then the cited one with the next, then the best page, the best pair of pages; on equal
     similarity the cited page stays, then the earliest. found_page may be one that is not similar enough: callers look.
+
+    Quotes and pages meet by a hash join on the quote's rarest words, so that only pages that may be similar enough are
+    aligned, and their pairs where the cited page isn't; what is found nowhere is aligned where most of its words
+    are. Steps that others read are written when this is called.
     """
-    q = quotes.select("doc_id", "quote_id", T.canonical(F.col("quote")).alias("q"), F.col("page").alias("cited"))
-    both = q.join(page_texts(pages), "doc_id")
-    both = both.withColumn("here", window_similarity(F.col("q"), F.col("norm")))
-    close = F.max(F.when(F.col("here") >= LEAST_SIMILARITY, F.col("page_no") == F.col("cited"))).over(Window.partitionBy("doc_id", "quote_id"))
-    need_pair = F.col("has_next") & ~F.coalesce(close, F.lit(False))
-    both = both.withColumn("pair", F.when(need_pair, window_similarity(F.when(need_pair, F.col("q")), F.when(need_pair, F.col("pair_norm")))).otherwise(0.0))
-    cited = F.col("page_no") == F.col("cited")
-    one = lambda s: F.struct(s.alias("s"), F.col("page_no").alias("p"))
-    rank = lambda s: F.struct(s.alias("s"), cited.cast("int").alias("c"), (-F.col("page_no")).alias("m"))
-    after = F.lead("here").over(Window.partitionBy("doc_id", "quote_id").orderBy("page_no"))
-    both = both.withColumn("alone_next", F.coalesce(after, F.lit(0.0)) >= LEAST_SIMILARITY)
-    best = both.groupBy("doc_id", "quote_id").agg(
-        F.max(F.when(cited & (F.col("here") >= LEAST_SIMILARITY), one(F.col("here")))).alias("a"),
-        F.max(F.when(cited & ~F.col("alone_next") & (F.col("pair") >= LEAST_SIMILARITY), one(F.col("pair")))).alias("b"),
-        F.max_by(one(F.col("here")), rank(F.col("here"))).alias("c"),
-        F.max_by(one(F.col("pair")), F.struct(F.col("pair").alias("s"), (-F.col("page_no")).alias("m"))).alias("d"),
-    )
-    c_first = (F.col("c.s") >= LEAST_SIMILARITY) | (F.col("c.s") >= F.col("d.s"))
-    last = F.when(c_first, F.col("c")).otherwise(F.col("d"))
-    picked = best.select("doc_id", "quote_id", F.coalesce("a", "b", last).alias("r"))
-    found = picked.select("doc_id", "quote_id", F.when(F.col("r.s") > 0, F.col("r.p")).alias("found_page"), F.col("r.s").alias("similarity"))
-    return quotes.join(found, ["doc_id", "quote_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    q = staged(quotes.select("doc_id", "quote_id", T.canonical(F.col("quote")).alias("q"), F.col("page").alias("cited")))
+    texts = page_texts(pages.join(q.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = staged(texts.select("doc_id", "page_no", "norm", "pair_norm", "has_next", "seam"))
+    words, asked = page_words(texts), quote_words(q)
+    hits = rarest_words(asked, words).join(words, ["doc_id", "word"]).select(*QUOTE, "page_no", "kind").distinct()
+    first = staged(aligned(hits, q, texts))
+    settled = first.where((F.col("kind") == PAGE) & (F.col("page_no") == F.col("cited")) & (F.col("s") >= LEAST_SIMILARITY)).select(*QUOTE).distinct()
+    wide = pairs_of(first.join(settled, list(QUOTE), "left_anti"), texts)
+    near = staged(_best(first.unionByName(aligned(wide, q, texts))))
+    found = near.where(F.col("s") >= LEAST_SIMILARITY)
+    lost = q.join(found.select(*QUOTE), list(QUOTE), "left_anti")
+    if not lost.isEmpty():
+        found = found.unionByName(_best(_nearest(lost, asked, words, texts)))
+    found = found.select(*QUOTE, F.when(F.col("s") > 0, F.col("page_no")).alias("found_page"), F.col("s").alias("similarity"))
+    return quotes.join(found, list(QUOTE), "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 IN_CONTEXT = ("excluido", "excluida")
@@ -128,9 +217,10 @@ def with_context(located: DataFrame, pages: DataFrame) -> DataFrame:
 def cascade(candidates: DataFrame, pages: DataFrame, signs: DataFrame) -> DataFrame:
     """Candidates (doc_id, quote_id, field_id, kind, clues, value, quote, page, status, note) after verification.
 
-    Every check that fails takes the value away and says why; a page that was wrong is corrected and noted.
+    Every check that fails takes the value away and says why; a page that was wrong is corrected and noted. Where quotes are
+    found is written once, when this is called.
     """
-    located = with_signs(locate(candidates, pages), signs)
+    located = staged(with_signs(locate(candidates, pages), signs))
     asked = F.col("sign").isNotNull() & F.col("value").isin(*IN_CONTEXT)  # what stands before counts for these alone
     of_these = pages.join(located.where(asked).select("doc_id").distinct(), "doc_id", "left_semi")
     located = with_context(located.where(asked), of_these).unionByName(located.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True)

@@ -13,6 +13,7 @@ from provenio.operators import matching as M
 from provenio.operators import retrieval as R
 from provenio.operators import structure as S
 from provenio.operators import verify as V
+from provenio.session import staged
 from provenio.sources import rules as declared
 
 
@@ -55,46 +56,60 @@ def clauses_of(pages: DataFrame) -> DataFrame:
     return S.clauses(S.with_sections(S.with_titles(lines_of(pages))))
 
 
+def declared_rules(rules: Rules) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
+    """All patterns over lines as one table (use, scope, field_id, ordinal, value, regex), and the scopes they name."""
+    own = rules.extraction
+    use = F.when(F.col("scope").isNotNull(), "scoped").when(F.col("family") == "duracoes", "duration").otherwise("open")
+    texts = own.select(use.alias("use"), F.coalesce(F.concat(F.lit("own:"), "scope"), F.lit("")).alias("scope"), "field_id", "ordinal", "value", "regex")
+    spans = own.where("family = 'duracoes' and scope is not null")  # durations are looked for everywhere too
+    texts = texts.unionByName(spans.select(F.lit("duration").alias("use"), F.lit("").alias("scope"), "field_id", "ordinal", "value", "regex"))
+    patterns = rules.fields.where("kind = 'texto' and pattern is not null")
+    texts = texts.unionByName(patterns.select(F.lit("text").alias("use"), F.lit("").alias("scope"), "field_id", F.lit(1).alias("ordinal"), F.lit("").alias("value"), F.col("pattern").alias("regex")))
+    rows = M.row_rules(rules.coverages.where("label is not null").select("field_id", "label"))
+    texts = texts.unionByName(rows.select(F.lit("row").alias("use"), F.lit("").alias("scope"), "field_id", "ordinal", "value", "regex"))
+    texts = texts.unionByName(M.coverage_rules(rules.coverages)).unionByName(M.exclusion_rules(rules.exclusions))
+    named = [r["scope"] for r in own.where("scope is not null").select("scope").distinct().collect()]  # declared, a few
+    return texts, [*((f"own:{s}", s, None) for s in sorted(named)), *M.coverage_scopes(rules.marks)]
+
+
 def candidates(pages: DataFrame, rules: Rules) -> DataFrame:
-    """A row for each document and declared field: (doc_id, field_id, kind, value, quote, page, status), not yet verified."""
-    documents = S.spec_documents(pages)
-    lines, clauses = lines_of(pages), clauses_of(pages)
-    windows = M.line_windows(lines)
+    """A row for each document and declared field: (doc_id, field_id, kind, value, quote, page, status), not yet verified.
+
+    Lines, clauses, windows and the hits of all patterns are written once each, as several steps read them.
+    """
+    documents = staged(S.spec_documents(pages))
+    lines = staged(lines_of(pages))
+    clauses = staged(S.clauses(S.with_sections(S.with_titles(lines))))
+    texts, scopes = declared_rules(rules)
+    windows = M.line_windows(lines).withColumn("scope", F.lit("")).unionByName(M.in_scopes(clauses, scopes))
+    hits = staged(M.rule_hits(windows, texts, of=("use", "field_id", "ordinal"), scope="scope"))
+    of_use = lambda use: hits.where(F.col("use") == use).drop("use")
     kinds = rules.fields.select("field_id", "kind")
     out = ("doc_id", "field_id", "value", "quote", "page")
 
-    def plain(hits: DataFrame) -> DataFrame:
-        return hits.select("doc_id", "field_id", "value", F.col("original").alias("quote"), F.col("page_no").alias("page"))
+    def plain(found: DataFrame) -> DataFrame:
+        return found.select("doc_id", "field_id", "value", F.col("original").alias("quote"), F.col("page_no").alias("page"))
 
-    own = rules.extraction
-    open_ = own.where("scope is null and family <> 'duracoes'")
-    found = plain(M.first_rule_wins(M.rule_hits(windows, open_)))
-    spans = M.duration_facts(M.rule_hits(windows, own.where("family = 'duracoes'")))
-    found = found.unionByName(plain(spans.withColumn("value", F.coalesce(F.col("days").cast("string"), "value"))))
-    for scope in [r["scope"] for r in own.where("scope is not null").select("scope").distinct().collect()]:  # declared, a few
-        inside = M.line_windows(M.scoped_lines(clauses, scope))
-        found = found.unionByName(plain(M.first_rule_wins(M.rule_hits(inside, own.where(F.col("scope") == scope)))))
-    patterns = rules.fields.where("kind = 'texto' and pattern is not null")
-    text = M.rule_hits(windows, patterns.select("field_id", F.lit(1).alias("ordinal"), F.lit("").alias("value"), F.col("pattern").alias("regex")))
-    found = found.unionByName(plain(text.withColumn("value", F.col("matched"))))
+    spans = M.duration_facts(of_use("duration")).withColumn("value", F.coalesce(F.col("days").cast("string"), "value"))
+    found = plain(M.first_rule_wins(of_use("open"))).unionByName(plain(spans)).unionByName(plain(M.first_rule_wins(of_use("scoped"))))
+    found = found.unionByName(plain(of_use("text").withColumn("value", F.col("matched"))))
     named = M.named_in_lines(lines).join(F.broadcast(kinds.where("field_id = 'seguradora'").select("field_id")))
     found = found.unionByName(named.select(*out))
     of = lambda spec: documents.where(F.col("is_spec") == spec).select("doc_id")
-    general = M.coverage_facts(clauses, windows, rules.coverages, rules.marks).select(*out)
-    general = general.unionByName(M.exclusion_facts(clauses, rules.exclusions, rules.marks["exclusion_scope"], rules.marks["optional_exclusion"], rules.marks["reservation"]).select(*out))
+    general = M.coverage_facts(clauses, of_use("coverage"), rules.coverages, rules.marks).select(*out)
+    general = general.unionByName(M.exclusion_facts(clauses, of_use("exclusion"), rules.exclusions, rules.marks["optional_exclusion"], rules.marks["reservation"]).select(*out))
     found = found.unionByName(general.join(of(False), "doc_id", "left_semi"))
-    rows = rules.coverages.where("label is not null").select("field_id", "label")
-    listed = plain(M.table_row_status(windows, rows))
+    listed = plain(M.row_status(of_use("row")))
     cells = M.table_cells(lines, rules.fields.where("table_row is not null").select("field_id", F.col("table_row").alias("label")))
     listed = listed.unionByName(cells.withColumn("value", F.col("value").cast("string")).select(*out))
     labels = rules.fields.where("table_row is null and kind in ('dinheiro', 'data', 'duracao', 'periodo', 'texto')")
     labels = labels.select("field_id", F.posexplode(F.when(F.size("spec_labels") > 0, F.col("spec_labels")).otherwise(F.array("label"))).alias("label_ord", "label"))
-    anchored = M.label_candidates(lines, labels.join(own.select("field_id").distinct(), "field_id", "left_anti")).join(F.broadcast(kinds), "field_id")
+    anchored = M.label_candidates(lines, labels.join(rules.extraction.select("field_id").distinct(), "field_id", "left_anti")).join(F.broadcast(kinds), "field_id")
     value = F.when(F.col("kind") != "texto", T.coerce(F.col("kind"), F.col("value_text"), F.array().cast("array<string>"))).when(F.length("value_text") >= 3, F.col("value_text"))
     listed = listed.unionByName(M.first_interpretable(anchored, value).select(*out))
     found = listed.join(of(True), "doc_id", "left_semi").withColumn("first", F.lit(1)).unionByName(found.withColumn("first", F.lit(2)))
     found = M.by_priority(found, order=("first",))
-    return M.every_field(documents, rules.fields, found)
+    return staged(M.every_field(documents, rules.fields, found))
 
 
 def facts(pages: DataFrame, rules: Rules) -> DataFrame:
