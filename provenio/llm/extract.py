@@ -7,9 +7,15 @@ its composite density: characters for each tag, weighed down by the share that l
 of its characters and tags, as in "DOM based content extraction via text density" (2011).
 The node with the highest density sets the threshold: the lowest density on its path to
 the body. Among the nodes at or over the threshold, the subtree whose children's
-densities have the largest sum is the main text, whatever its tag; children that only
-mark words within a block are part of its text and not added. Where nothing but
-headings stands beside it in its parent, they belong to it.
+densities have the largest sum holds the main text, whatever its tag; children that only
+mark words within a block are part of its text and not added. A sum of many paragraphs beats
+one of a few sections, so that the subtree found may be one section of the text: it grows to
+its parent while what stands beside it there is text as well (a block of it is BESIDE as dense as the subtree's
+usual block, and it isn't mostly links), or headings alone, and in any case to the article or main element that it stands
+in. What is mostly links beside it is left out.
+
+A heading is never left out for its name; the name of a section's anchor (its id) counts only if it isn't
+the section's own heading and speaks of readers' comments, adverts or the like, not of a "discussion".
 
 Defined cases: a null page counts as empty and gives an empty text; broken markup is read
 as far as it goes, with the elements that HTML closes by itself closed; repeated rows are
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -56,22 +63,31 @@ PLAIN = frozenset(
     "slot unit zone link links left right primary secondary sticky fixed user reader posts articles form thread x".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+#: Titles, which no name takes out.
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Names that articles have for sections of their own as well; as an id alone they take nothing out.
+ALSO_SECTIONS = frozenset("discussion related search notice notices alert copyright disclaimer advertising social recommended promotion banner menu header".split())
+#: Part of the usual density of its blocks that text beside the main node has to reach, and the share of links over which it is no text.
+BESIDE, LINKS = 0.2, 0.5
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "off", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "items", "off", "held", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, parent: Node | None, off: bool) -> None:
         self.tag, self.parent, self.off = tag, parent, off
+        self.held = tag in ("article", "main") or parent is not None and parent.held  # stands in an article
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _named_off(names: str) -> bool:
+def _named_off(names: str, but: frozenset[str] = frozenset()) -> bool:
     for name in names.split():
         parts = [x.lower() for x in _NAME_PARTS.findall(name)]
+        if len(parts) == 1 and parts[0] in but:
+            continue
         if any(x in NAMES for x in parts) and all(x in NAMES or x in PLAIN or x.isdigit() for x in parts):
             return True
     return False
@@ -87,24 +103,26 @@ def _is_off(tag: str, attrs: list[tuple[str, str | None]], inside: Node) -> bool
         return True
     if own.get("role", "").lower() in ROLES:
         return True
+    if tag in TITLES:
+        return False
     if tag == "header":
-        up = inside
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None  # within the article it holds the heading
-    return bool(attrs) and _named_off(own.get("class", "") + " " + own.get("id", ""))
+        return not inside.held  # within the article it holds the heading
+    return bool(attrs) and (_named_off(own.get("class", "")) or _named_off(own.get("id", ""), ALSO_SECTIONS if inside.held or tag == "section" else frozenset()))
 
 
 class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#", None, False)
+        self.open: Counter[str] = Counter()  # elements that have not ended, by tag
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)
 
     def _leave(self, until: Node) -> None:
-        self.now = until.parent
+        while self.now is not until.parent:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -121,6 +139,7 @@ class Tree(HTMLParser):
         self.now.items.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,6 +147,8 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         up = self.now
         while up.parent and up.tag != tag:
             if up.tag in HOLDS and tag not in HOLDS:
@@ -190,14 +211,33 @@ def main_node(root: Node) -> Node | None:
         best = dense
     while best.parent and best.tag not in BLOCK:
         best = best.parent
-    while best.parent and best.tag not in ("body", "html") and _only_headings_beside(best):
-        best = best.parent
-    return best
+    return _grown(best, threshold)
+
+
+def _grown(node: Node, threshold: float) -> Node:
+    """The node, or what it is a part of: where text stands beside it, and up to the article that it stands in."""
+    own = sorted(x.density for x in node.items if isinstance(x, Node) and not x.off and x.tag in BLOCK and not _is_title(x)) or [node.density]
+    least = BESIDE * own[len(own) // 2]
+    while node.parent and node.tag not in ("article", "main", "body", "html"):
+        beside = [x for x in node.parent.items if x is not node and (x.strip() if isinstance(x, str) else x.chars and not x.off)]
+        if not (node.parent.held or all(_is_title(x) for x in beside) or any(_is_text(x, least) for x in beside)):
+            break
+        for x in beside:
+            if isinstance(x, Node) and not _is_title(x) and x.link_chars > LINKS * x.chars and x.density < threshold:
+                x.off = True
+        node = node.parent
+    return node
+
+
+def _is_title(x: Node | str) -> bool:
+    return isinstance(x, Node) and x.tag in HEADINGS
 
 
-def _only_headings_beside(node: Node) -> bool:
-    beside = [x for x in node.parent.items if x is not node and (x.strip() if isinstance(x, str) else x.chars and not x.off)]
-    return all(isinstance(x, Node) and x.tag in HEADINGS for x in beside)
+def _is_text(x: Node | str, least: float) -> bool:
+    if isinstance(x, str):
+        n = sum(map(len, x.split()))
+        return n * math.log(n + 1) >= least
+    return x.link_chars <= LINKS * x.chars and any(y.density >= least for y in _in_order(x))
 
 
 def blocks(node: Node) -> list[str]:

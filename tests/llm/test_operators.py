@@ -464,6 +464,66 @@ def test_extraction_without_article_elements(spark):
         assert extract.main_text(r.html.replace("<article>", "<div>").replace("</h1>", "</h1><div>").replace("</article>", "</div></div>")) == want
 
 
+@pytest.mark.parametrize("sizes", [(3, 2, 4), (2, 8), (10, 10), (6, 3, 1), (1, 1, 1, 9)])
+@pytest.mark.parametrize("link", [False, True])
+def test_extraction_keeps_all_sections(sizes, link):
+    more = " <a href=x>mehr</a>" if link else ""
+    sections = "".join(f"<X><h2>Teil {i}</h2>" + f"<p>{LONG}{more}</p>" * n + "</X>" for i, n in enumerate(sizes))
+    outside = f"<nav><ul><li><a href=x>eins</a></ul></nav><div class=ad>Kauf jetzt!</div><div id=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><footer>x</footer>"
+    for tag in ("section", "div"):
+        for around in ("article", "div", "main"):
+            text = extract.main_text(f"<body>{outside}<{around}><h1>Titel</h1>{sections.replace('X', tag)}</{around}>{outside}</body>")
+            assert text.count(LONG) == sum(sizes) and text.startswith("Titel") and "eins" not in text and "Kauf" not in text, (tag, around)
+
+
+def random_article(rng, depth=0):
+    """(html, paragraphs) of a tree of sections, divs, lists, quotes and headings, with names that articles use."""
+    out, said = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "p", "p", "list", "quote", "heading", *(["section", "div"] if depth < 3 else [])])
+        if kind in ("section", "div"):
+            inner, own = random_article(rng, depth + 1)
+            name = rng.choice(["", "", " id='discussion'", " id='related'", " class='intro'"]) if kind == "section" else ""
+            out.append(f"<{kind}{name}>{inner}</{kind}>")
+            said += own
+            continue
+        words = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(8, 60)))
+        if kind == "heading":
+            words = words[:30].strip()
+            out.append(f"<h2{rng.choice(['', ' id=search', ' id=related', ' class=menu'])}>{words}</h2>")
+        else:
+            out.append({"p": f"<p>{words}", "list": f"<ul><li>{words}</ul>", "quote": f"<blockquote><p>{words}</p></blockquote>"}[kind])
+        said.append(words)
+    return "".join(out), said
+
+
+def test_extraction_of_random_trees():
+    rng = random.Random(77)
+    for _ in range(150):
+        inner, said = random_article(rng)
+        lead = rng.choice(["", "<p>Ein kurzer Vorspann.</p>"])
+        body = f"<p>{LONG}</p><p>{LONG}</p>{inner}"
+        junk = f"<div class='reader-comments'><p>{LONG} dazu</p><p>{LONG} dagegen</p></div><div class='ad-slot'>Kauf!</div><ul class=menu><li><a href=x>Start</a></ul>"
+        inside = rng.choice([junk, ""])
+        page = f"<body><nav><a href=x>Start</a></nav><article><h1>Titel</h1>{lead}<div>{body}</div>{inside}</article>{junk}<footer>Impressum</footer></body>"
+        got = extract.main_text(page).split("\n")
+        want = ["Titel", *(["Ein kurzer Vorspann."] if lead else []), LONG, LONG, *said]
+        assert got == want, page
+
+
+def test_extraction_is_linear_in_depth():
+    import time
+
+    def seconds(page):
+        begun = time.perf_counter()
+        extract.main_text(page)
+        return time.perf_counter() - begun
+
+    for make in (lambda n: "<header>" * n + LONG, lambda n: "<div>" * n + "</section>" * n + LONG, lambda n: "<section><p>" * n + LONG, lambda n: "<span>" * n + "</em>" * n + LONG):
+        seconds(make(500))
+        assert seconds(make(8000)) < 16 * max(0.05, seconds(make(2000))), make(2)
+
+
 def test_extraction_of_long_pages():
     import time
 
