@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def postings(blocks: DataFrame, terms: Column, key: str = "block_id", wanted: Da
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
+def counted(docs: DataFrame, key: str, words: Column, keep: Callable[[Column], Column] | None = None, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows (key, term, tf, len) of an array of words; those that keep holds for, in a form. Documents without a term have no row.
+
+    One pass over the texts, words as rows of generated code; the rows of a document stay in one task, so that its
+    length costs no further shuffle.
+    """
+    each = docs.select(F.col(key), F.explode(words).alias("term"))
+    each = each.where(keep(F.col("term"))) if keep else each
+    each = each.withColumn("term", form(F.col("term"))) if form else each
+    tf = each.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return tf.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
+
+
 def block_terms(title: Column, body: Column) -> Column:
     """A block's terms, those of the title TITLE_WEIGHT times."""
     return F.concat(F.flatten(F.array_repeat(T.tokens(title), TITLE_WEIGHT)), T.tokens(body))
@@ -58,7 +73,7 @@ def search_terms(text: Column, most: int = 12) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    return F.regexp_extract_all(T.canonical(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return T.plain_words(text)
 
 
 def field_query(label: Column, clues: Column, spec_labels: Column, taught: Column | None = None) -> Column:
