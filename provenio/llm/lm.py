@@ -23,9 +23,12 @@ number grows with the number of chunks, in two exchanges:
 n-grams are told apart by 48 bits of a hash within their part, which holds some million of
 them: the chance that any two in a part are taken for one is some 0.002.
 
-A text is traversed once from left to right. As the longest suffix that is a state
-depends only on the words before, the traversal is done for all positions at a time,
-order by order.
+A chunk builds the part of the automaton that its texts can reach, as arrays: its states numbered, their
+failure arcs and prices, and the arcs sorted by state and word, each with its probability and the state it leads to.
+Every text is traversed from left to right, one state carried, log-probabilities added up: at each word
+the arc is taken if the state has it, else the failure arc at its price, down to the root. All texts of
+a chunk go in step. A text is cut into strides for that: a stride but the first enters at the root with as
+many words as a state can have, which leaves it in the state that the text's traversal is in there.
 
 Defined cases: a null or empty text is the end token alone; A to Z count as a to z;
 without any training text N and V are 0 and every token has probability 1; an id may be
@@ -55,6 +58,8 @@ CHUNK = 8 << 20
 CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words binary, tokens binary, learnt long"
 #: Bits of a fingerprint and of an n-gram's code within its part.
 FINGERPRINT, CODE = 28, 48
+#: Words that are traversed in one go; longer texts are cut.
+STRIDE = 512
 #: Chunks for each part: more make smaller messages and larger tasks.
 SHARE = 1
 MESSAGE = "part long, of long, codes binary, values binary"
@@ -125,8 +130,9 @@ class Grams:
 
     codes: np.ndarray  # hash of each n-gram
     at: np.ndarray  # for each token of the stream, the number of the n-gram that ends there, or -1
-    before: np.ndarray  # for each token, the number of the n-gram of one order less that ends before it, or -1
     context: np.ndarray  # for each n-gram, the number of the n-gram without its last word
+    word: np.ndarray  # its last word
+    suffix: np.ndarray  # the number of the n-gram without its first word
     own: np.ndarray  # for each n-gram, how often it occurs in the chunk's training texts
 
 
@@ -140,7 +146,7 @@ def _grams(row: dict, order: int) -> tuple[list[Grams], np.ndarray]:
     learnt = np.repeat(~np.array(row["held"], bool), lengths + 1)
     none = np.zeros(0, np.int32)
     count = lambda x, n: np.bincount(x[learnt & (x >= 0)], minlength=n)
-    levels = [Grams(words, at, none, none, count(at, len(words)))]
+    levels = [Grams(words, at, none, none, none, count(at, len(words)))]
     for n in range(2, order + 1):
         last = levels[-1]
         before = _previous(last.at, begins, len(words) - 1 if n == 2 else -1)
@@ -149,7 +155,7 @@ def _grams(row: dict, order: int) -> tuple[list[Grams], np.ndarray]:
         codes, first, inverse = np.unique(code, return_index=True, return_inverse=True)
         now = np.full(len(at), -1, np.int32)
         now[held] = inverse
-        levels.append(Grams(codes, now, before, before[held[first]], count(now, len(codes))))
+        levels.append(Grams(codes, now, before[held[first]], at[held[first]], last.at[held[first]], count(now, len(codes))))
     return levels, begins
 
 
@@ -224,6 +230,81 @@ def _counted(rows: pa.Table) -> pa.Table:
     return _answers(rows, 2, [squeezed(x) for x in np.split(total[which], cuts)], int((word & (total > 0)).sum()))
 
 
+class Automaton:
+    """States, arcs and failure arcs of the training texts' n-grams, of those that a chunk holds; state 0 is the root."""
+
+    def __init__(self, levels: list[Grams], counts: list[np.ndarray], n: int, v: int, prior: float) -> None:
+        self.words = len(counts[0])
+        self.chance = (counts[0] + 1) / (n + v + 1)  # the root's arcs
+        self.order = len(levels)
+        states = levels[: self.order - 1]
+        self.begin = np.cumsum([1, *(len(g.codes) for g in states)])  # the first state of each order
+        seen = np.concatenate([[0], *(c for c, _ in zip(counts, states, strict=False))]).astype(np.int64)
+        self.fail = np.zeros(len(seen), np.int32)
+        for k, g in enumerate(states[1:], 1):
+            self.fail[self.begin[k] : self.begin[k + 1]] = self.begin[k - 1] + g.suffix
+        self.price = prior / (seen + prior)
+        self.price[0] = 1.0
+        self.first = np.where(counts[0] > 0, self.begin[0] + np.arange(self.words), 0) if states else np.zeros(self.words, np.int64)  # where the root's arcs lead
+        keys, weights, targets, shorter = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], self.chance
+        for k, (g, c) in enumerate(zip(levels[1:], counts[1:], strict=True), 1):
+            state = self.begin[k - 1] + g.context.astype(np.int64)
+            weight = (c + prior * shorter[g.suffix]) / (seen[state] + prior)
+            own = np.flatnonzero(c > 0)
+            keys.append(state[own] * self.words + g.word[own])
+            weights.append(weight[own])
+            targets.append(self.begin[k] + own if k < self.order - 1 else self.begin[k - 1] + g.suffix[own].astype(np.int64))
+            shorter = weight
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        self.arcs, self.weights, self.targets = key[order], np.concatenate(weights)[order], np.concatenate(targets)[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of the next word, the state after it) for each state carried."""
+        chance, after = np.ones(len(state)), np.zeros(len(state), np.int64)
+        todo, state = np.arange(len(state)), state.copy()
+        for _ in range(self.order):
+            at_root = state[todo] == 0
+            root = todo[at_root]
+            chance[root] *= self.chance[word[root]]
+            after[root] = self.first[word[root]]
+            todo = todo[~at_root]
+            if not len(todo):
+                break
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+            found = self.arcs[at] == key if len(self.arcs) else np.zeros(len(todo), bool)
+            chance[todo[found]] *= self.weights[at[found]]
+            after[todo[found]] = self.targets[at[found]]
+            todo = todo[~found]
+            chance[todo] *= self.price[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return chance, after
+
+    def traverse(self, tokens: np.ndarray, begins: np.ndarray, start: int) -> np.ndarray:
+        """log10 of the probability of each text; its tokens end with the end token, which is also what a text starts after (the word `start`)."""
+        ends = np.append(begins[1:], len(tokens))
+        strides = -(-(ends - begins) // STRIDE)
+        text = np.repeat(np.arange(len(begins)), strides)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides)
+        counted = begins[text] + nth * STRIDE  # from here on a stride's words count
+        at = np.where(nth > 0, counted - (self.order - 1), counted)
+        end = np.minimum(counted + STRIDE, ends[text])
+        order = np.argsort(at - end, kind="stable")  # the longest first, so that those that go on are a prefix
+        text, counted, at, end = text[order], counted[order], at[order], end[order]
+        state = np.where(counted == begins[text], self.first[start] if self.order > 1 else 0, 0)
+        total = np.zeros(len(text))
+        going = len(text)
+        while True:
+            going = int(np.searchsorted(at[:going] - end[:going], 0)) if going else 0
+            if not going:
+                break
+            chance, state[:going] = self.step(state[:going], tokens[at[:going]])
+            total[:going] += np.where(at[:going] >= counted[:going], np.log10(chance), 0.0)
+            at[:going] += 1
+        return np.bincount(text, total, len(begins))
+
+
 class Chunk:
     """A chunk's n-grams and what it has heard about them."""
 
@@ -265,17 +346,14 @@ class Chunk:
 
     def scores(self, answers: pa.Table, n: int, v: int, prior: float) -> pa.Table:
         counts, at = self.counts(answers), self.levels[0].at
-        chance = ((counts[0] + 1) / (n + v + 1))[at]
-        base = np.log10(chance)
-        for g, c, shorter in zip(self.levels[1:], counts[1:], counts, strict=False):
-            state = np.append(shorter, 0)[g.before]  # no n-gram, -1, is a state that occurs nowhere
-            chance = (np.append(c, 0)[g.at] + prior * chance) / (state + prior)
+        base = np.log10((counts[0] + 1) / (n + v + 1))[at]
+        score = Automaton(self.levels, counts, n, v, prior).traverse(at, self.begins, len(counts[0]) - 1)
         sums = lambda x: np.add.reduceat(x, self.begins)  # noqa: E731  every text has its end token
         lengths = np.array(self.row["lengths"], np.int64)
         return pa.table({
             "id": pa.array(self.row["ids"], pa.int64()), "held_out": pa.array(self.row["held"], pa.bool_()), "n_tokens": lengths + 1,
             "n_known": sums((counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
-            "base_score": sums(base), "score": sums(np.log10(chance)),
+            "base_score": sums(base), "score": score,
         })
 
 

@@ -754,8 +754,9 @@ def literal_scores(texts, held, order, prior):
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_against_a_literal_automaton(spark, order):
+@pytest.mark.parametrize(("order", "stride"), [(2, 512), (3, 512), (3, 4), (4, 5)])
+def test_scores_against_a_literal_automaton(spark, order, stride, monkeypatch):
+    monkeypatch.setattr(lm, "STRIDE", stride)
     rng = random.Random(11)
     texts = {i: " ".join(rng.choice(["The", "cat", "dog", "ran", "sat", "on", "a", f"rare{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 25))) for i in range(60)}
     texts |= {60: None, 61: "", 62: "unseen words only here", 63: "\t the\x0bcat\n"}
