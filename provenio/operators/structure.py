@@ -91,12 +91,13 @@ def with_sections(titled: DataFrame, first: Column | None = None) -> DataFrame:
     """titled lines with the section that is in force; a heading counts if it is long enough or a title follows within five lines."""
     order = Window.partitionBy("doc_id").orderBy(*LINE_ORDER)
     s = F.trim("raw")
-    coming = F.coalesce(*[F.when(F.trim(F.lead("raw", i).over(order)) != "", F.lead(title_of(F.col("raw")).isNotNull(), i).over(order)) for i in range(1, 6)])
+    titled = titled.withColumn("_titled", title_of(F.col("raw")).isNotNull())
+    coming = F.coalesce(*[F.when(F.trim(F.lead("raw", i).over(order)) != "", F.lead("_titled", i).over(order)) for i in range(1, 6)])
     heading = s.rlike(SECTION) & ~F.col("in_index") & ~F.col("raw").rlike(INDEX) & (F.length(s) < 120)
     heading = heading & ((F.size(F.split(s, r"\s+")) >= 4) | F.coalesce(coming, F.lit(False)))
     named = F.when(heading, F.concat(F.lit("condicoes_"), F.lower(F.regexp_extract(s, SECTION, 1))))
     so_far = F.last(named, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return titled.withColumn("section", F.coalesce(so_far, first if first is not None else F.lit("")))
+    return titled.withColumn("section", F.coalesce(so_far, first if first is not None else F.lit(""))).drop("_titled")
 
 
 def clauses(titled: DataFrame) -> DataFrame:
@@ -137,26 +138,32 @@ def clauses(titled: DataFrame) -> DataFrame:
 
 
 def blocks(clauses_: DataFrame, max_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_id, clause_no, block_no, title, page_start, text): clauses cut at line ends, with marks where the page changes."""
-    line = F.arrays_zip(F.when(F.size("page_map") > 0, T.split_lines(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("raw"), F.col("page_map").alias("page"))
-    kinds = "struct<done:array<struct<page:int,lines:array<string>>>,page:int,first:int,lines:array<string>,size:int>"
-    start = F.from_json(F.lit('{"done":[],"lines":[],"size":0}'), kinds)
+    """Rows (doc_id, clause_no, block_no, title, page_start, text): clauses cut at line ends, with marks where the page changes.
+
+    A fold over a clause's lines finds where blocks begin; only these places are carried, so that its cost is that of the lines.
+    """
+    zipped = F.arrays_zip(F.when(F.size("page_map") > 0, T.split_lines(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("raw"), F.col("page_map").alias("page"))
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("size"), F.lit(0).alias("at"))
 
     def add(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["lines"]) > 0) & (acc["size"] + F.length(x["raw"]) > max_chars)
-        done = F.when(full, F.concat(acc["done"], F.array(F.struct(acc["first"].alias("page"), acc["lines"].alias("lines"))))).otherwise(acc["done"])
-        lines = F.when(full, F.array().cast("array<string>")).otherwise(acc["lines"])
-        turned = full | acc["page"].isNull() | (acc["page"] != x["page"])
-        mark = F.when(turned, F.array(F.concat(F.lit("[pág. "), x["page"].cast("string"), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            done.alias("done"), x["page"].cast("int").alias("page"), F.when(F.size(lines) == 0, x["page"].cast("int")).otherwise(acc["first"]).alias("first"),
-            F.concat(lines, mark, F.array(x["raw"])).alias("lines"), (F.when(full, 0).otherwise(acc["size"]) + F.length(x["raw"]) + 1).cast("int").alias("size"),
-        )
-
-    def close(acc: Column) -> Column:
-        return F.concat(acc["done"], F.when(F.size(acc["lines"]) > 0, F.array(F.struct(acc["first"].alias("page"), acc["lines"].alias("lines")))).otherwise(F.from_json(F.lit("[]"), "array<struct<page:int,lines:array<string>>>")))
-
-    packed = clauses_.withColumn("packed", F.aggregate(line, start, add, close))
+        at, size = acc["at"] + 1, F.length(x["raw"])
+        new = (acc["at"] == 0) | (acc["size"] + size > max_chars)
+        begins = F.when(new, F.concat(acc["begins"], F.array(at))).otherwise(acc["begins"])
+        return F.struct(begins.alias("begins"), (F.when(new, 0).otherwise(acc["size"]) + size + 1).cast("int").alias("size"), at.alias("at"))
+
+    def block(begin: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("begins", i + 1) - 1, F.size("line"))
+        own = F.slice("line", begin, end - begin + 1)
+
+        def marked(x: Column, j: Column) -> Column:
+            turned = (j == 0) | (F.get("line", begin + j - 2)["page"] != x["page"])
+            mark = F.concat(F.lit("[pág. "), x["page"].cast("string"), F.lit("]"))
+            return F.when(turned, F.array(mark, x["raw"])).otherwise(F.array(x["raw"]))
+
+        return F.struct(F.get("line", begin - 1)["page"].cast("int").alias("page"), F.flatten(F.transform(own, marked)).alias("lines"))
+
+    packed = clauses_.withColumn("line", zipped).withColumn("begins", F.aggregate("line", start, add, lambda acc: acc["begins"]))
+    packed = packed.withColumn("packed", F.transform("begins", block))
     empty = F.array(F.struct(F.col("page_start").cast("int").alias("page"), F.array(F.concat(F.lit("[pág. "), F.col("page_start").cast("string"), F.lit("]"))).alias("lines")))
     packed = packed.withColumn("packed", F.when(F.size("packed") > 0, F.col("packed")).otherwise(empty))
     head = F.concat(F.coalesce(F.concat("number", F.lit(" ")), F.lit("")), F.col("title"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from provenio.operators import compare as C
 from provenio.operators import matching as M
 from provenio.operators import retrieval as R
 from provenio.operators import structure as S
+from provenio.operators import teach as L
 from provenio.operators import verify as V
+from provenio.plans import proposals as Q
 from provenio.session import staged
 from provenio.sources import rules as declared
 
@@ -56,6 +60,10 @@ def clauses_of(pages: DataFrame) -> DataFrame:
     return S.clauses(S.with_sections(S.with_titles(lines_of(pages))))
 
 
+#: Kinds of fields that a specification gives beside their label.
+LABELLED = ("texto", "dinheiro", "data", "duracao", "periodo")
+
+
 def declared_rules(rules: Rules) -> tuple[DataFrame, list[tuple[str, str, str | None]]]:
     """All patterns over lines as one table (use, scope, field_id, ordinal, value, regex), and the scopes they name."""
     own = rules.extraction
@@ -102,24 +110,57 @@ def candidates(pages: DataFrame, rules: Rules) -> DataFrame:
     listed = plain(M.row_status(of_use("row")))
     cells = M.table_cells(lines, rules.fields.where("table_row is not null").select("field_id", F.col("table_row").alias("label")))
     listed = listed.unionByName(cells.withColumn("value", F.col("value").cast("string")).select(*out))
-    labels = rules.fields.where("table_row is null and kind in ('dinheiro', 'data', 'duracao', 'periodo', 'texto')")
+    labels = rules.fields.where("table_row is null").where(F.col("kind").isin(*LABELLED))
     labels = labels.select("field_id", F.posexplode(F.when(F.size("spec_labels") > 0, F.col("spec_labels")).otherwise(F.array("label"))).alias("label_ord", "label"))
-    anchored = M.label_candidates(lines, labels.join(rules.extraction.select("field_id").distinct(), "field_id", "left_anti")).join(F.broadcast(kinds), "field_id")
-    value = F.when(F.col("kind") != "texto", T.coerce(F.col("kind"), F.col("value_text"), F.array().cast("array<string>"))).when(F.length("value_text") >= 3, F.col("value_text"))
-    listed = listed.unionByName(M.first_interpretable(anchored, value).select(*out))
+    anchored = M.label_candidates(lines, labels.join(rules.extraction.select("field_id").distinct(), "field_id", "left_anti"))
+    anchored = staged(anchored.join(F.broadcast(kinds), "field_id"))
+    read = [anchored.where("kind = 'texto' and length(value_text) >= 3").withColumn("value", F.col("value_text"))]
+    for kind in LABELLED[1:]:  # one kind's parsers at a time make code that can be compiled
+        read.append(anchored.where(F.col("kind") == kind).withColumn("value", T.coerce(F.lit(kind), F.col("value_text"), F.array().cast("array<string>"))))
+    values = reduce(DataFrame.unionByName, read)
+    listed = staged(listed.unionByName(M.first_interpretable(values, F.col("value")).select(*out)))
     found = listed.join(of(True), "doc_id", "left_semi").withColumn("first", F.lit(1)).unionByName(found.withColumn("first", F.lit(2)))
     found = M.by_priority(found, order=("first",))
     return staged(M.every_field(documents, rules.fields, found))
 
 
-def facts(pages: DataFrame, rules: Rules) -> DataFrame:
-    """The fact sheets: every value with its status after verification."""
-    proposed = candidates(pages, rules)
+def verified(candidates_: DataFrame, pages: DataFrame, rules: Rules) -> DataFrame:
+    """Candidates (doc_id, field_id, kind, value, quote, page, status) after verification."""
     clues = rules.fields.select("field_id", F.concat("clues", "spec_labels", F.array("label")).alias("clues"))
-    asked = proposed.join(F.broadcast(clues), "field_id").withColumn("quote_id", F.col("field_id")).withColumn("note", F.lit(""))
+    asked = candidates_.join(F.broadcast(clues), "field_id").withColumn("quote_id", F.col("field_id")).withColumn("note", F.lit(""))
     return V.cascade(asked, pages, rules.signs).drop("quote_id")
 
 
+def facts(pages: DataFrame, rules: Rules) -> DataFrame:
+    """The fact sheets: every value with its status after verification."""
+    return verified(candidates(pages, rules), pages, rules)
+
+
+def with_model(facts_: DataFrame, pages: DataFrame, rules: Rules, provider: Callable[[], Callable[[str, str], str]], cache: str, system: str = "") -> DataFrame:
+    """facts_ fused with what a model proposes: a verified rule stays, a verified proposal fills what rules did not find.
+
+    Each group of fields is asked once a document; answers are kept at the path `cache` before they are used.
+    """
+    groups, queries = Q.groups_of(rules.fields)
+    contexts = staged(Q.contexts(S.blocks(staged(clauses_of(pages))), groups, queries))
+    fields = rules.fields.select("field_id", "label", "kind", F.lit("").alias("instruction"), "allowed")
+    said = Q.propose(contexts, groups, fields, system, cache, provider).withColumn("status", F.lit("nao_verificado"))
+    return M.fuse(facts_, verified(staged(said), pages, rules))
+
+
+def with_lessons(facts_: DataFrame, pages: DataFrame, rules: Rules, lessons: DataFrame) -> DataFrame:
+    """facts_ with what lessons (lesson_id, doc_id, field_id, value, quote, page, insurer, created_at) give, each verified in its document."""
+    sheet = facts_.join(F.broadcast(rules.fields.select("field_id", "kind")), "field_id")
+    insurers = facts_.where("field_id = 'seguradora' and status = 'verificado'").select("doc_id", F.col("value").alias("insurer"))
+    used = L.reuse(lessons, sheet, pages, insurers).select("doc_id", "field_id", *[F.col(c).alias(f"l_{c}") for c in ("value", "quote", "page", "lesson_id")])
+    both = facts_.join(used, ["doc_id", "field_id"], "left")
+    taught = F.col("l_lesson_id").isNotNull()
+    pick = lambda c: F.when(taught, F.col(f"l_{c}")).otherwise(F.col(c)).alias(c)
+    note = F.when(taught, F.concat(F.lit("lição "), F.col("l_lesson_id").cast("string"))).otherwise(F.col("note"))
+    status = F.when(taught, "verificado").otherwise(F.col("status"))
+    return both.select("doc_id", "field_id", pick("value"), status.alias("status"), pick("page"), pick("quote"), note.alias("note"))
+
+
 def compare(facts_: DataFrame, documents: DataFrame, rules: Rules) -> DataFrame:
     """Comparison rows; documents (doc_id, label, is_spec)."""
     return C.comparison(facts_, documents, rules.fields, rules.comparison)
