@@ -9,16 +9,9 @@ PRIOR / (c(state) + PRIOR). Probabilities after each state add up to 1.
 
 The corpus is read once into chunks: some megabytes of documents as numbers of the
 chunk's distinct words, kept in a table bucketed by chunk, so that what comes back for a
-chunk meets it without a shuffle of the texts. n-grams are dealt by hash to parts, whose
-number grows with the number of chunks, in two exchanges:
-
-1. Each chunk sends a fingerprint of each n-gram of two words or more with its count in its
-   training texts, and hears whether the fingerprint occurs nowhere in these, once and in this
-   chunk alone, or else. If it is not the last, the n-gram's count is known.
-2. It sends all other n-grams and all its words with their counts, and hears their counts in
-   the corpus. A fingerprint that two n-grams share costs an n-gram more here and changes no
-   result. No task and no broadcast holds the vocabulary or the n-grams; a hot one has an
-   entry for each chunk.
+chunk meets it without a shuffle of the texts. In one exchange a chunk sends all its words and n-grams with their counts
+in its training texts, dealt by hash to parts, whose number grows with the number of chunks, and hears their counts in the
+corpus. No task and no broadcast holds the vocabulary or the n-grams; a hot one has an entry for each chunk.
 
 n-grams are told apart by 48 bits of a hash within their part, which holds some million of
 them: the chance that any two in a part are taken for one is some 0.002.
@@ -56,14 +49,14 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
 CHUNK = 8 << 20
 CHUNKS = "chunk long, ids array<bigint>, held array<boolean>, lengths array<int>, words binary, tokens binary, learnt long"
-#: Bits of a fingerprint and of an n-gram's code within its part.
-FINGERPRINT, CODE = 28, 48
+#: Bits of an n-gram's code within its part.
+CODE = 48
 #: Words that are traversed in one go; longer texts are cut.
 STRIDE = 512
 #: Chunks for each part: more make smaller messages and larger tasks.
 SHARE = 1
 MESSAGE = "part long, of long, codes binary, values binary"
-ANSWER = "of long, part long, step int, answer binary, new long"
+ANSWER = "of long, part long, answer binary, new long"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -159,75 +152,79 @@ def _grams(row: dict, order: int) -> tuple[list[Grams], np.ndarray]:
     return levels, begins
 
 
-# -- Exchanges between chunks and parts.
+# -- The exchange between chunks and parts.
 
 
-def _dealt(codes: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dealt(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of the codes by part and code, their parts, their codes within the part)."""
     part = ((codes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-    inside = codes & np.uint64((1 << bits) - 1)
-    if parts.bit_length() + bits <= 64:
-        order = np.argsort((part.view(np.uint64) << np.uint64(bits)) | inside)
+    inside = codes & np.uint64((1 << CODE) - 1)
+    if parts.bit_length() + CODE <= 64:
+        order = np.argsort((part.view(np.uint64) << np.uint64(CODE)) | inside)
     else:
         order = np.lexsort((inside, part))
     return order, part[order], inside[order]
 
 
-def _messages(chunk: int, codes: np.ndarray, values: np.ndarray, parts: int, bits: int) -> pa.Table:
-    """Rows (part, of, codes, values) of a chunk; values: a row of numbers for each code."""
-    order, part, inside = _dealt(codes, parts, bits)
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
-    spans = list(zip(cuts, cuts[1:], strict=False))
-    return pa.table({
-        "part": pa.array([part[a] for a, _ in spans], pa.int64()), "of": pa.array([chunk] * len(spans), pa.int64()),
-        "codes": pa.array([_ascending(inside[a:b]) for a, b in spans], pa.binary()),
-        "values": pa.array([squeezed(values[order[a:b]]) for a, b in spans], pa.binary()),
-    })
+COUNT = np.dtype([("n", "<u4"), ("word", "u1")])
 
 
-def _received(rows: pa.Table, kind: np.dtype) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """(messages of a part by chunk, number of the distinct code of each entry, values of the entries, cuts between the messages' entries)."""
+def _counted(rows: pa.Table) -> pa.Table:
+    """Answers of a part: each n-gram's count in the corpus' training texts; new: how many words they have."""
     rows = rows.sort_by("of")
     codes = [np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in rows["codes"].to_pylist()]
-    values = np.concatenate([opened(x, kind) for x in rows["values"].to_pylist()])
-    return rows, np.unique(np.concatenate(codes), return_inverse=True)[1], values, np.cumsum([len(x) for x in codes])[:-1]
-
-
-def _answers(rows: pa.Table, step: int, answers: list[bytes], new: int = 0) -> pa.Table:
-    n = len(rows)
+    cuts = np.cumsum([len(x) for x in codes])[:-1]
+    which = np.unique(np.concatenate(codes), return_inverse=True)[1]
+    own = np.concatenate([opened(x, COUNT) for x in rows["values"].to_pylist()])
+    total = np.bincount(which, own["n"]).astype(np.uint64)  # whole numbers, exact below 2 to the 53rd
+    word = np.zeros(len(total), bool)
+    word[which[own["word"] > 0]] = True
+    answers, new = [squeezed(x) for x in np.split(total[which], cuts)], int((word & (total > 0)).sum())
     return pa.table({
-        "of": rows["of"].combine_chunks(), "part": rows["part"].combine_chunks(), "step": pa.array([step] * n, pa.int32()), "answer": pa.array(answers, pa.binary()),
-        "new": pa.array([new] + [0] * (n - 1), pa.int64()),
+        "of": rows["of"].combine_chunks(), "part": rows["part"].combine_chunks(), "answer": pa.array(answers, pa.binary()), "new": pa.array([new] + [0] * (len(rows) - 1), pa.int64()),
     })
 
 
-def _heard(answers: pa.Table, step: int, codes: np.ndarray, parts: int, bits: int, kind: np.dtype) -> np.ndarray:
-    """The answers of a step in the order of the codes sent."""
-    out = np.zeros(len(codes), kind)
-    if len(codes):
-        own = sorted((p, a) for p, s, a in zip(answers["part"].to_pylist(), answers["step"].to_pylist(), answers["answer"].to_pylist(), strict=True) if s == step)
-        out[_dealt(codes, parts, bits)[0]] = np.concatenate([opened(a, kind) for _, a in own])
-    return out
-
-
-COUNT = np.dtype([("n", "<u4"), ("word", "u1")])
+class Chunk:
+    """A chunk's n-grams and what it has heard about them."""
 
+    def __init__(self, row: dict, order: int, parts: int) -> None:
+        self.number, self.parts, self.row = row["chunk"], parts, row
+        self.levels, self.begins = _grams(row, order)
+        self.codes = np.concatenate([g.codes for g in self.levels])
 
-def _met(rows: pa.Table) -> pa.Table:
-    """Step 1: how often each fingerprint occurs in the training texts; 2 for more often than once, or if several chunks hold it."""
-    rows, which, n, cuts = _received(rows, np.uint8)
-    total = np.minimum(np.bincount(which, n), 2).astype(np.uint8)
-    total[(total > 0) & (np.bincount(which) > 1)] = 2
-    return _answers(rows, 1, [squeezed(x) for x in np.split(total[which], cuts)])
+    def sent(self) -> pa.Table:
+        """Rows (part, of, codes, values): all n-grams with their counts in the chunk's training texts."""
+        values = np.zeros(len(self.codes), COUNT)
+        values["n"] = np.concatenate([g.own for g in self.levels])
+        values["word"][: len(self.levels[0].codes)] = 1  # the end is counted as a token
+        order, part, inside = _dealt(self.codes, self.parts)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        return pa.table({
+            "part": pa.array([part[a] for a, _ in spans], pa.int64()), "of": pa.array([self.number] * len(spans), pa.int64()),
+            "codes": pa.array([_ascending(inside[a:b]) for a, b in spans], pa.binary()),
+            "values": pa.array([squeezed(values[order[a:b]]) for a, b in spans], pa.binary()),
+        })
 
+    def counts(self, answers: pa.Table) -> list[np.ndarray]:
+        """The counts of the n-grams of each order in the corpus' training texts."""
+        own = sorted(zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True))
+        out = np.zeros(len(self.codes), np.int64)
+        out[_dealt(self.codes, self.parts)[0]] = np.concatenate([opened(a, np.uint64) for _, a in own]).astype(np.int64)
+        return np.split(out, np.cumsum([len(g.codes) for g in self.levels])[:-1])
 
-def _counted(rows: pa.Table) -> pa.Table:
-    """Step 2: each n-gram's count in the corpus' training texts; new: how many words they have."""
-    rows, which, own, cuts = _received(rows, COUNT)
-    total, word = np.zeros(which.max() + 1, np.uint64), np.zeros(which.max() + 1, bool)
-    np.add.at(total, which, own["n"])
-    word[which[own["word"] > 0]] = True
-    return _answers(rows, 2, [squeezed(x) for x in np.split(total[which], cuts)], int((word & (total > 0)).sum()))
+    def scores(self, answers: pa.Table, n: int, v: int, prior: float) -> pa.Table:
+        counts, at = self.counts(answers), self.levels[0].at
+        base = np.log10((counts[0] + 1) / (n + v + 1))[at]
+        score = Automaton(self.levels, counts, n, v, prior).traverse(at, self.begins, len(counts[0]) - 1)
+        sums = lambda x: np.add.reduceat(x, self.begins)  # noqa: E731  every text has its end token
+        lengths = np.array(self.row["lengths"], np.int64)
+        return pa.table({
+            "id": pa.array(self.row["ids"], pa.int64()), "held_out": pa.array(self.row["held"], pa.bool_()), "n_tokens": lengths + 1,
+            "n_known": sums((counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
+            "base_score": sums(base), "score": score,
+        })
 
 
 class Automaton:
@@ -305,58 +302,6 @@ class Automaton:
         return np.bincount(text, total, len(begins))
 
 
-class Chunk:
-    """A chunk's n-grams and what it has heard about them."""
-
-    def __init__(self, row: dict, order: int, parts: int) -> None:
-        self.number, self.parts, self.row = row["chunk"], parts, row
-        self.levels, self.begins = _grams(row, order)
-        self.longer = np.concatenate([np.zeros(0, np.uint64), *(g.codes for g in self.levels[1:])])
-
-    def fingerprints(self) -> pa.Table:
-        return _messages(self.number, self.longer, np.minimum(self._own()[0], 2).astype(np.uint8), self.parts, FINGERPRINT)
-
-    def _own(self) -> tuple[np.ndarray, list[int]]:
-        """(counts of the longer n-grams in the chunk's training texts, cuts between their orders)."""
-        own = [g.own for g in self.levels[1:]]
-        return np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([len(x) for x in own])[:-1].tolist()
-
-    def hear_met(self, answers: pa.Table) -> None:
-        met, (own, cuts) = _heard(answers, 1, self.longer, self.parts, FINGERPRINT, np.uint8), self._own()
-        self.open = np.split((met > 1) | (met != own), cuts) if len(self.levels) > 1 else []
-        self.sent = np.concatenate([self.levels[0].codes, *(g.codes[x] for g, x in zip(self.levels[1:], self.open, strict=True))])
-
-    def counts_sent(self) -> pa.Table:
-        values = np.zeros(len(self.sent), COUNT)
-        values["n"] = np.concatenate([self.levels[0].own, *(g.own[x] for g, x in zip(self.levels[1:], self.open, strict=True))])
-        values["word"][: len(self.levels[0].codes)] = 1  # the end is counted as a token
-        return _messages(self.number, self.sent, values, self.parts, CODE)
-
-    def counts(self, answers: pa.Table) -> list[np.ndarray]:
-        """The counts of the n-grams of each order in the corpus' training texts."""
-        got = _heard(answers, 2, self.sent, self.parts, CODE, np.uint64).astype(np.int64)
-        sizes = [len(self.levels[0].codes), *(int(x.sum()) for x in self.open)]
-        words, *longer = np.split(got, np.cumsum(sizes)[:-1])
-        out = [words]
-        for g, x, told in zip(self.levels[1:], self.open, longer, strict=True):
-            total = g.own.astype(np.int64)
-            total[x] = told
-            out.append(total)
-        return out
-
-    def scores(self, answers: pa.Table, n: int, v: int, prior: float) -> pa.Table:
-        counts, at = self.counts(answers), self.levels[0].at
-        base = np.log10((counts[0] + 1) / (n + v + 1))[at]
-        score = Automaton(self.levels, counts, n, v, prior).traverse(at, self.begins, len(counts[0]) - 1)
-        sums = lambda x: np.add.reduceat(x, self.begins)  # noqa: E731  every text has its end token
-        lengths = np.array(self.row["lengths"], np.int64)
-        return pa.table({
-            "id": pa.array(self.row["ids"], pa.int64()), "held_out": pa.array(self.row["held"], pa.bool_()), "n_tokens": lengths + 1,
-            "n_known": sums((counts[0] > 0)[at].astype(np.int64)), "train_tokens": np.full(len(lengths), n, np.int64),
-            "base_score": sums(base), "score": score,
-        })
-
-
 def scores(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, prior: float = PRIOR,
 ) -> DataFrame:
@@ -366,24 +311,15 @@ def scores(
     many, n = chunks.agg(F.count("*"), F.coalesce(F.sum("learnt"), F.lit(0))).first()
     parts = max(1, -(-many // SHARE))
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                yield from Chunk(batch.slice(i, 1).to_pylist()[0], order, parts).fingerprints().to_batches()
-
-    def counts_sent(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(chunk.to_pylist()[0], order, parts)
-        own.hear_met(answers)
-        return own.counts_sent()
+                yield from Chunk(batch.slice(i, 1).to_pylist()[0], order, parts).sent().to_batches()
 
-    by_chunk = lambda answers: chunks.groupBy("chunk").cogroup(answers.groupBy("of"))
-    met = staged(chunks.mapInArrow(fingerprints, MESSAGE).groupBy("part").applyInArrow(_met, ANSWER))
-    counted = staged(by_chunk(met).applyInArrow(counts_sent, MESSAGE).groupBy("part").applyInArrow(_counted, ANSWER))
+    counted = staged(chunks.mapInArrow(sent, MESSAGE).groupBy("part").applyInArrow(_counted, ANSWER))
     v = counted.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Chunk(chunk.to_pylist()[0], order, parts)
-        own.hear_met(answers)
-        return own.scores(answers, n, v, prior)
+        return Chunk(chunk.to_pylist()[0], order, parts).scores(answers, n, v, prior)
 
-    return by_chunk(met.unionByName(counted)).applyInArrow(score, SCORES).withColumnRenamed("id", id_col)
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(score, SCORES).withColumnRenamed("id", id_col)
