@@ -249,8 +249,12 @@ def first_seen(candidates: DataFrame, key: str, order: str, *same: str) -> DataF
 
 
 def fuse(rules: DataFrame, model: DataFrame) -> DataFrame:
-    """Facts of two sources (doc_id, field_id, value, status, page, note): a verified rule wins, then a verified model, then the model unverified."""
-    m = model.select("doc_id", "field_id", *[F.col(c).alias(f"m_{c}") for c in ("value", "status", "page", "note")])
+    """Facts of two sources (doc_id, field_id, value, status, page, note): a verified rule wins, then a verified model, then the model unverified.
+
+    A quote that both have goes with the value.
+    """
+    quoted = ["quote"] if "quote" in rules.columns and "quote" in model.columns else []
+    m = model.select("doc_id", "field_id", *[F.col(c).alias(f"m_{c}") for c in ("value", "status", "page", "note", *quoted)])
     both = rules.join(m, ["doc_id", "field_id"], "left")
     rule_ok, model_ok = F.col("status") == "verificado", F.coalesce(F.col("m_status") == "verificado", F.lit(False))
     use_model = ~rule_ok & (model_ok | F.coalesce(F.col("m_status") == "nao_verificado", F.lit(False)))
@@ -258,7 +262,7 @@ def fuse(rules: DataFrame, model: DataFrame) -> DataFrame:
     conflict = F.concat(F.lit("(o LLM leu '"), F.coalesce("m_value", F.lit("")), F.lit("' na pág. "), F.coalesce(F.col("m_page").cast("string"), F.lit("")), F.lit("; prevaleceu a regra)"))
     pick = lambda c: F.when(use_model, F.col(f"m_{c}")).otherwise(F.col(c))
     note = F.when(differs, F.trim(F.concat_ws(" ", "note", conflict))).otherwise(pick("note"))
-    return both.select("doc_id", "field_id", pick("value").alias("value"), pick("status").alias("status"), pick("page").alias("page"), note.alias("note"), F.when(use_model, "model").otherwise("rule").alias("source"))
+    return both.select("doc_id", "field_id", pick("value").alias("value"), pick("status").alias("status"), pick("page").alias("page"), *[pick(c).alias(c) for c in quoted], note.alias("note"), F.when(use_model, "model").otherwise("rule").alias("source"))
 
 
 def status_counts(facts: DataFrame, statuses: DataFrame, key: str = "doc_id") -> DataFrame:

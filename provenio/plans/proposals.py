@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenio.functions import exact as E
@@ -51,10 +51,20 @@ def contexts(blocks: DataFrame, groups: DataFrame, queries: DataFrame) -> DataFr
     return parts.select("key.*", T.neutral_tags(F.array_join(F.transform("p", lambda x: x["part"]), "\n\n")).alias("context"))
 
 
-def propose(contexts_: DataFrame, groups: DataFrame, fields: DataFrame, system: str, cache: DataFrame, provider: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+def groups_of(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, queries) for contexts and propose, as the field catalogue has them: a group for each grp, searched by its fields' names and clues."""
+    first = Window.partitionBy("group_id")
+    own = fields.select(F.coalesce("grp", F.lit("")).alias("group_id"), "field_id", "field_ord").withColumn("group_ord", F.min("field_ord").over(first))
+    queries = fields.select("field_id", R.field_query(F.col("label"), F.col("clues"), F.col("spec_labels")).alias("q"))
+    return own.withColumn("from_start", F.lit(True)), queries
+
+
+def propose(contexts_: DataFrame, groups: DataFrame, fields: DataFrame, system: str, cache: DataFrame | str, provider: Callable[[], Callable[[str, str], str]]) -> DataFrame:
     """Candidates (doc_id, field_id, kind, value, quote, page) from a model's answers; a field that it has no readable value for has none.
 
     fields (field_id, label, kind, instruction, allowed) are declared; the answer is JSON within whatever else the model says.
+    Of several answers for a field the last counts, in order of groups and places. cache: a table of answers, or the path of
+    one, where new answers are kept before they are used.
     """
     asked = groups.join(F.broadcast(fields), "field_id")
     line = F.concat(F.lit('- "'), "field_id", F.lit('" ('), "label", F.lit("): "), F.coalesce("instruction", F.lit("")), F.when(F.size("allowed") > 0, F.concat(F.lit(" Chaves permitidas: "), F.array_join("allowed", "; "), F.lit("."))).otherwise(""))
@@ -63,10 +73,13 @@ def propose(contexts_: DataFrame, groups: DataFrame, fields: DataFrame, system:
     shape = '{"campos": [{"campo": "<id>", "valor": ..., "trecho": "...", "pagina": N}]}'
     user = F.concat(F.lit("Campos a extrair:\n"), "wanted", F.lit(f"\n\nFormato de resposta: {shape}\n\n<documento>\n"), "context", F.lit("\n</documento>"))
     prompts = prompts.select(F.struct("doc_id", "group_id").alias("prompt_id"), F.lit(system).alias("system"), user.alias("user"))
-    said = store.answered(prompts, cache, provider).select("prompt_id.*", F.from_json(E.json_object(F.col("answer")), ANSWER).alias("a"))
-    each = said.select("doc_id", "group_id", F.explode("a.campos").alias("c")).select("doc_id", "group_id", F.col("c.campo").alias("field_id"), "c.valor", "c.trecho", "c.pagina")
-    known = each.join(F.broadcast(asked.select("group_id", "field_id", "kind", "allowed")), ["group_id", "field_id"])
+    answers = store.answered_once(prompts, cache, provider) if isinstance(cache, str) else store.answered(prompts, cache, provider)
+    said = answers.select("prompt_id.*", F.from_json(E.json_object(F.col("answer")), ANSWER).alias("a"))
+    each = said.select("doc_id", "group_id", F.posexplode("a.campos").alias("place", "c"))
+    each = each.select("doc_id", "group_id", "place", F.col("c.campo").alias("field_id"), "c.valor", "c.trecho", "c.pagina")
+    known = each.join(F.broadcast(asked.select("group_id", "group_ord", "field_id", "kind", "allowed")), ["group_id", "field_id"])
     value = T.coerce(F.col("kind"), F.col("valor"), F.col("allowed"))
     out = known.withColumn("value", value).where("value is not null")
-    last = out.groupBy("doc_id", "field_id").agg(F.max(F.struct("kind", "value", F.coalesce("trecho", F.lit("")).alias("quote"), F.coalesce(F.col("pagina").try_cast("int"), F.lit(0)).alias("page"))).alias("x"))
+    found = F.struct("kind", "value", F.coalesce("trecho", F.lit("")).alias("quote"), F.coalesce(F.col("pagina").try_cast("int"), F.lit(0)).alias("page"))
+    last = out.groupBy("doc_id", "field_id").agg(F.max_by(found, F.struct("group_ord", "place")).alias("x"))
     return last.select("doc_id", "field_id", "x.*")
