@@ -9,7 +9,9 @@ from provenio.functions import exact as E
 from provenio.functions import text as T
 from provenio.operators import matching as M
 from provenio.operators import verify as V
-from provenio.queries.base import LINES, canonical_sql, document_lines, document_pages, query, table
+from provenio.operators.patterns import matching
+from provenio.queries.base import LINES, canonical_sql, document_lines, document_pages, query, table, tokens_sql
+from provenio.session import staged
 
 # Rules over wording that the documents have: licences, secrets, addresses.
 RULES = (
@@ -114,13 +116,24 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH q AS (SELECT item_id, {canonical_sql('text')} AS q FROM benchmark), d AS (SELECT doc_id, {canonical_sql('text')} AS c FROM documents)
-    SELECT item_id, doc_id FROM q JOIN d ON contains(c, q)""")
+    SELECT item_id, doc_id FROM q JOIN d ON contains(c, q) WHERE item_id IS NOT NULL""")
 def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fast path: where a quote stands as it is. A document that holds it shares its words, so that they meet by a join."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.canonical(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
-    met = _sharing(docs, "c", quotes.where(F.size(F.split("q", " ")) >= SHARED_WORDS), "q")
-    return met.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("c", "q")).select("item_id", "doc_id")
+    """The fast path: where a quote stands as it is.
+
+    A document that holds a quote of two words more than a run has shares its inner runs, so that they meet by a join, on the run of
+    each quote that fewest documents have; shorter quotes are declared and few, and are looked for in every document.
+    """
+    quotes = table(spark, sf_dir, "benchmark").where("item_id is not null").select("item_id", T.canonical(F.col("text")).alias("q"))
+    docs = staged(table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c")))
+    long = F.size(F.split("q", " ")) >= SHARED_WORDS + 2
+    inner = quotes.where(long).select("item_id", F.split("q", " ").alias("w")).select("item_id", F.explode(_runs(F.slice("w", F.lit(2), F.size("w") - 2))).alias("run"))
+    own = docs.select("doc_id", F.explode(_runs(F.split("c", " "))).alias("run")).join(inner.select("run").distinct(), "run", "left_semi")
+    own = staged(own)
+    often = own.groupBy("run").agg(F.count("*").alias("n"))
+    rare = inner.join(often, "run", "left").groupBy("item_id").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    met = own.join(rare, "run").join(quotes, "item_id").join(docs, "doc_id").where(F.contains("c", "q")).select("item_id", "doc_id")
+    short = matching(docs, "c", quotes.where(~long).select("item_id", F.concat(F.lit(r"\Q"), "q", F.lit(r"\E")).alias("quoted")), "quoted").select("item_id", "doc_id")
+    return met.unionByName(short)
 
 
 #: Words in a row that a document and a quote have to share for the quote to be looked for there.
@@ -212,7 +225,7 @@ def anchored_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(t[2:3], ' ') || ' ') AND len(t) > 1 AS on_topic FROM (SELECT doc_id, "
-       + __import__("provenio.queries.base", fromlist=["tokens_sql"]).tokens_sql("text") + " AS t FROM documents WHERE text IS NOT NULL)")
+       + tokens_sql("text") + " AS t FROM documents WHERE text IS NOT NULL)")
 def topic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("quote"))
     stems = T.tokens(F.col("quote"))
