@@ -163,7 +163,8 @@ def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     aligned, and their pairs where the cited page isn't; what is found nowhere is aligned where most of its words
     are. Steps that others read are written when this is called.
     """
-    q = staged(quotes.select("doc_id", "quote_id", T.canonical(F.col("quote")).alias("q"), F.col("page").alias("cited")))
+    held = staged(quotes.withColumn("_q", T.canonical(F.col("quote"))))  # what gives the quotes is worked out once
+    q = held.select("doc_id", "quote_id", F.col("_q").alias("q"), F.col("page").alias("cited"))
     texts = page_texts(pages.join(q.select("doc_id").distinct(), "doc_id", "left_semi"))
     texts = staged(texts.select("doc_id", "page_no", "norm", "pair_norm", "has_next", "seam"))
     words, asked = page_words(texts), quote_words(q)
@@ -177,7 +178,7 @@ def locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     if not lost.isEmpty():
         found = found.unionByName(_best(_nearest(lost, asked, words, texts)))
     found = found.select(*QUOTE, F.when(F.col("s") > 0, F.col("page_no")).alias("found_page"), F.col("s").alias("similarity"))
-    return quotes.join(found, list(QUOTE), "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return held.drop("_q").join(found, list(QUOTE), "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 IN_CONTEXT = ("excluido", "excluida")

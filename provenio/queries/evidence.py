@@ -158,7 +158,7 @@ def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("q", T.canonical(F.col("quote")))
     docs = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
     met = _sharing(docs, "c", quotes, "q").join(quotes.select("item_id", "quote"), "item_id")
-    return met.select("doc_id", F.col("item_id").alias("quote_id"), "quote", F.lit(1).alias("page"))
+    return staged(met.select("doc_id", F.col("item_id").alias("quote_id"), "quote", F.lit(1).alias("page")))  # read for the quotes and for their documents
 
 
 _RUN = "unnest(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) AS run"
