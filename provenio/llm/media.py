@@ -5,13 +5,16 @@ smoothed, turned to the direction of its intensity centroid, and described by bi
 tests of pairs of points; of corners of one picture with the same description, the first
 in reading order counts. Descriptors that agree in one of two tables, each of half of their
 bits, meet in that table's bucket, so that any two within one bit of each other do, and
-match if their other halves differ in FAR bits at most. Each bucket matches its members with two of them, the
-smallest and the largest picture, never all pairs. Matches of two pictures vote for the
+match if their other halves differ in FAR bits at most. Matches of two pictures vote for the
 shift between their corners; a shift counts from VOTES on, as what stands before and after
-an edit may have different ones. Pictures whose agreeing votes reach SHARE of the smaller
+an edit may have different ones. Pictures whose agreeing places reach SHARE of the smaller
 picture's corners are linked, so that a crop, or a copy with other surroundings, is found
 wherever it lies. Classes are the connected components of the links.
 
+First each bucket's members vote for its smallest and its largest picture. What that leaves
+apart is searched whole: pictures of different classes that meet in enough of the smaller
+one's rarest places are compared corner by corner, so that no link between classes is lost.
+
 The pictures of `pages` are drawn from its html: each word of a block is a dark
 rectangle as long as the word, each block begins a line, as on a small print of the page.
 
@@ -29,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenio.llm.common import only, staged
+from provenio.llm.common import bucketed, only, staged
 from provenio.llm.dartminhash import components
 
 WIDTH, LINE = 64, 4
@@ -220,28 +223,100 @@ def _entries() -> Column:
     return F.array(F.struct(a.alias("key"), b.alias("rest")), F.struct(b.bitwiseXOR(F.lit(0x5DEECE66D)).alias("key"), a.alias("rest")))
 
 
-def copies(features: DataFrame) -> DataFrame:
-    """Rows (id, class_id, n_corners) from rows (id, picture, places, a, b)."""
-    features = staged(features)
-    drawn = features.where("picture is not null").withColumnRenamed("picture", "node")
-    corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
-    keyed = corner.select("node", "place", F.explode(_entries()).alias("e")).select("node", "place", "e.key", "e.rest")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = staged(keyed.join(staged(shared), "key"))
+def _forest(met: DataFrame, size: DataFrame) -> DataFrame:
+    """Links (node, hub) from the votes of each bucket's members for its smallest and its largest picture."""
     hub = lambda c: F.col(c).alias(f"hub_{c}")
-    hubs = met.where("node = low or node = high").select("key", hub("node"), hub("place"), hub("rest"), (F.col("node") == F.col("low")).alias("is_low")).distinct()
+    hubs = met.where("node = low or node = high").select("key", hub("node"), hub("place"), hub("rest"), (F.col("node") == F.col("low")).alias("is_low"))
     both = met.join(hubs, "key").where((F.col("node") != F.col("hub_node")) & (F.col("is_low") | (F.col("node") != F.col("low"))))
     both = both.where(F.bit_count(F.col("rest").bitwiseXOR(F.col("hub_rest"))) <= FAR)
     turned = F.col("node") > F.col("hub_node")
     at = lambda c, way: F.when(way, F.col(f"hub_{c}")).otherwise(F.col(c))
     both = both.select(at("node", turned).alias("node"), at("node", ~turned).alias("hub"), at("place", turned).alias("place"), at("place", ~turned).alias("to"))
-    line = lambda c: F.floor(F.col(c) / WIDTH).cast("int")
-    votes = both.select("node", "hub", (line("place") - line("to")).alias("dy"), (F.col("place") % WIDTH - F.col("to") % WIDTH).cast("short").alias("dx"), "place")
-    agreed = votes.groupBy("node", "hub", "dy", "dx").agg(F.size(F.collect_set("place")).alias("votes")).where(F.col("votes") >= VOTES)
-    agreed = agreed.groupBy("node", "hub").agg(F.sum("votes").alias("votes"))  # what stands after an edit has a shift of its own
-    size = drawn.groupBy("node").agg(F.max(F.size("places")).alias("n"))
+    line, column = (lambda c: F.floor(F.col(c) / WIDTH).cast("int")), (lambda c: F.pmod(F.col(c), F.lit(WIDTH)))
+    votes = both.repartition("node", "hub").withColumns({"dy": line("place") - line("to"), "dx": column("place") - column("to")})
+    agreed = votes.groupBy("node", "hub", "dy", "dx").agg(F.collect_set("place").alias("places"), F.collect_set("to").alias("tos"))
+    agreed = agreed.where(F.size("places") >= VOTES).groupBy("node", "hub")  # what stands after an edit has a shift of its own
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    agreed = agreed.agg(F.least(count("places"), count("tos")).alias("votes"))
     agreed = agreed.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    links = agreed.where(F.col("votes") >= SHARE * F.least("n", "hub_n")).select("node", "hub")
+    return agreed.where(F.col("votes") >= SHARE * F.least("n", "hub_n")).select("node", "hub")
+
+
+def _meetings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with x[i] = y[j]."""
+    order = np.argsort(y, kind="stable")
+    low, high = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    n = high - low
+    return np.repeat(np.arange(len(x)), n), order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def votes(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+    """How many places of each of two pictures (places, a, b) have a match whose shift VOTES matches have; of the two numbers the smaller."""
+    found = []
+    for key, rest in ((1, 2), (2, 1)):
+        i, j = _meetings(one[key], two[key])
+        near = np.bitwise_count(one[rest][i] ^ two[rest][j]) <= FAR
+        found.append(np.stack([one[0][i[near]], two[0][j[near]]], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0).astype(np.int64)
+    shift = (pairs[:, 0] // WIDTH - pairs[:, 1] // WIDTH) * 2 * WIDTH + pairs[:, 0] % WIDTH - pairs[:, 1] % WIDTH
+    _, of, n = np.unique(shift, return_inverse=True, return_counts=True)
+    pairs = pairs[n[of] >= VOTES]
+    return min(len(np.unique(pairs[:, 0])), len(np.unique(pairs[:, 1])))
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = []
+        for c in ("places", "a", "b", "hub_places", "hub_a", "hub_b"):
+            column = batch[c]
+            kind = np.int64 if "places" in c else np.uint64
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(kind), column.offsets.to_numpy() - column.offsets[0].as_py()
+            lists.append([flat[x:y] for x, y in zip(ends, ends[1:])])
+        keep = [votes((p, a, b), (q, c, d)) >= SHARE * min(len(a), len(c)) for p, a, b, q, c, d in zip(*lists)]
+        yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _rest(met: DataFrame, drawn: DataFrame, size: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (node, hub) between pictures with different labels.
+
+    Of two linked pictures the smaller has SHARE of its corners, and VOTES of them at least, in buckets of the other: one that
+    is left out with fewer cannot be. So a picture asks by its places in order of how many corners share their buckets, but for
+    the last t - VOTES of the t that have to agree, and what it meets in VOTES places is compared corner by corner. Within a bucket those
+    outside its largest class meet the others; members of one class never meet.
+    """
+    shared = met.select("node", "place", "size").repartition("node").groupBy("node", "place").agg(F.sum("size").alias("weight"))
+    of = Window.partitionBy("node")
+    ranked = shared.withColumn("rank", F.row_number().over(of.orderBy("weight", "place"))).withColumn("m", F.count("*").over(of))
+    ranked = ranked.join(size, "node").where(F.col("n") >= VOTES)
+    needed = F.greatest(F.lit(VOTES), F.ceil(F.col("n") * SHARE))
+    ranked = ranked.select("node", "place", "n", (F.col("rank") <= F.col("m") - needed + VOTES).alias("asks"))
+    labelled = ranked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
+    tagged = labelled.join(corner, ["node", "place"]).select("node", "place", "n", "asks", "label", F.explode(_entries()).alias("e"))
+    tagged = bucketed(tagged.select("e.key", "node", "place", "n", "asks", "label"), "key")
+    kinds = tagged.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.max_by("label", F.struct("c", "label")).alias("largest"))
+    mixed = tagged.join(kinds.where("k > 1").drop("k"), "key")
+    other = tagged.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "place", "n", "asks", "label")])
+    met = mixed.where("label <> largest").join(other, "key").where("label <> o_label")
+    small = F.struct("n", "node") < F.struct(F.col("o_n"), F.col("o_node"))
+    met = met.where(F.when(small, F.col("asks")).otherwise(F.col("o_asks")) & (small | (F.col("o_label") == F.col("largest"))))
+    way = lambda a, b: F.when(small, F.col(a)).otherwise(F.col(b))
+    met = met.select(way("node", "o_node").alias("node"), way("o_node", "node").alias("hub"), way("place", "o_place").alias("place"))
+    pairs = staged(met.groupBy("node", "hub").agg(F.count_distinct("place").alias("places")).where(F.col("places") >= VOTES).select("node", "hub"))
+    there = drawn.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("places", "a", "b")])
+    return pairs.join(drawn, "node").join(there, "hub").mapInArrow(_confirmed, "node long, hub long")
+
+
+def copies(features: DataFrame) -> DataFrame:
+    """Rows (id, class_id, n_corners) from rows (id, picture, places, a, b)."""
+    features = bucketed(features, "picture")
+    drawn = features.where("picture is not null").select(F.col("picture").alias("node"), "places", "a", "b").dropDuplicates(["node"])
+    corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
+    entries = bucketed(corner.select("node", "place", F.explode(_entries()).alias("e")).select("e.key", "node", "place", "e.rest"), "key")
+    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
+    met, size = entries.join(shared, "key"), drawn.select("node", F.size("places").alias("n"))
+    links = staged(_forest(met, size))
+    links = links.unionByName(staged(_rest(met, drawn, size, components(links))))
     label = components(links)
     placed = features.select("id", F.col("picture").alias("node"), F.size("places").alias("n_corners")).join(label, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))
