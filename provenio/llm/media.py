@@ -41,6 +41,8 @@ from provenio.llm.dartminhash import components
 WIDTH, LINE = 64, 4
 RADIUS, PATCH, TURNS, BITS = 10, 8, 16, 128
 FAR, VOTES, SHARE = 10, 2, 0.3
+#: Places that two pictures have to share among those that the smaller one asks by; it keeps back the others that have to agree.
+HITS = 3
 #: Rows of pixels that are searched at a time, and of paper between the pictures that are searched together.
 STRIP, GAP = 1 << 13, 4 * PATCH
 #: Pages that are taken out of an Arrow batch at a time.
@@ -279,9 +281,9 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rest(met: DataFrame, drawn: DataFrame, size: DataFrame, label: DataFrame) -> DataFrame:
     """Links (node, hub) between pictures with different labels.
 
-    Of two linked pictures the smaller has SHARE of its corners, and VOTES of them at least, in buckets of the other: one that
-    is left out with fewer cannot be. So a picture asks by its places in order of how many corners share their buckets, but for
-    the last t - VOTES of the t that have to agree, and what it meets in VOTES places is compared corner by corner. Within a bucket those
+    Of two linked pictures the smaller has SHARE of its corners, and VOTES of them at least, in buckets of the other: what
+    shares fewer cannot be linked. So of the t places that have to agree, a picture keeps back t - HITS, those whose buckets have the
+    most corners, asks by all others, and what it matches in HITS of them is compared corner by corner. Within a bucket those
     outside its largest class meet the others; members of one class never meet.
     """
     shared = met.select("node", "place", "size").repartition("node").groupBy("node", "place").agg(F.sum("size").alias("weight"))
@@ -289,20 +291,23 @@ def _rest(met: DataFrame, drawn: DataFrame, size: DataFrame, label: DataFrame) -
     ranked = shared.withColumn("rank", F.row_number().over(of.orderBy("weight", "place"))).withColumn("m", F.count("*").over(of))
     ranked = ranked.join(size, "node").where(F.col("n") >= VOTES)
     needed = F.greatest(F.lit(VOTES), F.ceil(F.col("n") * SHARE))
-    ranked = ranked.select("node", "place", "n", (F.col("rank") <= F.col("m") - needed + VOTES).alias("asks"))
+    hits = F.least(needed, F.lit(HITS))
+    ranked = ranked.select("node", "place", "n", hits.cast("int").alias("hits"), (F.col("rank") <= F.col("m") - needed + hits).alias("asks"))
     labelled = ranked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
-    tagged = labelled.join(corner, ["node", "place"]).select("node", "place", "n", "asks", "label", F.explode(_entries()).alias("e"))
-    tagged = bucketed(tagged.select("e.key", "node", "place", "n", "asks", "label"), "key")
+    tagged = labelled.join(corner, ["node", "place"]).select("node", "place", "n", "hits", "asks", "label", F.explode(_entries()).alias("e"))
+    tagged = bucketed(tagged.select("e.key", "e.rest", "node", "place", "n", "hits", "asks", "label"), "key")
     kinds = tagged.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.max_by("label", F.struct("c", "label")).alias("largest"))
     mixed = tagged.join(kinds.where("k > 1").drop("k"), "key")
-    other = tagged.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "place", "n", "asks", "label")])
+    other = tagged.select("key", *[F.col(c).alias(f"o_{c}") for c in ("rest", "node", "place", "n", "hits", "asks", "label")])
     met = mixed.where("label <> largest").join(other, "key").where("label <> o_label")
+    met = met.where(F.bit_count(F.col("rest").bitwiseXOR(F.col("o_rest"))) <= FAR)
     small = F.struct("n", "node") < F.struct(F.col("o_n"), F.col("o_node"))
     met = met.where(F.when(small, F.col("asks")).otherwise(F.col("o_asks")) & (small | (F.col("o_label") == F.col("largest"))))
     way = lambda a, b: F.when(small, F.col(a)).otherwise(F.col(b))
-    met = met.select(way("node", "o_node").alias("node"), way("o_node", "node").alias("hub"), way("place", "o_place").alias("place"))
-    pairs = staged(met.groupBy("node", "hub").agg(F.count_distinct("place").alias("places")).where(F.col("places") >= VOTES).select("node", "hub"))
+    met = met.select(way("node", "o_node").alias("node"), way("o_node", "node").alias("hub"), way("place", "o_place").alias("place"), way("hits", "o_hits").alias("hits"))
+    met = met.repartition("node", "hub").groupBy("node", "hub").agg(F.size(F.collect_set("place")).alias("places"), F.max("hits").alias("hits"))
+    pairs = staged(met.where("places >= hits").select("node", "hub"))
     there = drawn.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("places", "a", "b")])
     return pairs.join(drawn, "node").join(there, "hub").mapInArrow(_confirmed, "node long, hub long")
 

@@ -239,6 +239,50 @@ def test_media_recall_on_given_pages(spark):
     assert pairs and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def plain_classes(rows):
+    """Picture to smallest id of its class, by every pair of corners that share a table's bucket."""
+    pictures = {r.picture: r for r in rows if r.picture is not None}
+    tables = {}
+    for name, r in pictures.items():
+        for place, a, b in zip(r.places, r.a, r.b):
+            tables.setdefault((0, a), []).append((name, place, b))
+            tables.setdefault((1, b), []).append((name, place, a))
+    matches = {}
+    for members in tables.values():
+        for i, (one, p, x) in enumerate(members):
+            for two, q, y in members[i + 1 :]:
+                if one != two and ((x ^ y) & (2**64 - 1)).bit_count() <= media.FAR:
+                    low, high = ((one, p), (two, q)) if one < two else ((two, q), (one, p))
+                    matches.setdefault((low[0], high[0]), set()).add((low[1], high[1]))
+    up = {name: name for name in pictures}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (one, two), found in matches.items():
+        shift = lambda m: (m[0] // media.WIDTH - m[1] // media.WIDTH, m[0] % media.WIDTH - m[1] % media.WIDTH)
+        votes = Counter(map(shift, found))
+        kept = [m for m in found if votes[shift(m)] >= media.VOTES]
+        agreed = min(len({m[0] for m in kept}), len({m[1] for m in kept}))
+        if agreed >= media.SHARE * min(len(pictures[one].a), len(pictures[two].a)) and agreed:
+            up[root(one)] = root(two)
+    least = {}
+    for r in rows:
+        if r.picture is not None:
+            least[root(r.picture)] = min(r.id, least.get(root(r.picture), r.id))
+    return {r.id: least[root(r.picture)] for r in rows if r.picture is not None}
+
+
+def test_media_classes_are_those_of_all_pairs(spark):
+    """Whole table of sf0.1: buckets of over a hundred pictures, whose links beyond two of them have to be found too."""
+    found = media.staged(media.page_features(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")))
+    got = {r.id: r.class_id for r in media.copies(found).collect()}
+    want = plain_classes(found.collect())
+    assert len(want) > 2000 and all(got[i] == c for i, c in want.items())
+
+
 def test_media_tables_find_all_within_one_bit(spark):
     rng = random.Random(2)
     code = [rng.getrandbits(63) for _ in range(2)]
