@@ -268,6 +268,8 @@ def votes(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray,
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not len(batch):
+            continue
         lists = []
         for c in ("places", "a", "b", "hub_places", "hub_a", "hub_b"):
             column = batch[c]

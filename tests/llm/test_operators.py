@@ -283,6 +283,17 @@ def test_media_classes_are_those_of_all_pairs(spark):
     assert len(want) > 2000 and all(got[i] == c for i, c in want.items())
 
 
+def test_media_votes():
+    code = np.arange(1, 7, dtype=np.uint64) << np.uint64(40)
+    places = np.array([10, 300, 700, 1500, 2000, 2900])
+    picture = (places, code, code[::-1].copy())
+    assert media.votes(picture, (places + 3 * media.WIDTH, *picture[1:])) == 6
+    assert media.votes(picture, (places + np.array([0, 0, 64, 128, 192, 256]), *picture[1:])) == 2  # one shift has two
+    assert media.votes(picture, (places, code + np.uint64(1), picture[2])) == 6  # the other table
+    assert media.votes(picture, (places, code ^ np.uint64(2047), picture[2])) == 0  # eleven bits
+    assert media.votes(picture, tuple(x[:0] for x in picture)) == 0
+
+
 def test_media_tables_find_all_within_one_bit(spark):
     rng = random.Random(2)
     code = [rng.getrandbits(63) for _ in range(2)]
