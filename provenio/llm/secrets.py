@@ -160,26 +160,31 @@ def digest(found: DataFrame, id_col: str = "doc_id", spans: str = "spans") -> Da
     )
 
 
-def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, found in zip(texts, spans, strict=True):
-        at, parts = 0, []
-        for s in sorted(found, key=lambda x: (x["start"], -x["end"])) if text is not None else ():
-            if s["end"] <= at:
-                continue
-            if s["start"] >= at:
-                parts += [text[at : s["start"]], f"[{s['kind']} removed]"]
-            at = s["end"]
-        out.append("".join([*parts, text[at:]]) if parts else text)
-    return pd.Series(out, dtype=object)
+def cut_out(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with a note for each span, by start; spans that overlap are cut out as one, by the longest of the first start."""
+    at, parts = 0, []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], f"[{kind} removed]"]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The texts that have spans without them, null for the others."""
+    automaton = _automaton()
+    for texts in batches:
+        yield pd.Series([cut_out(t, found) if (found := scan(t, automaton)) else None for t in texts], dtype=object)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by a note of its kind; texts without one are left as they are.
 
-    Overlapping spans are cut out as one. The second function runs only on rows with spans.
+    One function finds the spans and cuts them out, and only the texts it changed come back from it: a second one would
+    give each task a second Python worker, and executors keep all workers they once had, with what these hold.
     """
-    columns, cut_out = docs.columns, F.pandas_udf(_cut_out, "string")
-    found = find_secrets(only(docs, *columns), text, "_spans")
-    cut = F.when(F.size("_spans") > 0, cut_out(F.col(f"`{text}`"), F.col("_spans"))).otherwise(F.col(f"`{text}`"))
-    return found.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    own = F.col(f"`{text}`")
+    cut = F.coalesce(F.pandas_udf(_redacted, "string")(own), own)
+    return only(docs, *docs.columns).select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

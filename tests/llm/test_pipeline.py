@@ -49,3 +49,10 @@ def test_odd_rows(spark):
 def test_repeated_rows_go(spark):
     docs = spark.createDataFrame([(i, "eins zwei drei vier fünf sechs", "de", "a", 30) for i in (2, 1, 1, None)], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long")))
     assert [r.doc_id for r in P.minhash_near_dedup(spark, docs, SF).collect()] == [1]
+
+
+def test_one_python_worker_for_each_task(spark):
+    """Two Python operators in one stage give each task two workers, which executors keep."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = P.secret_scans(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
