@@ -12,8 +12,8 @@ picture's corners are linked, so that a crop, or a copy with other surroundings,
 wherever it lies. Classes are the connected components of the links.
 
 First each bucket's members vote for its smallest and its largest picture. What that leaves
-apart is searched whole: pictures of different classes that meet in enough of the smaller
-one's rarest places are compared corner by corner, so that no link between classes is lost.
+apart is searched whole, block by block: pictures of different classes that meet in enough of the
+smaller one's rarest places are compared corner by corner, so that no link between classes is lost.
 
 The pictures of `pages` are drawn from its html: each word of a block is a dark
 rectangle as long as the word, each block begins a line, as on a small print of the page.
@@ -29,9 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ RADIUS, PATCH, TURNS, BITS = 10, 8, 16, 128
 FAR, VOTES, SHARE = 10, 2, 0.3
 #: Places that two pictures have to share among those that the smaller one asks by; it keeps back the others that have to agree.
 HITS = 3
+#: Corners of a block, about, and meetings of corners that are looked at together.
+CORNERS, MEETINGS = 1 << 18, 1 << 20
 #: Rows of pixels that are searched at a time, and of paper between the pictures that are searched together.
 STRIP, GAP = 1 << 13, 4 * PATCH
 #: Pages that are taken out of an Arrow batch at a time.
@@ -59,7 +63,7 @@ def draw(html: str | None) -> np.ndarray:
     blocks = [w for b in text.split("\0") if (w := b.split())]
     if not blocks:
         return np.zeros((0, WIDTH), np.uint8)
-    lengths = np.fromiter((len(w) for b in blocks for w in b), np.int64) // 2 + 1
+    lengths = np.fromiter(map(len, chain.from_iterable(blocks)), np.int64) // 2 + 1
     ends = np.cumsum(lengths + 1)
     last = np.cumsum([len(b) for b in blocks]) - 1
     taken = np.diff(np.concatenate([[0], ends[last]]))
@@ -78,9 +82,11 @@ def draw(html: str | None) -> np.ndarray:
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Sums over squares of 2r + 1 pixels, edges repeated."""
     for axis in (0, 1):
-        pad = [(r + 1, r) if a == axis else (0, 0) for a in (0, 1)]
-        c = np.cumsum(np.pad(x, pad, mode="edge"), axis=axis, dtype=np.float32 if x.dtype.kind == "f" else np.int32)
-        x = c[2 * r + 1 :] - c[: -2 * r - 1] if axis == 0 else c[:, 2 * r + 1 :] - c[:, : -2 * r - 1]
+        y, n = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge"), x.shape[axis]
+        take = lambda at: y[at : at + n] if axis == 0 else y[:, at : at + n]  # noqa: B023, E731
+        x = take(0) + take(1) if r else x
+        for at in range(2, 2 * r + 1):
+            x += take(at)
     return x
 
 
@@ -244,74 +250,181 @@ def _forest(met: DataFrame, size: DataFrame) -> DataFrame:
     return agreed.where(F.col("votes") >= SHARE * F.least("n", "hub_n")).select("node", "hub")
 
 
-def _meetings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with x[i] = y[j]."""
-    order = np.argsort(y, kind="stable")
-    low, high = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
-    n = high - low
-    return np.repeat(np.arange(len(x)), n), order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1 and so on, n[i] numbers for each i."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Pictures:
+    """Pictures and their two tables; ends: where the corners of each end."""
+
+    def __init__(self, node: np.ndarray, label: np.ndarray, ends: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray):
+        self.node, self.label, self.places, self.codes = node, label, places.astype(np.int64), [a, b]
+        self.n = np.diff(ends, prepend=0)
+        self.begin = ends - self.n
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        self.order = [np.argsort(code, kind="stable") for code in self.codes]
+        self.sorted = [code[order] for code, order in zip(self.codes, self.order, strict=True)]
+        self.key = [np.empty(len(code), np.int64) for code in self.codes]  # of each corner, where its key begins among the sorted ones
+        for key, order, keys in zip(self.key, self.order, self.sorted, strict=True):
+            key[order] = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], np.arange(len(keys)), 0))
+        order = np.lexsort((self.places, self.of))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(self.places[order]) != 0) | (np.diff(self.of[order]) != 0)
+        self.first = np.empty(len(order), np.int64)  # of the corners at one place, the first
+        self.first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
+
+    def met_by(self, x: "Pictures") -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each table and corner of x, where its key begins among the sorted ones here, and how many it meets."""
+        low, high = ([np.searchsorted(keys, code, side) for keys, code in zip(self.sorted, x.codes, strict=True)] for side in ("left", "right"))
+        return low, [h - l for l, h in zip(low, high, strict=True)]
+
+
+def agreeing(x: Pictures, y: Pictures, p: np.ndarray, q: np.ndarray, low: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
+    """How many places of each of two pictures, p[i] of x and q[i] of y, have a match whose shift VOTES matches have; of the two numbers the smaller."""
+    mine, yours = _ranges(x.begin[p], x.n[p]), _ranges(y.begin[q], y.n[q])
+    of, to = np.repeat(np.arange(len(p)), x.n[p]), np.repeat(np.arange(len(p)), y.n[q])
+    found = []
+    for key, rest in ((0, 1), (1, 0)):
+        some = met[key][mine] > 0
+        i, base = mine[some], len(y.places) + 1
+        theirs = to * base + y.key[key][yours]
+        order = np.argsort(theirs, kind="stable")
+        wanted = of[some] * base + low[key][i]
+        at = np.searchsorted(theirs[order], wanted)
+        n = np.searchsorted(theirs[order], wanted, "right") - at
+        c, i, j = np.repeat(of[some], n), np.repeat(i, n), yours[order[_ranges(at, n)]]
+        near = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j]) <= FAR
+        found.append(np.stack([c[near], x.first[i[near]], y.first[j[near]]]))
+    c, i, j = np.concatenate(found, axis=1)
+    local = lambda z, k, of: z - of.begin[k]
+    wide = int(y.n.max(initial=0)) + 1
+    code = np.unique((c * (int(x.n.max(initial=0)) + 1) + local(i, p[c], x)) * wide + local(j, q[c], y))
+    high, j = code // wide, code % wide
+    c, i = high // (int(x.n.max(initial=0)) + 1), high % (int(x.n.max(initial=0)) + 1)
+    i, j = i + x.begin[p[c]], j + y.begin[q[c]]
+    one, two = x.places[i], y.places[j]
+    shift = (one // WIDTH - two // WIDTH) * 2 * WIDTH + one % WIDTH - two % WIDTH
+    order = np.lexsort((shift, c))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(shift[order]) != 0) | (np.diff(c[order]) != 0)
+    group = np.cumsum(new) - 1
+    keep = order[np.bincount(group)[group] >= VOTES] if len(order) else order
+    c, i, j = c[keep], i[keep], j[keep]
+    count = lambda z, n: np.bincount(np.unique(c * n + z) // n, minlength=len(p))
+    return np.minimum(count(i, len(x.places) + 1), count(j, len(y.places) + 1))
 
 
 def votes(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
-    """How many places of each of two pictures (places, a, b) have a match whose shift VOTES matches have; of the two numbers the smaller."""
-    found = []
-    for key, rest in ((1, 2), (2, 1)):
-        i, j = _meetings(one[key], two[key])
-        near = np.bitwise_count(one[rest][i] ^ two[rest][j]) <= FAR
-        found.append(np.stack([one[0][i[near]], two[0][j[near]]], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0).astype(np.int64)
-    shift = (pairs[:, 0] // WIDTH - pairs[:, 1] // WIDTH) * 2 * WIDTH + pairs[:, 0] % WIDTH - pairs[:, 1] % WIDTH
-    _, of, n = np.unique(shift, return_inverse=True, return_counts=True)
-    pairs = pairs[n[of] >= VOTES]
-    return min(len(np.unique(pairs[:, 0])), len(np.unique(pairs[:, 1])))
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        lists = []
-        for c in ("places", "a", "b", "hub_places", "hub_a", "hub_b"):
-            column = batch[c]
-            kind = np.int64 if "places" in c else np.uint64
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(kind), column.offsets.to_numpy() - column.offsets[0].as_py()
-            lists.append([flat[x:y] for x, y in zip(ends, ends[1:])])
-        keep = [votes((p, a, b), (q, c, d)) >= SHARE * min(len(a), len(c)) for p, a, b, q, c, d in zip(*lists)]
-        yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
+    """agreeing of two pictures (places, a, b)."""
+    zero = np.zeros(1, np.int64)
+    x, y = (Pictures(zero, zero, np.array([len(places)]), places, a, b) for places, a, b in (one, two))
+    return int(agreeing(x, y, zero, zero, *y.met_by(x))[0])
+
+
+BLOCK = "block long, node binary, label binary, ends binary, places binary, a binary, b binary"
 
 
-def _rest(met: DataFrame, drawn: DataFrame, size: DataFrame, label: DataFrame) -> DataFrame:
-    """Links (node, hub) between pictures with different labels.
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (node, label, places, a, b) of a task as one row of bytes, named by its smallest node."""
+    held = [batch for batch in batches if len(batch)]
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        flat = lambda c, kind: rows[c].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(kind)
+        ends = np.cumsum(pc.list_value_length(rows["places"]).to_numpy())
+        columns = [rows["node"].to_numpy(), rows["label"].to_numpy(), ends.astype(np.int64), flat("places", np.int32), flat("a", np.int64), flat("b", np.int64)]
+        cells = [pa.array([int(columns[0].min())]), *[pa.array([x.tobytes()], pa.binary()) for x in columns]]
+        yield pa.RecordBatch.from_arrays(cells, ["block", "node", "label", "ends", "places", "a", "b"])
+
+
+def _asked(x: Pictures, y: Pictures, low: list[np.ndarray], met: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (number in x, number in y), some pictures of x at a time, that may be linked: of other labels, x's the smaller one.
 
     Of two linked pictures the smaller has SHARE of its corners, and VOTES of them at least, in buckets of the other: what
-    shares fewer cannot be linked. So of the t places that have to agree, a picture keeps back t - HITS, those whose buckets have the
-    most corners, asks by all others, and what it matches in HITS of them is compared corner by corner. Within a bucket those
-    outside its largest class meet the others; members of one class never meet.
+    shares fewer cannot be linked. So of the t places that have to agree, a picture keeps back t - HITS, those that meet the
+    most corners, asks by all others, and what it meets in HITS of them may be linked.
     """
-    shared = met.select("node", "place", "size").repartition("node").groupBy("node", "place").agg(F.sum("size").alias("weight"))
-    of = Window.partitionBy("node")
-    ranked = shared.withColumn("rank", F.row_number().over(of.orderBy("weight", "place"))).withColumn("m", F.count("*").over(of))
-    ranked = ranked.join(size, "node").where(F.col("n") >= VOTES)
-    needed = F.greatest(F.lit(VOTES), F.ceil(F.col("n") * SHARE))
-    hits = F.least(needed, F.lit(HITS))
-    ranked = ranked.select("node", "place", "n", hits.cast("int").alias("hits"), (F.col("rank") <= F.col("m") - needed + hits).alias("asks"))
-    labelled = ranked.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
-    tagged = labelled.join(corner, ["node", "place"]).select("node", "place", "n", "hits", "asks", "label", F.explode(_entries()).alias("e"))
-    tagged = bucketed(tagged.select("e.key", "e.rest", "node", "place", "n", "hits", "asks", "label"), "key")
-    kinds = tagged.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.max_by("label", F.struct("c", "label")).alias("largest"))
-    mixed = tagged.join(kinds.where("k > 1").drop("k"), "key")
-    other = tagged.select("key", *[F.col(c).alias(f"o_{c}") for c in ("rest", "node", "place", "n", "hits", "asks", "label")])
-    met = mixed.where("label <> largest").join(other, "key").where("label <> o_label")
-    met = met.where(F.bit_count(F.col("rest").bitwiseXOR(F.col("o_rest"))) <= FAR)
-    small = F.struct("n", "node") < F.struct(F.col("o_n"), F.col("o_node"))
-    met = met.where(F.when(small, F.col("asks")).otherwise(F.col("o_asks")) & (small | (F.col("o_label") == F.col("largest"))))
-    way = lambda a, b: F.when(small, F.col(a)).otherwise(F.col(b))
-    met = met.select(way("node", "o_node").alias("node"), way("o_node", "node").alias("hub"), way("place", "o_place").alias("place"), way("hits", "o_hits").alias("hits"))
-    met = met.repartition("node", "hub").groupBy("node", "hub").agg(F.size(F.collect_set("place")).alias("places"), F.max("hits").alias("hits"))
-    pairs = staged(met.where("places >= hits").select("node", "hub"))
-    there = drawn.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("places", "a", "b")])
-    return pairs.join(drawn, "node").join(there, "hub").mapInArrow(_confirmed, "node long, hub long")
+    weight = met[0] + met[1] - 2 * (x is y)  # a corner meets itself
+    order = np.flatnonzero(weight > 0)
+    order = order[np.lexsort((weight[order], x.of[order]))]
+    m = np.bincount(x.of[order], minlength=len(x.n))
+    rank = np.arange(len(order)) - (np.cumsum(m) - m)[x.of[order]]
+    needed = np.maximum(VOTES, np.ceil(x.n * SHARE)).astype(np.int64)
+    hits = np.minimum(needed, HITS)
+    asks = np.sort(order[(rank < (m - needed + hits)[x.of[order]]) & (m >= needed)[x.of[order]]])
+    cost = np.cumsum(np.bincount(x.of[asks], (met[0] + met[1])[asks], len(x.n)))
+    begin = 0
+    while begin < len(x.n):
+        end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + MEETINGS, "right")))
+        part, found = asks[slice(*np.searchsorted(x.of[asks], (begin, end)))], []
+        for key, rest in ((0, 1), (1, 0)):
+            n = met[key][part]
+            i, j = np.repeat(part, n), y.order[key][_ranges(low[key][part], n)]
+            p, q = x.of[i], y.of[j]
+            smaller = (x.n[p] < y.n[q]) | ((x.n[p] == y.n[q]) & (x.node[p] < y.node[q]))
+            differ = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j])
+            keep = smaller & (x.label[p] != y.label[q]) & (differ <= FAR) & (differ >= key)  # equal ones meet in both tables
+            found.append(p[keep] * len(y.n) + q[keep])
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        pairs = pairs[n >= hits[pairs // len(y.n)]]
+        yield pairs // len(y.n), pairs % len(y.n)
+        begin = end
+
+
+def _links(x: Pictures, y: Pictures) -> list[tuple[int, int]]:
+    """Links between labels of pictures of x and of y; what a link has joined is not compared again."""
+    root: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    for one, two in ((x, y),) if x is y else ((x, y), (y, x)):
+        low, met = two.met_by(one)
+        for p, q in _asked(one, two, low, met):
+            corners = np.cumsum(one.n[p] + two.n[q])
+            for own, other in zip(*(np.split(z, np.searchsorted(corners, np.arange(MEETINGS, corners[-1], MEETINGS))) for z in (p, q)), strict=True) if len(p) else ():
+                apart = np.fromiter((find(u) != find(v) for u, v in zip(one.label[own].tolist(), two.label[other].tolist(), strict=True)), bool, len(own))
+                own, other = own[apart], other[apart]
+                near = agreeing(one, two, own, other, low, met) >= SHARE * one.n[own]
+                for u, v in zip(one.label[own[near]].tolist(), two.label[other[near]].tolist(), strict=True):
+                    if (i := find(u)) != (j := find(v)):
+                        root[i] = j
+                        links.append((u, v))
+    return links
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (node, hub) from pairs of blocks."""
+    kinds = {"node": np.int64, "label": np.int64, "ends": np.int64, "places": np.int32, "a": np.uint64, "b": np.uint64}
+    for batch in batches:
+        for row in batch.to_pylist():
+            opened = lambda prefix: Pictures(*[np.frombuffer(row[prefix + c], kind) for c, kind in kinds.items()])  # noqa: B023, E731
+            x = opened("")
+            links = _links(x, x if row["block"] == row["o_block"] else opened("o_"))
+            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], ["node", "hub"])
+
+
+def _rest(drawn: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (node, hub), by their labels, between pictures with different labels, written once.
+
+    Blocks of about CORNERS corners, written once, meet each other two at a time, where each picture's corners are at
+    hand; so neither matches nor pairs are shuffled. Members of one class never meet.
+    """
+    spark, size = drawn.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    named = drawn.where(F.size("places") >= VOTES).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    corners = drawn.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
+    blocks = staged(named.select("node", "label", "places", "a", "b").repartition(-(-corners // CORNERS) or 1).mapInArrow(_block, BLOCK))
+    other = blocks.select(*[F.col(c).alias(f"o_{c}") for c in blocks.columns])
+    was = spark.conf.get(size)
+    spark.conf.set(size, "1")  # two blocks at a time
+    try:
+        return staged(blocks.hint("shuffle_replicate_nl").join(other, F.col("block") <= F.col("o_block")).mapInArrow(_linked, "node long, hub long"))
+    finally:
+        spark.conf.set(size, was)
 
 
 def copies(features: DataFrame) -> DataFrame:
@@ -323,7 +436,7 @@ def copies(features: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
     met, size = entries.join(shared, "key"), drawn.select("node", F.size("places").alias("n"))
     links = staged(_forest(met, size))
-    links = links.unionByName(staged(_rest(met, drawn, size, components(links))))
+    links = links.unionByName(_rest(drawn, components(links)))
     label = components(links)
     placed = features.select("id", F.col("picture").alias("node"), F.size("places").alias("n_corners")).join(label, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))

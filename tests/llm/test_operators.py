@@ -283,6 +283,19 @@ def test_media_classes_are_those_of_all_pairs(spark):
     assert len(want) > 2000 and all(got[i] == c for i, c in want.items())
 
 
+def test_media_blocks_lose_no_link(spark, monkeypatch):
+    """Many small blocks and steps; the pairs of blocks are dealt out without an exchange of matches or pairs."""
+    found = media.staged(media.page_features(spark.read.parquet(f"{SF}/pages.parquet")))
+    want = plain_classes(found.collect())
+    plans, write = [], media.staged
+    monkeypatch.setattr(media, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(media, "CORNERS", 500)
+    monkeypatch.setattr(media, "MEETINGS", 300)
+    got = {r.id: r.class_id for r in media.copies(found).collect()}
+    assert len(set(want.values())) < len(want) and all(got[i] == c for i, c in want.items())
+    assert sum("CartesianProduct" in p and "hashpartitioning(node" not in p for p in plans) == 1
+
+
 def test_media_votes():
     code = np.arange(1, 7, dtype=np.uint64) << np.uint64(40)
     places = np.array([10, 300, 700, 1500, 2000, 2900])
