@@ -372,9 +372,8 @@ def _asked(x: Pictures, y: Pictures, low: list[np.ndarray], met: list[np.ndarray
 
 
 def _links(x: Pictures, y: Pictures) -> list[tuple[int, int]]:
-    """Links between labels of pictures of x and of y; what a link has joined is not compared again."""
+    """Links of labels of pictures of x and of y, each to the smallest that it is joined with; what is joined is not compared again."""
     root: dict[int, int] = {}
-    links: list[tuple[int, int]] = []
 
     def find(i: int) -> int:
         while root.get(i, i) != i:
@@ -391,10 +390,10 @@ def _links(x: Pictures, y: Pictures) -> list[tuple[int, int]]:
                 own, other = own[apart], other[apart]
                 near = agreeing(one, two, own, other, low, met) >= SHARE * one.n[own]
                 for u, v in zip(one.label[own[near]].tolist(), two.label[other[near]].tolist(), strict=True):
-                    if (i := find(u)) != (j := find(v)):
-                        root[i] = j
-                        links.append((u, v))
-    return links
+                    i, j = find(u), find(v)
+                    if i != j:
+                        root[max(i, j)] = min(i, j)
+    return [(i, find(i)) for i in list(root)]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,9 +431,9 @@ def copies(features: DataFrame) -> DataFrame:
     features = bucketed(features, "picture")
     drawn = features.where("picture is not null").select(F.col("picture").alias("node"), "places", "a", "b").dropDuplicates(["node"])
     corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
-    entries = bucketed(corner.select("node", "place", F.explode(_entries()).alias("e")).select("e.key", "node", "place", "e.rest"), "key")
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
-    met, size = entries.join(shared, "key"), drawn.select("node", F.size("places").alias("n"))
+    entries = corner.select("node", "place", F.explode(_entries()).alias("e")).select("e.key", "node", "place", "e.rest")
+    of = Window.partitionBy("key")  # one exchange for the buckets' ends, members and hubs
+    met, size = entries.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).where("low < high"), drawn.select("node", F.size("places").alias("n"))
     links = staged(_forest(met, size))
     links = links.unionByName(_rest(drawn, components(links)))
     label = components(links)
