@@ -11,9 +11,9 @@ an edit may have different ones. Pictures whose agreeing places reach SHARE of t
 picture's corners are linked, so that a crop, or a copy with other surroundings, is found
 wherever it lies. Classes are the connected components of the links.
 
-First each bucket's members vote for its smallest and its largest picture. What that leaves
-apart is searched whole, block by block: pictures of different classes that meet in enough of the
-smaller one's rarest places are compared corner by corner, so that no link between classes is lost.
+Pictures are searched whole, block by block, first those of one block, then those of any two:
+pictures of different classes that meet in enough of the smaller one's rarest places are compared
+corner by corner, so that no link between classes is lost, and what is joined is not compared again.
 
 The pictures of `pages` are drawn from its html: each word of a block is a dark
 rectangle as long as the word, each block begins a line, as on a small print of the page.
@@ -34,7 +34,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenio.llm.common import bucketed, only, staged
@@ -47,8 +47,10 @@ FAR, VOTES, SHARE = 10, 2, 0.3
 HITS = 3
 #: Corners of a block, about, and meetings of corners that are looked at together.
 CORNERS, MEETINGS = 1 << 18, 1 << 20
-#: Rows of pixels that are searched at a time, and of paper between the pictures that are searched together.
-STRIP, GAP = 1 << 13, 4 * PATCH
+#: Blocks that a task keeps opened.
+OPENED = 3
+#: Rows of pixels that are searched at a time, of the pictures that are searched together, and of paper between these.
+STRIP, SHEET, GAP = 1 << 13, 1 << 11, 4 * PATCH
 #: Pages that are taken out of an Arrow batch at a time.
 PAGES = 256
 
@@ -63,60 +65,71 @@ def draw(html: str | None) -> np.ndarray:
     blocks = [w for b in text.split("\0") if (w := b.split())]
     if not blocks:
         return np.zeros((0, WIDTH), np.uint8)
-    lengths = np.fromiter(map(len, chain.from_iterable(blocks)), np.int64) // 2 + 1
+    words = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    lengths = np.fromiter(map(len, chain.from_iterable(blocks)), np.int64, int(words.sum())) // 2 + 1
     ends = np.cumsum(lengths + 1)
-    last = np.cumsum([len(b) for b in blocks]) - 1
-    taken = np.diff(np.concatenate([[0], ends[last]]))
+    last = np.cumsum(words) - 1
+    taken = np.diff(ends[last], prepend=0)
     lines = -(-taken // WIDTH)  # a block begins a line
     shift = (np.cumsum(lines) - lines) * WIDTH - (ends[last] - taken)
-    begin = ends - lengths - 1 + np.repeat(shift, [len(b) for b in blocks])
-    ink = np.zeros(int(lines.sum()) * WIDTH + 1, np.int16)
-    np.add.at(ink, begin, 1)
-    np.add.at(ink, begin + lengths, -1)
-    ink = np.cumsum(ink[:-1]).reshape(-1, WIDTH)
+    begin = ends - lengths - 1 + np.repeat(shift, words)
+    ink = np.zeros(int(lines.sum()) * WIDTH + 1, np.int8)
+    ink[begin] += 1  # no two words begin, or end, at one pixel
+    ink[begin + lengths] -= 1
+    ink = np.cumsum(ink[:-1], dtype=np.int8).reshape(-1, WIDTH)
     picture = np.full((len(ink), LINE, WIDTH), 255, np.uint8)
-    picture[:, : LINE // 2] = (255 - 200 * ink)[:, None]
+    picture[:, : LINE // 2] = np.where(ink, 55, 255)[:, None]
     return picture.reshape(-1, WIDTH)
 
 
-def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of 2r + 1 pixels, edges repeated."""
-    for axis in (0, 1):
-        y, n = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge"), x.shape[axis]
-        take = lambda at: y[at : at + n] if axis == 0 else y[:, at : at + n]  # noqa: B023, E731
-        x = take(0) + take(1) if r else x
-        for at in range(2, 2 * r + 1):
-            x += take(at)
-    return x
+def _framed(x: np.ndarray, r: int, fill: float | None = None) -> np.ndarray:
+    """x with r more entries at each end of both axes: its outermost ones again, or fill."""
+    n, m = x.shape
+    y = np.empty((n + 2 * r, m + 2 * r), x.dtype)
+    y[r : r + n, r : r + m] = x
+    for end, edge in ((slice(0, r), slice(r, r + 1)), (slice(r + m, None), slice(r + m - 1, r + m))):
+        y[:, end] = y[:, edge] if fill is None else fill
+    for end, edge in ((slice(0, r), slice(r, r + 1)), (slice(r + n, None), slice(r + n - 1, r + n))):
+        y[end] = y[edge] if fill is None else fill
+    return y
+
+
+def _box(x: np.ndarray) -> np.ndarray:
+    """Sums over squares of five pixels, edges repeated."""
+    y = _framed(x, 2)
+    two = y[:-1] + y[1:]
+    y = two[:-3] + two[2:-1] + y[4:]
+    two = y[:, :-1] + y[:, 1:]
+    return two[:, :-3] + two[:, 2:-1] + y[:, 4:]
 
 
 def _highest(x: np.ndarray, r: int) -> np.ndarray:
     """Maxima over squares of 2r + 1 pixels."""
+    y = _framed(x, r, -np.inf)
     for axis in (0, 1):
-        pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
-        y, have, want = np.pad(x, pad, constant_values=-np.inf), 1, 2 * r + 1
+        have, want = 1, 2 * r + 1
         take = lambda z, a, b: z[a:b] if axis == 0 else z[:, a:b]  # noqa: B023, E731
         while have < want:
             step = min(have, want - have)
             n = y.shape[axis] - step
             y, have = np.maximum(take(y, 0, n), take(y, step, n + step)), have + step
-        x = y
-    return x
+    return y
 
 
 def corners(picture: np.ndarray) -> np.ndarray:
     """Rows and columns of the corners of one scale."""
     if min(picture.shape) < 2 * PATCH + 3:
         return np.zeros((0, 2), np.int64)
-    x = picture.astype(np.int32)
+    x = np.ascontiguousarray(picture.T, np.float32)  # the long axis last, which is faster; sums stay below 2**24, so they are exact
     gy, gx = np.zeros_like(x), np.zeros_like(x)
-    gy[1:-1], gx[:, 1:-1] = x[2:] - x[:-2], x[:, 2:] - x[:, :-2]
-    a, b, c = (_box(p, 2).astype(np.float32) for p in (gx * gx, gy * gy, gx * gy))
+    np.subtract(x[2:], x[:-2], out=gx[1:-1])
+    np.subtract(x[:, 2:], x[:, :-2], out=gy[:, 1:-1])
+    a, b, c = (_box(p) for p in (gx * gx, gy * gy, gx * gy))
     response = a * b - c * c - 0.05 * (a + b) ** 2
     high = (response == _highest(response, RADIUS)) & (response > 1e6)
-    high[:PATCH] = high[-PATCH:] = False
-    high[:, :PATCH] = high[:, -PATCH:] = False
-    return _apart(np.argwhere(high))
+    col, row = np.nonzero(high[PATCH:-PATCH, PATCH:-PATCH])
+    order = np.lexsort((col, row))
+    return _apart(np.column_stack([row[order], col[order]]) + PATCH)
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -146,13 +159,13 @@ def describe(picture: np.ndarray, at: np.ndarray, tests: np.ndarray) -> np.ndarr
     """Descriptors as rows of two 64-bit numbers."""
     if not len(at):
         return np.zeros((0, 2), np.int64)
-    smooth = _box(picture.astype(np.int32), 2)
-    span = np.arange(-6, 7)
-    patch = smooth[(at[:, 0, None] + span)[:, :, None], (at[:, 1, None] + span)[:, None, :]]
-    angle = np.arctan2((patch * span[:, None]).sum((1, 2)), (patch * span[None, :]).sum((1, 2)))
+    n, smooth = len(picture), _box(np.ascontiguousarray(picture.T, np.int16)).ravel()  # column by column
+    row, col, span = at[:, 0, None], at[:, 1, None], np.arange(-6, 7)
+    patch = smooth[((col + span) * n)[:, None, :] + (row + span)[:, :, None]]
+    angle = np.arctan2(patch.sum(2) @ span, patch.sum(1) @ span)
     turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-    t = tests[turn]
-    bits = smooth[at[:, 0, None] + t[:, :, 0], at[:, 1, None] + t[:, :, 1]] < smooth[at[:, 0, None] + t[:, :, 2], at[:, 1, None] + t[:, :, 3]]
+    t, own = tests[turn], col * n + row
+    bits = smooth[own + t[:, :, 1] * n + t[:, :, 0]] < smooth[own + t[:, :, 3] * n + t[:, :, 2]]
     return np.packbits(bits, axis=1).view(np.int64).reshape(len(at), 2)
 
 
@@ -183,7 +196,7 @@ def features_of(pictures: list[np.ndarray], tests: np.ndarray) -> list[tuple[np.
     begin = 0
     while begin < len(pictures):
         end, rows, sheets, tops = begin, GAP, [paper], []
-        while end < len(pictures) and (end == begin or rows + len(pictures[end]) + GAP <= STRIP):
+        while end < len(pictures) and (end == begin or rows + len(pictures[end]) + GAP <= SHEET):
             tops.append(rows)
             sheets += [pictures[end], paper]
             rows += len(pictures[end]) + GAP
@@ -226,30 +239,11 @@ def page_features(pages: DataFrame, id_col: str = "page_id", html: str = "html")
 
 
 def _entries() -> Column:
-    """A corner's entries in the two tables: the half of its descriptor that is the key, marked with the table, and the rest."""
+    """A corner's entries in the two tables, as rows: the half of its descriptor that is the key, marked with the table, and the rest."""
     a, b = F.col("a"), F.col("b")
     return F.array(F.struct(a.alias("key"), b.alias("rest")), F.struct(b.bitwiseXOR(F.lit(0x5DEECE66D)).alias("key"), a.alias("rest")))
 
 
-def _forest(met: DataFrame, size: DataFrame) -> DataFrame:
-    """Links (node, hub) from the votes of each bucket's members for its smallest and its largest picture."""
-    hub = lambda c: F.col(c).alias(f"hub_{c}")
-    hubs = met.where("node = low or node = high").select("key", hub("node"), hub("place"), hub("rest"), (F.col("node") == F.col("low")).alias("is_low"))
-    both = met.join(hubs, "key").where((F.col("node") != F.col("hub_node")) & (F.col("is_low") | (F.col("node") != F.col("low"))))
-    both = both.where(F.bit_count(F.col("rest").bitwiseXOR(F.col("hub_rest"))) <= FAR)
-    turned = F.col("node") > F.col("hub_node")
-    at = lambda c, way: F.when(way, F.col(f"hub_{c}")).otherwise(F.col(c))
-    both = both.select(at("node", turned).alias("node"), at("node", ~turned).alias("hub"), at("place", turned).alias("place"), at("place", ~turned).alias("to"))
-    line, column = (lambda c: F.floor(F.col(c) / WIDTH).cast("int")), (lambda c: F.pmod(F.col(c), F.lit(WIDTH)))
-    votes = both.repartition("node", "hub").withColumns({"dy": line("place") - line("to"), "dx": column("place") - column("to")})
-    agreed = votes.groupBy("node", "hub", "dy", "dx").agg(F.collect_set("place").alias("places"), F.collect_set("to").alias("tos"))
-    agreed = agreed.where(F.size("places") >= VOTES).groupBy("node", "hub")  # what stands after an edit has a shift of its own
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    agreed = agreed.agg(F.least(count("places"), count("tos")).alias("votes"))
-    agreed = agreed.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    return agreed.where(F.col("votes") >= SHARE * F.least("n", "hub_n")).select("node", "hub")
-
-
 def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     """low[i], low[i] + 1 and so on, n[i] numbers for each i."""
     return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -263,37 +257,59 @@ class Pictures:
         self.n = np.diff(ends, prepend=0)
         self.begin = ends - self.n
         self.of = np.repeat(np.arange(len(self.n)), self.n)
-        self.order = [np.argsort(code, kind="stable") for code in self.codes]
-        self.sorted = [code[order] for code, order in zip(self.codes, self.order, strict=True)]
-        self.key = [np.empty(len(code), np.int64) for code in self.codes]  # of each corner, where its key begins among the sorted ones
-        for key, order, keys in zip(self.key, self.order, self.sorted, strict=True):
-            key[order] = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], np.arange(len(keys)), 0))
+        self.order, self.keys, self.bucket, self.low, self.size = [], [], [], [], []
+        for code in self.codes:
+            order = np.argsort(code, kind="stable")
+            keys, bucket = code[order], np.empty(len(code), np.int64)
+            new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            low = np.flatnonzero(new)
+            bucket[order] = np.cumsum(new) - 1
+            self.order.append(order)
+            self.keys.append(keys[low])
+            self.bucket.append(bucket)  # of each corner
+            self.low.append(np.append(low, 0))  # of each bucket, where it begins among the sorted corners; the last one is empty
+            self.size.append(np.append(np.diff(low, append=len(keys)), 0))
         order = np.lexsort((self.places, self.of))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(self.places[order]) != 0) | (np.diff(self.of[order]) != 0)
         self.first = np.empty(len(order), np.int64)  # of the corners at one place, the first
         self.first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
 
-    def met_by(self, x: "Pictures") -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each table and corner of x, where its key begins among the sorted ones here, and how many it meets."""
-        low, high = ([np.searchsorted(keys, code, side) for keys, code in zip(self.sorted, x.codes, strict=True)] for side in ("left", "right"))
-        return low, [h - l for l, h in zip(low, high, strict=True)]
+    def met_by(self, x: "Pictures") -> list[np.ndarray]:
+        """For each table and corner of x, the bucket that it meets here; -1, which stands for the empty one, if it meets none."""
+        met = []
+        for keys, others, bucket in zip(self.keys, x.keys, x.bucket, strict=True):
+            at = np.searchsorted(keys, others)
+            met.append(np.where(np.searchsorted(keys, others, "right") > at, at, -1)[bucket])
+        return met
+
+    def alone(self, key: int, label: np.ndarray) -> np.ndarray:
+        """For each bucket of a table, the label that all its corners have, -1 if they have several."""
+        own, low = label[self.of[self.order[key]]], self.low[key][:-1]
+        least = np.minimum.reduceat(own, low)
+        return np.append(np.where(least == np.maximum.reduceat(own, low), least, -1), -1)
 
 
-def agreeing(x: Pictures, y: Pictures, p: np.ndarray, q: np.ndarray, low: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
+def agreeing(x: Pictures, y: Pictures, p: np.ndarray, q: np.ndarray, met: list[np.ndarray]) -> np.ndarray:
     """How many places of each of two pictures, p[i] of x and q[i] of y, have a match whose shift VOTES matches have; of the two numbers the smaller."""
     mine, yours = _ranges(x.begin[p], x.n[p]), _ranges(y.begin[q], y.n[q])
     of, to = np.repeat(np.arange(len(p)), x.n[p]), np.repeat(np.arange(len(p)), y.n[q])
     found = []
     for key, rest in ((0, 1), (1, 0)):
-        some = met[key][mine] > 0
-        i, base = mine[some], len(y.places) + 1
-        theirs = to * base + y.key[key][yours]
-        order = np.argsort(theirs, kind="stable")
-        wanted = of[some] * base + low[key][i]
-        at = np.searchsorted(theirs[order], wanted)
-        n = np.searchsorted(theirs[order], wanted, "right") - at
-        c, i, j = np.repeat(of[some], n), np.repeat(i, n), yours[order[_ranges(at, n)]]
+        bucket, theirs, base = met[key][mine], y.bucket[key][yours], len(y.low[key])
+        asked = np.zeros(base, bool)
+        asked[bucket] = True
+        asked[-1] = False
+        some, kept = asked[bucket], asked[theirs]
+        held = to[kept] * base + theirs[kept]
+        order = np.argsort(held, kind="stable")
+        held, j = held[order], yours[kept][order]
+        begins = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+        wanted = of[some] * base + bucket[some]
+        at = np.searchsorted(held[begins], wanted)
+        n = np.append(np.diff(begins, append=len(held)), 0)[at]
+        n[np.append(held[begins], -1)[at] != wanted] = 0
+        c, i, j = np.repeat(of[some], n), np.repeat(mine[some], n), j[_ranges(np.append(begins, 0)[at], n)]
         near = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j]) <= FAR
         found.append(np.stack([c[near], x.first[i[near]], y.first[j[near]]]))
     c, i, j = np.concatenate(found, axis=1)
@@ -319,32 +335,59 @@ def votes(one: tuple[np.ndarray, np.ndarray, np.ndarray], two: tuple[np.ndarray,
     """agreeing of two pictures (places, a, b)."""
     zero = np.zeros(1, np.int64)
     x, y = (Pictures(zero, zero, np.array([len(places)]), places, a, b) for places, a, b in (one, two))
-    return int(agreeing(x, y, zero, zero, *y.met_by(x))[0])
+    return int(agreeing(x, y, zero, zero, y.met_by(x))[0])
 
 
-BLOCK = "block long, node binary, label binary, ends binary, places binary, a binary, b binary"
+KINDS = {"node": np.int64, "label": np.int64, "ends": np.int64, "places": np.int32, "a": np.uint64, "b": np.uint64}
+BLOCK = "block long, " + ", ".join(f"{c} binary" for c in KINDS)
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (node, label, places, a, b) of a task as one row of bytes, named by its smallest node."""
-    held = [batch for batch in batches if len(batch)]
+    """The rows (node, places, a, b) of a task as rows of bytes, each a block of 2 * CORNERS corners at most, or of one picture, named by its smallest node.
+
+    A picture's label is the smallest node that the block's own links join it with.
+    """
+    held: list[pa.RecordBatch] = []
+    seen = 0
+    for batch in batches:
+        n = pc.list_value_length(batch["places"]).to_numpy(zero_copy_only=False)
+        begin = 0
+        while begin < len(batch):
+            end = begin + int(np.searchsorted(np.cumsum(n[begin:]), 2 * CORNERS - seen, "right"))
+            if end == begin and held:
+                yield _whole(held)
+                held, seen = [], 0
+                continue
+            end = max(end, begin + 1)
+            held.append(batch.slice(begin, end - begin))
+            seen, begin = seen + int(n[begin:end].sum()), end
     if held:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        flat = lambda c, kind: rows[c].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(kind)
-        ends = np.cumsum(pc.list_value_length(rows["places"]).to_numpy())
-        columns = [rows["node"].to_numpy(), rows["label"].to_numpy(), ends.astype(np.int64), flat("places", np.int32), flat("a", np.int64), flat("b", np.int64)]
-        cells = [pa.array([int(columns[0].min())]), *[pa.array([x.tobytes()], pa.binary()) for x in columns]]
-        yield pa.RecordBatch.from_arrays(cells, ["block", "node", "label", "ends", "places", "a", "b"])
+        yield _whole(held)
+
+
+def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    flat = lambda c, kind: rows[c].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(kind)
+    node, ends = rows["node"].to_numpy(), np.cumsum(pc.list_value_length(rows["places"]).to_numpy()).astype(np.int64)
+    corners = [flat("places", np.int32), *(flat(c, np.int64).view(np.uint64) for c in ("a", "b"))]
+    x = Pictures(node, node, ends, *corners)
+    label, (joined, to) = node.copy(), _links(x, x)
+    order = np.argsort(node)
+    label[order[np.searchsorted(node, joined, sorter=order)]] = to
+    cells = [pa.array([int(node.min())]), *[pa.array([z.tobytes()], pa.binary()) for z in (node, label, ends, *corners)]]
+    return pa.RecordBatch.from_arrays(cells, ["block", *KINDS])
 
 
-def _asked(x: Pictures, y: Pictures, low: list[np.ndarray], met: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _asked(x: Pictures, y: Pictures, met: list[np.ndarray], mine: np.ndarray, yours: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (number in x, number in y), some pictures of x at a time, that may be linked: of other labels, x's the smaller one.
 
     Of two linked pictures the smaller has SHARE of its corners, and VOTES of them at least, in buckets of the other: what
     shares fewer cannot be linked. So of the t places that have to agree, a picture keeps back t - HITS, those that meet the
-    most corners, asks by all others, and what it meets in HITS of them may be linked.
+    most corners, asks by all others, and what it meets in HITS of them may be linked. The labels, mine and yours, may be joined
+    between two steps; buckets whose corners all have the asking picture's label are not opened.
     """
-    weight = met[0] + met[1] - 2 * (x is y)  # a corner meets itself
+    meets = [size[bucket] for size, bucket in zip(y.size, met, strict=True)]
+    weight = meets[0] + meets[1] - 2 * (x is y)  # a corner meets itself
     order = np.flatnonzero(weight > 0)
     order = order[np.lexsort((weight[order], x.of[order]))]
     m = np.bincount(x.of[order], minlength=len(x.n))
@@ -352,71 +395,93 @@ def _asked(x: Pictures, y: Pictures, low: list[np.ndarray], met: list[np.ndarray
     needed = np.maximum(VOTES, np.ceil(x.n * SHARE)).astype(np.int64)
     hits = np.minimum(needed, HITS)
     asks = np.sort(order[(rank < (m - needed + hits)[x.of[order]]) & (m >= needed)[x.of[order]]])
-    cost = np.cumsum(np.bincount(x.of[asks], (met[0] + met[1])[asks], len(x.n)))
-    begin = 0
-    while begin < len(x.n):
-        end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + MEETINGS, "right")))
-        part, found = asks[slice(*np.searchsorted(x.of[asks], (begin, end)))], []
+    while len(asks):
+        of = x.of[asks]
+        opened = [np.where(y.alone(k, yours)[met[k][asks]] == mine[of], 0, meets[k][asks]) for k in (0, 1)]
+        end = int(np.searchsorted(np.cumsum(opened[0] + opened[1]), MEETINGS, "right"))
+        if end < len(asks):  # whole pictures, one at least
+            end = int(np.searchsorted(of, of[end])) or int(np.searchsorted(of, of[0], "right"))
+        part, found = asks[:end], []
         for key, rest in ((0, 1), (1, 0)):
-            n = met[key][part]
-            i, j = np.repeat(part, n), y.order[key][_ranges(low[key][part], n)]
+            n = opened[key][:end]
+            i, j = np.repeat(part, n), y.order[key][_ranges(y.low[key][met[key][part]], n)]
             p, q = x.of[i], y.of[j]
             smaller = (x.n[p] < y.n[q]) | ((x.n[p] == y.n[q]) & (x.node[p] < y.node[q]))
             differ = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j])
-            keep = smaller & (x.label[p] != y.label[q]) & (differ <= FAR) & (differ >= key)  # equal ones meet in both tables
+            keep = smaller & (mine[p] != yours[q]) & (differ <= FAR) & (differ >= key)  # equal ones meet in both tables
             found.append(p[keep] * len(y.n) + q[keep])
         pairs, n = np.unique(np.concatenate(found), return_counts=True)
         pairs = pairs[n >= hits[pairs // len(y.n)]]
         yield pairs // len(y.n), pairs % len(y.n)
-        begin = end
+        asks = asks[end:]
 
 
-def _links(x: Pictures, y: Pictures) -> list[tuple[int, int]]:
+def _links(x: Pictures, y: Pictures) -> tuple[np.ndarray, np.ndarray]:
     """Links of labels of pictures of x and of y, each to the smallest that it is joined with; what is joined is not compared again."""
-    root: dict[int, int] = {}
+    names, label = np.unique(np.concatenate([x.label, y.label]), return_inverse=True)
+    up = np.arange(len(names))
+    root = up.tolist()
 
     def find(i: int) -> int:
-        while root.get(i, i) != i:
-            root[i] = root.get(root[i], root[i])
+        while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for one, two in ((x, y),) if x is y else ((x, y), (y, x)):
-        low, met = two.met_by(one)
-        for p, q in _asked(one, two, low, met):
+    labels = [label[: len(x.label)].copy(), label[len(x.label) :].copy()]
+    for one, two, mine, yours in ((x, y, *labels),) if x is y else ((x, y, *labels), (y, x, *labels[::-1])):
+        met = two.met_by(one)
+        for p, q in _asked(one, two, met, mine, yours):
             corners = np.cumsum(one.n[p] + two.n[q])
             for own, other in zip(*(np.split(z, np.searchsorted(corners, np.arange(MEETINGS, corners[-1], MEETINGS))) for z in (p, q)), strict=True) if len(p) else ():
-                apart = np.fromiter((find(u) != find(v) for u, v in zip(one.label[own].tolist(), two.label[other].tolist(), strict=True)), bool, len(own))
+                apart = mine[own] != yours[other]
                 own, other = own[apart], other[apart]
-                near = agreeing(one, two, own, other, low, met) >= SHARE * one.n[own]
-                for u, v in zip(one.label[own[near]].tolist(), two.label[other[near]].tolist(), strict=True):
+                near = agreeing(one, two, own, other, met) >= SHARE * one.n[own]
+                for u, v in zip(mine[own[near]].tolist(), yours[other[near]].tolist(), strict=True):
                     i, j = find(u), find(v)
-                    if i != j:
-                        root[max(i, j)] = min(i, j)
-    return [(i, find(i)) for i in list(root)]
+                    root[max(i, j)] = min(i, j)
+                if near.any():
+                    up = np.array(root)
+                    while not np.array_equal(up, up[up]):
+                        up = up[up]
+                    mine[:], yours[:] = up[mine], up[yours]
+    joined = np.flatnonzero(up != np.arange(len(up)))
+    return names[joined], names[up[joined]]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (node, hub) from pairs of blocks."""
-    kinds = {"node": np.int64, "label": np.int64, "ends": np.int64, "places": np.int32, "a": np.uint64, "b": np.uint64}
+    """Links (node, hub) from pairs of blocks: of a block and itself those that it came with, of two those between their labels."""
+    last: dict[int, Pictures] = {}
+
+    def opened(row: dict, prefix: str) -> Pictures:
+        name = row[f"{prefix}block"]
+        if name not in last:
+            while len(last) >= OPENED:
+                del last[next(iter(last))]
+            last[name] = Pictures(*[np.frombuffer(row[prefix + c], kind) for c, kind in KINDS.items()])
+        last[name] = last.pop(name)
+        return last[name]
+
     for batch in batches:
         for row in batch.to_pylist():
-            opened = lambda prefix: Pictures(*[np.frombuffer(row[prefix + c], kind) for c, kind in kinds.items()])  # noqa: B023, E731
-            x = opened("")
-            links = _links(x, x if row["block"] == row["o_block"] else opened("o_"))
-            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], ["node", "hub"])
+            x = opened(row, "")
+            if row["block"] == row["o_block"]:
+                links = [z[x.node != x.label] for z in (x.node, x.label)]
+            else:
+                links = _links(x, opened(row, "o_"))
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in links], ["node", "hub"])
 
 
-def _rest(drawn: DataFrame, label: DataFrame) -> DataFrame:
-    """Links (node, hub), by their labels, between pictures with different labels, written once.
+def _all_links(features: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Links (node, hub) that join the pictures of each class, written once.
 
-    Blocks of about CORNERS corners, written once, meet each other two at a time, where each picture's corners are at
-    hand; so neither matches nor pairs are shuffled. Members of one class never meet.
+    Blocks of about CORNERS corners are made of whole buckets of the features' files, without a shuffle, and written once;
+    then they meet each other two at a time, where each picture's corners are at hand; so neither entries nor matches nor
+    pairs are shuffled.
     """
     spark, size = drawn.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    named = drawn.where(F.size("places") >= VOTES).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    corners = drawn.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
-    blocks = staged(named.select("node", "label", "places", "a", "b").repartition(-(-corners // CORNERS) or 1).mapInArrow(_block, BLOCK))
+    corners = features.where("picture is not null").groupBy("picture").agg(F.max(F.size("places")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    blocks = staged(drawn.where(F.size("places") >= VOTES).coalesce(-(-corners // CORNERS) or 1).mapInArrow(_block, BLOCK))
     other = blocks.select(*[F.col(c).alias(f"o_{c}") for c in blocks.columns])
     was = spark.conf.get(size)
     spark.conf.set(size, "1")  # two blocks at a time
@@ -430,13 +495,7 @@ def copies(features: DataFrame) -> DataFrame:
     """Rows (id, class_id, n_corners) from rows (id, picture, places, a, b)."""
     features = bucketed(features, "picture")
     drawn = features.where("picture is not null").select(F.col("picture").alias("node"), "places", "a", "b").dropDuplicates(["node"])
-    corner = drawn.select("node", F.explode(F.arrays_zip("places", "a", "b")).alias("c")).select("node", F.col("c.places").alias("place"), "c.a", "c.b")
-    entries = corner.select("node", "place", F.explode(_entries()).alias("e")).select("e.key", "node", "place", "e.rest")
-    of = Window.partitionBy("key")  # one exchange for the buckets' ends, members and hubs
-    met, size = entries.withColumns({"low": F.min("node").over(of), "high": F.max("node").over(of)}).where("low < high"), drawn.select("node", F.size("places").alias("n"))
-    links = staged(_forest(met, size))
-    links = links.unionByName(_rest(drawn, components(links)))
-    label = components(links)
+    label = components(_all_links(features, drawn))
     placed = features.select("id", F.col("picture").alias("node"), F.size("places").alias("n_corners")).join(label, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))
     least = staged(placed.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id")))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,83 @@ def test_media_features_do_not_depend_on_neighbours():
         assert np.array_equal(at, own_at) and np.array_equal(code, own_code)
 
 
+def test_media_corners_against_plain_sums():
+    """Corners and descriptors, by five sums of shifted rows and doubled windows, equal those of every window by itself."""
+    rng = np.random.default_rng(9)
+    window = np.lib.stride_tricks.sliding_window_view
+    pictures = [media.draw("<p>" + " ".join("x" * n for n in rng.integers(1, 12, size))) for size in (40, 150, 400)]
+    for p in [*pictures, rng.integers(0, 256, (61, media.WIDTH)).astype(np.uint8), np.zeros((19, 19), np.uint8)]:
+        x = p.astype(np.int64)
+        gy, gx = np.zeros_like(x), np.zeros_like(x)
+        gy[1:-1], gx[:, 1:-1] = x[2:] - x[:-2], x[:, 2:] - x[:, :-2]
+        box = lambda z: window(np.pad(z, 2, mode="edge"), (5, 5)).sum((2, 3))
+        a, b, c = (box(z).astype(np.float32) for z in (gx * gx, gy * gy, gx * gy))
+        response = a * b - c * c - 0.05 * (a + b) ** 2
+        r = media.RADIUS
+        high = (response == window(np.pad(response, r, constant_values=-np.inf), (2 * r + 1,) * 2).max((2, 3))) & (response > 1e6)
+        inside = np.zeros_like(high)
+        inside[media.PATCH : -media.PATCH, media.PATCH : -media.PATCH] = True
+        at = media._apart(np.argwhere(high & inside))
+        assert np.array_equal(media.corners(p), at)
+        smooth, tests, want = box(x), media._tests(), []
+        for row, col in at:
+            patch, span = smooth[row - 6 : row + 7, col - 6 : col + 7], np.arange(-6, 7)
+            angle = np.arctan2((patch * span[:, None]).sum(), (patch * span).sum())
+            t = tests[round(angle / (2 * np.pi) * media.TURNS) % media.TURNS]
+            want.append(np.packbits(smooth[row + t[:, 0], col + t[:, 1]] < smooth[row + t[:, 2], col + t[:, 3]]).view(np.int64))
+        assert np.array_equal(media.describe(p, at, tests), np.array(want).reshape(-1, 2))
+
+
+def test_media_shuffles_no_corners(spark, monkeypatch):
+    """Neither places nor descriptors nor entries of corners go through an exchange."""
+    found = media.staged(media.page_features(spark.read.parquet(f"{SF}/pages.parquet")))
+    plans, write = [], media.staged
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    monkeypatch.setattr(media, "staged", lambda df: plans.append(df._jdf.queryExecution().explainString(mode)) or write(df))
+    media.staged(media.copies(found))
+    moved = {c.split("#")[0] for p in plans for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", p) for c in columns.split(", ")}
+    assert moved and not moved & {"places", "place", "to", "a", "b", "key", "rest"}
+
+
+def picture_rows(pictures):
+    """A batch (node, places, a, b) of (places, a, b)."""
+    lists = [pa.array([list(map(int, p[k])) for p in pictures], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(pictures)), pa.int64()), *lists], ["node", "places", "a", "b"])
+
+
+def test_media_blocks_are_bounded(monkeypatch):
+    """Every picture is in one block; a block has 2 * CORNERS corners at most, or one picture; labels are those of the block's own links."""
+    monkeypatch.setattr(media, "CORNERS", 20)
+    rng = np.random.default_rng(4)
+    sizes = [10, 10, 20, 7, 90, 3, 40, 2, 2, 2]
+    pictures = [(np.arange(n) * 130, *rng.integers(-(2**62), 2**62, (2, n))) for n in sizes]
+    pictures[9] = pictures[8]
+    batch = picture_rows(pictures)
+    blocks = [{c: np.frombuffer(b[c][0].as_py(), kind) for c, kind in media.KINDS.items()} for b in media._block(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)]))]
+    assert [b["node"].tolist() for b in blocks] == [[100, 101, 102], [103], [104], [105], [106], [107, 108, 109]]
+    assert [b["label"].tolist() for b in blocks] == [[100, 101, 102], [103], [104], [105], [106], [107, 108, 108]]
+    for b in blocks:
+        assert len(b["places"]) == b["ends"][-1] and (b["ends"][-1] <= 40 or len(b["node"]) == 1)
+    assert np.concatenate([b["a"].view(np.int64) for b in blocks]).tolist() == [int(x) for p in pictures for x in p[1]]
+    assert list(media._block(iter([]))) == []
+
+
+def test_media_members_of_one_class_meet_once(monkeypatch):
+    """1,500 pictures with the same corners, over a hundred million meetings: once joined, they aren't opened again, in one block or two."""
+    rng = np.random.default_rng(5)
+    code, n = rng.integers(0, 2**63, (2, 30)).astype(np.uint64), 1500
+    corners = [np.arange(1, n + 1) * 30, np.tile(np.arange(30) * 130, n), *(np.tile(c, n) for c in code)]
+    asked, agreeing = [], media.agreeing
+    monkeypatch.setattr(media, "agreeing", lambda x, y, p, q, *more: asked.append(len(p)) or agreeing(x, y, p, q, *more))
+    node = np.arange(10, 10 + n)
+    x = media.Pictures(node, node, *corners)
+    joined, to = media._links(x, x)
+    assert joined.tolist() == list(range(11, 10 + n)) and set(to.tolist()) == {10}
+    x, y = media.Pictures(node, np.full(n, 10), *corners), media.Pictures(node + n, np.full(n, 10 + n), *corners)
+    assert [z.tolist() for z in media._links(x, y)] == [[10 + n], [10]]
+    assert sum(asked) < 100_000  # of 1,124,250 and 2,250,000 pairs
+
+
 # -- 4
 
 
