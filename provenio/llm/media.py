@@ -257,21 +257,27 @@ class Pictures:
         self.n = np.diff(ends, prepend=0)
         self.begin = ends - self.n
         self.of = np.repeat(np.arange(len(self.n)), self.n)
-        self.order, self.keys, self.bucket, self.low, self.size = [], [], [], [], []
-        for code in self.codes:
-            order = np.argsort(code, kind="stable")
+        self.keys, self.bucket, self.low, self.size, self.whose, self.rest, self.own = [], [], [], [], [], [], []
+        for code, rest in zip(self.codes, self.codes[::-1], strict=True):
+            order = np.argsort(code)
             keys, bucket = code[order], np.empty(len(code), np.int64)
             new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
             low = np.flatnonzero(new)
             bucket[order] = np.cumsum(new) - 1
-            self.order.append(order)
             self.keys.append(keys[low])
             self.bucket.append(bucket)  # of each corner
+            self.whose.append(self.of[order].astype(np.int32))  # of the sorted corners, the picture and the rest
+            self.rest.append(rest[order])
             self.low.append(np.append(low, 0))  # of each bucket, where it begins among the sorted corners; the last one is empty
             self.size.append(np.append(np.diff(low, append=len(keys)), 0))
-        order = np.lexsort((self.places, self.of))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(self.places[order]) != 0) | (np.diff(self.of[order]) != 0)
+            held = self.of * len(self.low[-1]) + bucket  # a picture's own corners in a bucket
+            order = np.argsort(held)
+            held = held[order]
+            begin = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+            self.own.append((held[begin], np.append(begin, 0), np.append(np.diff(begin, append=len(held)), 0), order))
+        at = (self.of << 32) + self.places
+        order = np.argsort(at, kind="stable")
+        new = np.append(True, np.diff(at[order]) != 0)[: len(order)]
         self.first = np.empty(len(order), np.int64)  # of the corners at one place, the first
         self.first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
 
@@ -285,31 +291,23 @@ class Pictures:
 
     def alone(self, key: int, label: np.ndarray) -> np.ndarray:
         """For each bucket of a table, the label that all its corners have, -1 if they have several."""
-        own, low = label[self.of[self.order[key]]], self.low[key][:-1]
+        own, low = label[self.whose[key]], self.low[key][:-1]
         least = np.minimum.reduceat(own, low)
         return np.append(np.where(least == np.maximum.reduceat(own, low), least, -1), -1)
 
 
 def agreeing(x: Pictures, y: Pictures, p: np.ndarray, q: np.ndarray, met: list[np.ndarray]) -> np.ndarray:
     """How many places of each of two pictures, p[i] of x and q[i] of y, have a match whose shift VOTES matches have; of the two numbers the smaller."""
-    mine, yours = _ranges(x.begin[p], x.n[p]), _ranges(y.begin[q], y.n[q])
-    of, to = np.repeat(np.arange(len(p)), x.n[p]), np.repeat(np.arange(len(p)), y.n[q])
+    mine, of = _ranges(x.begin[p], x.n[p]), np.repeat(np.arange(len(p)), x.n[p])
     found = []
     for key, rest in ((0, 1), (1, 0)):
-        bucket, theirs, base = met[key][mine], y.bucket[key][yours], len(y.low[key])
-        asked = np.zeros(base, bool)
-        asked[bucket] = True
-        asked[-1] = False
-        some, kept = asked[bucket], asked[theirs]
-        held = to[kept] * base + theirs[kept]
-        order = np.argsort(held, kind="stable")
-        held, j = held[order], yours[kept][order]
-        begins = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
-        wanted = of[some] * base + bucket[some]
-        at = np.searchsorted(held[begins], wanted)
-        n = np.append(np.diff(begins, append=len(held)), 0)[at]
-        n[np.append(held[begins], -1)[at] != wanted] = 0
-        c, i, j = np.repeat(of[some], n), np.repeat(mine[some], n), j[_ranges(np.append(begins, 0)[at], n)]
+        some = met[key][mine] >= 0
+        i, c = mine[some], of[some]
+        held, begin, size, order = y.own[key]
+        wanted = q[c] * len(y.low[key]) + met[key][i]
+        at = np.searchsorted(held, wanted)
+        n = np.where(np.append(held, -1)[at] == wanted, size[at], 0)
+        c, i, j = np.repeat(c, n), np.repeat(i, n), order[_ranges(begin[at], n)]
         near = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j]) <= FAR
         found.append(np.stack([c[near], x.first[i[near]], y.first[j[near]]]))
     c, i, j = np.concatenate(found, axis=1)
@@ -321,11 +319,8 @@ def agreeing(x: Pictures, y: Pictures, p: np.ndarray, q: np.ndarray, met: list[n
     i, j = i + x.begin[p[c]], j + y.begin[q[c]]
     one, two = x.places[i], y.places[j]
     shift = (one // WIDTH - two // WIDTH) * 2 * WIDTH + one % WIDTH - two % WIDTH
-    order = np.lexsort((shift, c))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(shift[order]) != 0) | (np.diff(c[order]) != 0)
-    group = np.cumsum(new) - 1
-    keep = order[np.bincount(group)[group] >= VOTES] if len(order) else order
+    _, group, n = np.unique((c << 34) + shift, return_inverse=True, return_counts=True)
+    keep = n[group] >= VOTES
     c, i, j = c[keep], i[keep], j[keep]
     count = lambda z, n: np.bincount(np.unique(c * n + z) // n, minlength=len(p))
     return np.minimum(count(i, len(x.places) + 1), count(j, len(y.places) + 1))
@@ -395,6 +390,8 @@ def _asked(x: Pictures, y: Pictures, met: list[np.ndarray], mine: np.ndarray, yo
     needed = np.maximum(VOTES, np.ceil(x.n * SHARE)).astype(np.int64)
     hits = np.minimum(needed, HITS)
     asks = np.sort(order[(rank < (m - needed + hits)[x.of[order]]) & (m >= needed)[x.of[order]]])
+    rank = np.empty(len(x.n) + len(y.n), np.int32)
+    rank[np.lexsort((np.append(x.node, y.node), np.append(x.n, y.n)))] = np.arange(len(rank))
     while len(asks):
         of = x.of[asks]
         opened = [np.where(y.alone(k, yours)[met[k][asks]] == mine[of], 0, meets[k][asks]) for k in (0, 1)]
@@ -404,11 +401,12 @@ def _asked(x: Pictures, y: Pictures, met: list[np.ndarray], mine: np.ndarray, yo
         part, found = asks[:end], []
         for key, rest in ((0, 1), (1, 0)):
             n = opened[key][:end]
-            i, j = np.repeat(part, n), y.order[key][_ranges(y.low[key][met[key][part]], n)]
-            p, q = x.of[i], y.of[j]
-            smaller = (x.n[p] < y.n[q]) | ((x.n[p] == y.n[q]) & (x.node[p] < y.node[q]))
-            differ = np.bitwise_count(x.codes[rest][i] ^ y.codes[rest][j])
-            keep = smaller & (mine[p] != yours[q]) & (differ <= FAR) & (differ >= key)  # equal ones meet in both tables
+            i, at = np.repeat(part, n), _ranges(y.low[key][met[key][part]], n)
+            p, q = np.repeat(of[:end], n), y.whose[key][at]
+            keep = (rank[p] < rank[len(x.n) + q]) & (mine[p] != yours[q])
+            i, at, p, q = i[keep], at[keep], p[keep], q[keep]
+            differ = np.bitwise_count(x.codes[rest][i] ^ y.rest[key][at])
+            keep = (differ <= FAR) & (differ >= key)  # equal ones meet in both tables
             found.append(p[keep] * len(y.n) + q[keep])
         pairs, n = np.unique(np.concatenate(found), return_counts=True)
         pairs = pairs[n >= hits[pairs // len(y.n)]]
