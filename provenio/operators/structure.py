@@ -31,23 +31,29 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def _without_edges(lines: DataFrame, share: float) -> DataFrame:
-    page = ("doc_id", "page_no")
+    """lines, dealt out by document and with their `key`, after one pass; windows within a document need no further exchange."""
+    page = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
+    so_far, whole = page.rowsBetween(Window.unboundedPreceding, Window.currentRow), page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = F.trim("raw") != ""
-    of_page = Window.partitionBy(*page, filled)
-    down = F.row_number().over(of_page.orderBy("line_no"))
-    up = F.row_number().over(of_page.orderBy(F.desc("line_no")))
-    marked = lines.withColumn("edge", filled & ((down <= HEAD_LINES) | (up <= FOOT_LINES))).withColumn("key", T.line_key(F.col("raw")))
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
-    seen = marked.where("edge").groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("on"))
-    repeated = seen.join(pages, "doc_id").where((F.col("on") >= share * F.col("pages")) & (F.col("key") != "#")).select("doc_id", "key", F.lit(True).alias("again"))
-    told = marked.join(pages, "doc_id").join(repeated, ["doc_id", "key"], "left")
-    goes = F.col("edge") & (F.col("page_no") > 1) & (F.col("pages") >= LEAST_PAGES) & (F.coalesce("again", F.lit(False)) | F.col("raw").rlike(PAGE_NUMBER))
-    return told.where(~goes).select(*lines.columns)
+    down, of_page = F.count_if(filled).over(so_far), F.count_if(filled).over(whole)
+    begins = (F.row_number().over(page) == 1) & F.col("page_no").isNotNull()
+    marked = lines.withColumn("begins", begins).withColumn("edge", filled & ((down <= HEAD_LINES) | (of_page - down < FOOT_LINES)))
+    marked = marked.withColumn("pages", F.count_if("begins").over(Window.partitionBy("doc_id"))).drop("begins")
+    alike = Window.partitionBy("doc_id", "edge", "key")
+    in_order = alike.orderBy("page_no", "line_no")
+    marked = marked.withColumn("turns", F.col("page_no").isNotNull() & ~F.lag("page_no").over(in_order).eqNullSafe(F.col("page_no")))
+    again = (F.count_if("turns").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) >= share * F.col("pages")) & (F.col("key") != "#")
+    goes = F.col("edge") & (F.col("page_no") > 1) & (F.col("pages") >= LEAST_PAGES) & (F.coalesce(F.col("again"), F.lit(False)) | F.col("raw").rlike(PAGE_NUMBER))
+    return marked.withColumn("again", again).where(~goes).select(*lines.columns)
 
 
 def strip_headers(lines: DataFrame, share: float = 0.5) -> DataFrame:
-    """Lines without those that repeat at the edges of pages, in two passes; page 1 and short documents stay whole."""
-    return _without_edges(_without_edges(lines, share), share)
+    """Lines without those that repeat at the edges of pages, in two passes; page 1 and short documents stay whole.
+
+    Lines are moved once, to their document's task. Those without a document belong to no pages and are left out.
+    """
+    own = lines.where("doc_id is not null").repartition("doc_id").withColumn("key", T.line_key(F.col("raw")))
+    return _without_edges(_without_edges(own, share), share).select(*lines.columns)
 
 
 def index_pages(lines: DataFrame) -> DataFrame:

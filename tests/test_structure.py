@@ -1,3 +1,8 @@
+import contextlib
+import io
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from provenio.operators import structure as S
@@ -79,3 +84,34 @@ def test_ocr_lines_follow_the_first_box(spark):
     boxes = [("d", 1, 50.0, 10.0, 10.0, "b", 0.9), ("d", 1, 0.0, 14.0, 10.0, "a", 0.7), ("d", 1, 0.0, 17.0, 10.0, "c", 0.8)]
     got = X.recognised_lines(spark.createDataFrame(boxes, "doc_id string, page_no int, x double, y double, height double, text string, score double")).first()
     assert got.text == "a b\nc" and abs(got.ocr_conf - 0.8) < 1e-9
+
+
+def brute_strip(lines):
+    """One pass over rows (doc_id, page_no, line_no, raw) as it is described."""
+    out, docs = [], {}
+    for x in lines:
+        docs.setdefault(x[0], {}).setdefault(x[1], []).append(x)
+    key = lambda raw: re.sub("[0-9]+", "#", re.sub(r"\s+", " ", raw.strip(" ").lower()))
+    for pages in docs.values():
+        edges, on = set(), {}
+        for no, own in pages.items():
+            filled = sorted((x for x in own if x[3].strip(" ")), key=lambda x: x[2])
+            edges |= {*filled[: S.HEAD_LINES], *filled[-S.FOOT_LINES :]}
+            for x in edges & {*filled}:
+                on.setdefault(key(x[3]), set()).add(no)
+        again = {k for k, p in on.items() if len(p) >= 0.5 * len(pages) and k != "#"}
+        out += [x for own in pages.values() for x in own if not (x in edges and x[1] > 1 and len(pages) >= S.LEAST_PAGES and (key(x[3]) in again or re.search(S.PAGE_NUMBER, x[3])))]
+    return out
+
+
+def test_stripping_against_brute_force_moves_lines_once(spark):
+    rng = random.Random(7)
+    some = ["Cabeçalho A", "cabeçalho  a", "Rodapé 12", "pág. 3 de 9", "7", "", "  ", "x", "ab c", *[f"texto {chr(97 + i)}" for i in range(20)]]
+    lines = [(d, p, i, rng.choice(some[: rng.choice((9, 30))])) for d in range(40) for p in range(1, rng.randint(2, 9)) for i in range(rng.randint(1, 25))]
+    frame = spark.createDataFrame([*lines, (None, 1, 0, "x")], "doc_id int, page_no int, line_no int, raw string")
+    kept = S.strip_headers(frame)
+    want = brute_strip(brute_strip(lines))
+    assert sorted(map(tuple, kept.collect())) == sorted(want) and len(want) < len(lines)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        S.strip_headers(frame).explain()
+    assert len(re.findall(r"[+:]- Exchange ", plan.getvalue())) == 1
