@@ -73,3 +73,17 @@ def test_odd_batches(spark, tmp_path):
     assert index.search(asked, 3).count() == 0
     index.append(counts(spark, [(7, ["a", "a", "b"]), (-3, []), (8, None), (9, ["a"])]), "some")
     assert ranked(index.search(asked, 3)) == by_all_postings(spark, [(7, ["a", "a", "b"]), (-3, []), (8, None), (9, ["a"])], asked, 3) != []
+
+
+def test_few_documents_are_looked_up(spark, tmp_path, queries, monkeypatch):
+    """What is scored from a document's own terms is little more than the result, once the blocks are read; and slices, folders' parts and ties change nothing."""
+    for name, size in (("BLOCK", 8), ("SLICE", 64), ("PART", 20)):
+        monkeypatch.setattr(I, name, size)
+    written, real = [], I.staged
+    monkeypatch.setattr(I, "staged", lambda df: written.append(real(df)) or written[-1])
+    docs, index = corpus(2500, 4), TextIndex(spark, f"file://{tmp_path}/index")
+    for at in range(2):
+        index.append(counts(spark, docs[at::2]), f"batch-{at}")
+    assert ranked(index.search(queries, 5)) == by_all_postings(spark, docs, queries, 5)
+    looked_up = [x for x in written if x.columns == ["query_id", "key"]]
+    assert len(looked_up) == 1 and looked_up[0].count() < 1000
